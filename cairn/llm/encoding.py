@@ -9,10 +9,9 @@ Any other text is encoded whole by the library.
 from __future__ import annotations
 
 import os
+from array import array
 from itertools import filterfalse
 
-import numpy as np
-
 
 class Encoder:
     def __init__(self, path: str, bound: int = 800_000):
@@ -22,6 +21,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.bound, self.known = bound, {}
         self.before = "" if self._drops() else " "
+        self.stops = dict(zip(".,", self._library([".", ","]), strict=True))
 
     def _drops(self) -> bool:
         """Whether white space leaves no trace in the ids."""
@@ -30,7 +30,24 @@ class Encoder:
 
     def _library(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit bytes."""
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Adds pieces; a full stop or comma after a letter is a pre-token of its own, so such a piece is learned by its parts."""
+        known, before, lower = self.known, self.before, not self.before
+        parts, cores = [], set()
+        for x in new:
+            core, end = (x[:-1], x[-1]) if x[-1] in ".," and x[-2:-1].isalpha() else (x, None)
+            if lower and core.isascii():  # this vocabulary has lower case only
+                core = core.lower()
+            if core not in known:
+                cores.add(core)
+            if end or core != x:
+                parts.append((x, core, end))
+        cores = list(cores)
+        known.update(zip(cores, self._library([before + x for x in cores] if before else cores), strict=True))
+        for x, core, end in parts:
+            known[x] = known[core] + self.stops[end] if end else known[core]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text as bytes; null is empty."""
@@ -48,8 +65,7 @@ class Encoder:
                 whole.append(first)
             new.update(filterfalse(known.__contains__, words))
             pieces.append(words)
-        new = list(new)
-        known.update(zip(new, self._library([self.before + x for x in new]), strict=True))
+        self._learn(new)
         heads = iter(self._library(whole))
         return [next(heads) if x is None else (next(heads) if self.before and t else b"") + b"".join(map(known.__getitem__, x)) for t, x in zip(texts, pieces, strict=True)]
 
