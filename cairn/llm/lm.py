@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._base import U64, discard, in_order, mixed, planes, stored, unplanes, word_hashes
 
-CHUNK = 1 << 20  # tokens
+CHUNK = 1 << 19  # tokens
 END = U64(0x5BD1E995A4F1C3D7)  # stands for the end of a text, and as the context of its first word
 FINE = 8  # bins an octave
 BUCKETS = 32
