@@ -14,7 +14,7 @@ from itertools import filterfalse
 
 
 class Encoder:
-    def __init__(self, path: str, bound: int = 800_000):
+    def __init__(self, path: str, bound: int = 1_400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
