@@ -142,10 +142,10 @@ def near_duplicates(
     classes = keep(rows_.filter("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("low", "doc_id").alias("low")), "classes")
     buckets = classes.select("id", F.explode("bands").alias("bucket"))
     least = buckets.groupBy("bucket").agg(F.min("id").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    stars = keep(buckets.join(least, "bucket").filter("id <> v").groupBy(F.col("id").alias("u"), "v").agg(F.count("*").alias("votes")), "stars")
+    shared = keep(buckets.join(least, "bucket"), "shared")  # only buckets that classes share go on
+    stars = keep(shared.filter("id <> v").groupBy(F.col("id").alias("u"), "v").agg(F.count("*").alias("votes")), "stars")
     best = stars.groupBy("u").agg(F.max_by("v", F.struct("votes", -F.col("v"))).alias("v"))
-    links = keep(verified(best, docs, size, threshold), "links")
-    labels, at = components(links)
+    labels, at = components(keep(verified(best, docs, size, threshold), "links"))
 
     def across(pairs: DataFrame) -> DataFrame:
         for end in "uv":
@@ -153,13 +153,19 @@ def near_duplicates(
         return pairs.filter("cu <> cv").select("u", "v")
 
     def more(pairs: DataFrame, label: str) -> None:
-        nonlocal links, labels, at
+        """Verifies pairs and joins the components that they link, as one node each."""
+        nonlocal labels, at
         paths.append(at)
-        links = links.unionAll(keep(verified(keep(pairs, f"{label}-pairs"), docs, size, threshold), label))
-        labels, at = components(links)
+        found = keep(verified(keep(pairs, f"{label}-pairs"), docs, size, threshold), label)
+        for end in "uv":
+            found = found.join(labels.select(F.col("node").alias(end), "comp"), end, "left").withColumn(end, F.coalesce("comp", end)).drop("comp")
+        over, over_at = components(keep(found.filter("u <> v").distinct(), f"{label}-over"))
+        paths.append(over_at)
+        moved = labels.join(over.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        labels, at = stored(moved.unionAll(over.join(labels, "node", "left_anti").select("node", "comp")), "labels")
 
     more(across(stars.join(best.select("u", "v"), ["u", "v"], "left_anti")), "stars-left")
-    placed = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    placed = shared.select("id", "bucket").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_ = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("bucket")
     members = placed.join(open_, "bucket").join(classes.select("id", "low"), "id")
     tried = stars.select("u", "v")
