@@ -1,9 +1,365 @@
-"""Registered queries and their SQL."""
+"""The registered queries: each operator over the whole driver tables, with the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from cairn.functions import text as T
+from cairn.operators import relational as R
+from cairn.plans import planner
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of a table reader as a query of (spark, sf_dir)."""
+
+    def add(f):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _files(t) -> DataFrame:
+    """documents as files."""
+    return t("documents").select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".py"))).alias("path"), "lang", "n_chars", "text")
+
+
+_L = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
+  CASE lower(regexp_extract(url, '(\\.[a-z]+)$', 1)) WHEN '.com' THEN NULL WHEN '.py' THEN 'python' WHEN '.xml' THEN 'xml' WHEN '.js' THEN 'javascript' END AS language FROM pages""")
+def scan_language_map(t):
+    return t("pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), T.detect_language(F.col("url")).alias("language"))
+
+
+@query("""SELECT doc_id, sha256(text) AS file_hash, substr(sha256(source || '/' || doc_id || '::file::1::0'), 1, 24) AS chunk_id FROM documents""")
+def content_hash(t):
+    return t("documents").select("doc_id", F.sha2("text", 256).alias("file_hash"), T.chunk_id(F.concat_ws("/", "source", F.col("doc_id").cast("string")), F.lit(None).cast("string"), F.lit(1), F.lit(0)).alias("chunk_id"))
+
+
+@query("""SELECT d.doc_id, sha256(d.text) AS h FROM documents d LEFT JOIN (SELECT item_id AS doc_id, sha256(text) AS old FROM benchmark) b USING (doc_id) WHERE sha256(d.text) IS DISTINCT FROM old""")
+def hash_gate_changed(t):
+    new = t("documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    return R.changed(new, t("benchmark").select(F.col("item_id").alias("doc_id"), F.sha2("text", 256).alias("h")), "doc_id", "h")
+
+
+@query("""SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def upsert_latest_wins(t):
+    return R.latest(t("events").select("user_id", "event_id", "event_type", "value", "ts"), ["user_id"], ["ts", "event_id"]).drop("ts")
+
+
+_PRIORITY = "CASE event_type WHEN 'purchase' THEN 30 WHEN 'signup' THEN 20 ELSE 10 END"
+_QUEUE = f"SELECT user_id AS path, arg_max(event_type, (ts, event_id)) AS event_type, max({_PRIORITY}) AS priority, max(ts) AS created_at, 'pending' AS status FROM events GROUP BY user_id"
+
+
+def _queue(t):
+    return R.queue_compacted(t("events").select(F.col("user_id").alias("path"), "event_type", F.col("ts").alias("created_at"), F.col("event_id").alias("id"), F.expr(_PRIORITY).alias("priority")))
+
+
+@query(_QUEUE)
+def queue_upsert_max_priority(t):
+    return _queue(t)
+
+
+@query(f"SELECT path, event_type, priority, created_at, status FROM ({_QUEUE}) ORDER BY priority DESC, created_at, path LIMIT 10")
+def queue_claim_topn(t):
+    return R.claim(_queue(t), 10)
+
+
+@query("""SELECT d.doc_id, d.source, d.n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 0)""")
+def soft_delete_cascade(t):
+    return R.without(t("documents").select("doc_id", "source", "n_chars"), t("labels").filter("quality = 0").select("doc_id"), "doc_id")
+
+
+@query("""SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#13' ORDER BY p_partkey LIMIT 20""")
+def find_exact(t):
+    return t("part").filter("p_brand = 'Brand#13'").select("p_partkey", "p_name").orderBy("p_partkey").limit(20)
+
+
+@query(f"""SELECT doc_id, source FROM documents WHERE {_L.format("text")} LIKE {_L.format("'%TH_Re%'")}""")
+def find_like(t):
+    return t("documents").filter(T.contains_like(F.col("text"), F.lit("TH_Re"))).select("doc_id", "source")
+
+
+@query("""SELECT doc_id FROM (SELECT doc_id, string_split(lower(text), ' ') AS tags FROM documents) WHERE list_contains(tags, 'the') AND NOT list_contains(tags, 'idiot')""")
+def tag_contains(t):
+    tags = F.split(F.lower("text"), " ")
+    return t("documents").filter(F.array_contains(tags, "the") & ~F.array_contains(tags, "idiot")).select("doc_id")
+
+
+@query("""SELECT c.c_custkey, n.n_name, r.r_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey""")
+def join_symbols_files(t):
+    return t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "n_name", "r_name")
+
+
+@query("""SELECT c.c_custkey, count(*) AS n_lines, count(DISTINCT l.l_suppkey) AS n_suppliers FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey""")
+def edges_3way(t):
+    return t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey").agg(F.count("*").alias("n_lines"), F.countDistinct("l_suppkey").alias("n_suppliers"))
+
+
+@query("""SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_orders FROM customer""")
+def changed_flag(t):
+    marks = t("orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("m", F.lit(True))
+    return t("customer").join(marks, "c_custkey", "left").select("c_custkey", F.col("m").isNotNull().alias("has_orders"))
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)""")
+def changed_semi(t):
+    return t("customer").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def orphan_anti(t):
+    return R.without(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("""WITH spans AS (SELECT user_id, event_id AS name, event_id AS b, event_id + 400 AS e FROM events WHERE event_type = 'signup'),
+points AS (SELECT event_id AS id, user_id, event_id AS x FROM events WHERE event_type = 'click')
+SELECT id, arg_min(s.name, (e - b, b, s.name)) AS owner FROM points p JOIN spans s ON p.user_id = s.user_id AND b <= x AND x <= e GROUP BY id""")
+def enclosing_interval(t):
+    e = t("events")
+    spans = e.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("name"), F.col("event_id").alias("start"), (F.col("event_id") + 400).alias("end"))
+    return R.enclosing(e.filter("event_type = 'click'").select(F.col("event_id").alias("id"), "user_id", F.col("event_id").alias("at")), spans, "user_id")
+
+
+@query("""WITH s AS (SELECT DISTINCT user_id, event_id AS start FROM events) SELECT user_id, start, lead(start) OVER (PARTITION BY user_id ORDER BY start) AS next_start FROM s""")
+def next_code_line_asof(t):
+    return R.next_start(t("events").select("user_id", F.col("event_id").alias("start")), "user_id", "start")
+
+
+@query("""WITH b AS (SELECT item_id, unnest(list_distinct(string_split(text, ' '))) AS w FROM benchmark), k AS (SELECT item_id, w FROM b WHERE length(w) >= 9),
+d AS (SELECT doc_id, unnest(list_distinct(string_split(text, ' '))) AS w FROM documents)
+SELECT k.item_id, d.doc_id, count(*) AS n_shared FROM k JOIN d USING (w) GROUP BY ALL""")
+def mention_theta(t):
+    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
+    return words(t("benchmark"), "item_id").filter(F.length("w") >= 9).join(words(t("documents"), "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n_shared"))
+
+
+@query(f"""WITH e AS (SELECT p_partkey, p_name FROM part WHERE p_name = 'no such part'), l AS (SELECT p_partkey, p_name FROM part WHERE {_L.format("p_name")} LIKE '%re%')
+SELECT * FROM e UNION ALL SELECT * FROM (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM e) ORDER BY p_partkey LIMIT 50)""")
+def fallback_exact_else_like(t):
+    return R.exact_else(t("part").select("p_partkey", "p_name"), F.col("p_name") == "no such part", T.contains_like(F.col("p_name"), F.lit("re")), 50, ["p_partkey"])
+
+
+@query("""SELECT c_custkey, coalesce(r_name, n_name, '?') AS owner FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA'""")
+def parent_chain(t):
+    up = t("region").filter("r_name <> 'ASIA'")
+    return t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(up, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", F.coalesce("r_name", "n_name", F.lit("?")).alias("owner"))
+
+
+@query("""SELECT coalesce(event_type, '(unknown)') AS kind, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, kind""")
+def counts_by_kind(t):
+    return t("events").groupBy(F.coalesce("event_type", F.lit("(unknown)")).alias("kind")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind")
+
+
+@query("""SELECT count(*) AS n_files, count(*) FILTER (lang = 'en') AS n_en, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS size_bytes, CAST(coalesce(sum(n_chars), 0) // 4 AS BIGINT) AS repo_tokens,
+CAST(sum(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END) AS BIGINT) AS context_tokens FROM documents""")
+def repo_tokens(t):
+    return t("documents").agg(F.count("*").alias("n_files"), F.count_if(F.col("lang") == "en").alias("n_en"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("size_bytes"), F.expr("coalesce(sum(n_chars), 0) div 4").alias("repo_tokens"), F.sum(T.context_tokens(F.col("text"))).alias("context_tokens"))
+
+
+@query("""SELECT doc_id, greatest(0.0, least(100.0, round((1 - (length(text) // 4) / 5000.0) * 100, 1))) AS reduction FROM documents""")
+def token_reduction(t):
+    return t("documents").select("doc_id", T.reduction(F.lit(5000.0), F.expr("length(text) div 4").cast("double")).alias("reduction"))
+
+
+_WEIGHTS = {"route_exact": 8.0, "file_hint": 6.0, "query_alias": 6.0, "call_target": 7.0, "feature_context": 6.5, "symbol": 5.0, "symbol_partial": 3.5, "lexical": 2.0, "vector": 1.0, "graph": 2.5}
+_SOURCES = "CASE event_type WHEN 'click' THEN 'lexical' WHEN 'purchase' THEN 'symbol' WHEN 'signup' THEN 'graph' WHEN 'error' THEN 'vector' ELSE 'symbol_partial' END"
+_WEIGHT_SQL = "CASE source WHEN 'lexical' THEN 2.0 WHEN 'symbol' THEN 5.0 WHEN 'graph' THEN 2.5 WHEN 'vector' THEN 1.0 ELSE 3.5 END"
+
+
+@query(f"""WITH c AS (SELECT user_id AS chunk_id, event_id AS ordinal, {_SOURCES} AS source, value AS base, event_type AS reason FROM events),
+f AS (SELECT chunk_id, reason, min(ordinal) AS o FROM c GROUP BY ALL)
+SELECT c.chunk_id, min(ordinal) AS ordinal, arg_max(source, ({_WEIGHT_SQL}, -ordinal)) AS source, max(base) AS base, any_value(g.reasons) AS reasons
+FROM c JOIN (SELECT chunk_id, string_agg(reason, ',' ORDER BY o) AS reasons FROM f GROUP BY chunk_id) g USING (chunk_id) GROUP BY c.chunk_id""")
+def dedup_merge_candidates(t):
+    c = t("events").select(F.col("user_id").alias("chunk_id"), F.col("event_id").alias("ordinal"), F.expr(_SOURCES).alias("source"), F.col("value").alias("base"), F.col("event_type").alias("reason"))
+    return R.merged(c, _WEIGHTS).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("""SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS owner, count(*) AS n, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS items FROM pages GROUP BY 1 ORDER BY owner""")
+def group_by_owner(t):
+    p = t("pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("owner"), "page_id")
+    return p.groupBy("owner").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("page_id")), lambda x: x.cast("string")), ",").alias("items")).orderBy("owner")
+
+
+@query("""WITH s AS (SELECT doc_id, (CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'und') AS INT) + CAST(contains(lower(text), 'scum') AS INT) + CAST(contains(lower(text), 'de la') AS INT)) / CAST(4.0 AS DOUBLE) AS coverage, n_chars FROM documents)
+SELECT doc_id, coverage, round(least(1.0::DOUBLE, 0.35::DOUBLE + CASE WHEN n_chars >= 4000 THEN 0.25::DOUBLE WHEN n_chars >= 1000 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END + 0.1::DOUBLE * coverage) + 1e-9, 2) AS confidence FROM s""")
+def coverage_confidence(t):
+    low = F.lower("text")
+    coverage = sum((low.contains(k).cast("int") for k in ("the", "und", "scum", "de la")), F.lit(0)) / 4.0
+    step = F.when(F.col("n_chars") >= 4000, 0.25).when(F.col("n_chars") >= 1000, 0.15).otherwise(0.0)
+    return t("documents").select("doc_id", coverage.alias("coverage"), F.round(F.least(F.lit(1.0), 0.35 + step + 0.1 * coverage) + 1e-9, 2).alias("confidence"))
+
+
+@query("""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark),
+h AS (SELECT item_id, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(w, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, b: (xor(a, b) * 16777619) % 4294967296) % 256 AS bucket FROM w)
+SELECT item_id, bucket, count(*) AS n FROM h GROUP BY ALL""")
+def bow_embedding(t):
+    w = t("benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), F.lit(1))).alias("w"))
+    return w.select("item_id", (T.fnv1a(F.col("w")) % 256).alias("bucket")).groupBy("item_id", "bucket").agg(F.count("*").alias("n"))
+
+
+@query("""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])), 6) AS sim FROM embeddings, q)
+SELECT vec_id, sim FROM (SELECT * FROM s ORDER BY sim DESC, vec_id DESC LIMIT 30) WHERE sim > 0""")
+def vector_topk(t):
+    e = t("embeddings")
+    one = e.filter("vec_id = 0").select(F.col("embedding").alias("v"))  # the query is one row
+    return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("v")), 6).alias("sim")).orderBy(F.desc("sim"), F.desc("vec_id")).limit(30).filter("sim > 0")
+
+
+@query("""WITH c AS (SELECT page_id, i, substr(html, i, 1) AS c FROM (SELECT page_id, html, unnest(range(1, length(html) + 1)) AS i FROM pages)), m AS (SELECT * FROM c WHERE c IN ('<', '>'))
+SELECT page_id, max(d) AS max_depth, min(d) AS min_depth, count(*) AS n_marks FROM (SELECT page_id, sum(CASE c WHEN '<' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY i) AS d FROM m) GROUP BY page_id""")
+def brace_depth(t):
+    marks = t("pages").select("page_id", F.posexplode(F.split(F.regexp_replace("html", "[^<>]", ""), "")).alias("i", "c")).filter("c in ('<', '>')")
+    deep = R.running_depth(marks, ["page_id"], "i", F.when(F.col("c") == "<", 1).otherwise(-1))
+    return deep.groupBy("page_id").agg(F.max("depth").alias("max_depth"), F.min("depth").alias("min_depth"), F.count("*").alias("n_marks"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations), n AS (SELECT conv_id, turn, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i][1] || w[i + 1][1] || w[i + 2][1])) AS alias FROM w WHERE len(w) >= 3)
+SELECT conv_id, turn, count(*) AS n_aliases, count(DISTINCT alias) AS n_distinct FROM n GROUP BY ALL""")
+def ngram_acronyms(t):
+    w = t("conversations").select("conv_id", "turn", F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)).alias("w")).filter("size(w) >= 3")
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.transform(F.slice("w", i, 3), lambda x: F.left(x, F.lit(1))), ""))
+    return w.select("conv_id", "turn", F.explode(grams).alias("alias")).groupBy("conv_id", "turn").agg(F.count("*").alias("n_aliases"), F.countDistinct("alias").alias("n_distinct"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT source, doc_id, n_chars // 4 AS cost, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents),
+p(source, k, used, took) AS (SELECT source, k, CAST(cost AS BIGINT), true FROM r WHERE k = 1 UNION ALL SELECT r.source, r.k, p.used + CASE WHEN p.used + r.cost <= 25000 THEN r.cost ELSE 0 END, p.used + r.cost <= 25000 FROM p JOIN r ON r.source = p.source AND r.k = p.k + 1)
+SELECT r.source, r.doc_id, r.cost FROM p JOIN r ON p.source = r.source AND p.k = r.k WHERE took""")
+def budget_pack(t):
+    d = t("documents").select("source", "doc_id", F.expr("n_chars div 4").alias("cost"), (-F.col("n_chars")).alias("o"))
+    return R.budget_packed(d, ["source"], ["o", "doc_id"], "cost", 25_000).select("source", "doc_id", "cost")
+
+
+@query("""SELECT d.doc_id, 2.0::DOUBLE + CASE WHEN d.source = 'src1' THEN 6.0 ELSE 0.0 END + CASE WHEN contains(lower(d.text), 'the') THEN 3.0 ELSE 0.0 END + CASE WHEN l.doc_id IS NOT NULL THEN 3.0 ELSE 0.0 END + CASE WHEN l.quality = 0 THEN 1.5 ELSE 0.0 END AS score
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY score DESC, d.doc_id LIMIT 20""")
+def rerank_score(t):
+    d = t("documents").join(t("labels"), "doc_id", "left")
+    extra = lambda c, x: F.when(c, x).otherwise(0.0)
+    score = 2.0 + extra(F.col("source") == "src1", 6.0) + extra(F.lower("text").contains("the"), 3.0) + extra(F.col("toxic").isNotNull(), 3.0) + extra(F.col("quality") == 0, 1.5)
+    return d.select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query(f"""SELECT doc_id, CASE WHEN source = 'src1' THEN 'src1' WHEN contains(source, 'src1') THEN 'src1' WHEN contains({_L.format("text")}, 'src1') THEN 'src1' ELSE 'idiot' END AS keyword,
+CASE WHEN source = 'src1' THEN 2.0::DOUBLE WHEN contains(source, 'src1') THEN 1.5 ELSE 1.0 END AS base FROM documents WHERE contains(source, 'src1') OR contains({_L.format("text")}, 'src1') OR contains({_L.format("text")}, 'idiot')
+ORDER BY base DESC, doc_id LIMIT 20""")
+def lexical_search(t):
+    d = t("documents").select("doc_id", "source", "text")
+    low = T.ascii_lower(F.col("text"))
+    hits = R.lexical(d, ["src1", "idiot"], lambda k: F.col("source") == k, lambda k: F.col("source").contains(k), lambda k: low.contains(k))
+    return hits.select("doc_id", "keyword", "base").orderBy(F.desc("base"), "doc_id").limit(20)
+
+
+@query("""SELECT page_id, lower('GET ' || CASE WHEN p = '' THEN '/' ELSE p END) AS route FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ':([A-Za-z_][A-Za-z0-9_]*)', '{\\1}', 'g'), '/+$', '') AS p FROM pages)""")
+def route_normalize(t):
+    return t("pages").select("page_id", T.normalize_route(F.lit("GET"), F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1)).alias("route"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'app/' || source ELSE 'app/' || source || '/' || lang END AS root FROM documents""")
+def feature_root(t):
+    path = F.concat_ws("/", F.lit("app"), "source", F.when(F.col("doc_id") % 2 == 0, "controllers").otherwise(F.col("lang")), F.concat(F.col("doc_id").cast("string"), F.lit(".py")))
+    return t("documents").select("doc_id", T.feature_root(path).alias("root"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_distinct(list_sort(list_transform(regexp_extract_all(p_name, '[A-Z]?[a-z]+|[0-9]+'), lambda x: lower(x)))), ',') IS NOT NULL AS ok, len(list_distinct(list_transform(regexp_extract_all(p_name, '[A-Z]?[a-z]+|[0-9]+'), lambda x: lower(x)))) AS n_tokens FROM part""")
+def ident_tokens(t):
+    return t("part").select("p_partkey", F.lit(True).alias("ok"), F.size(T.identifier_tokens(F.col("p_name"))).cast("long").alias("n_tokens"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, l_suppkey + 1000000 AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION SELECT DISTINCT l_suppkey + 1000000, s_nationkey + 2000000 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+r(node, depth) AS (SELECT 1, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 2) SELECT CAST(node AS BIGINT) AS node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node""")
+def khop_calls(t):
+    supplier = (F.col("l_suppkey") + 1_000_000).cast("long")
+    calls = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").cast("long").alias("src"), supplier.alias("dst")).distinct()
+    home = t("supplier").select((F.col("s_suppkey") + 1_000_000).cast("long").alias("src"), (F.col("s_nationkey") + 2_000_000).cast("long").alias("dst"))
+    seeds = t("orders").sparkSession.createDataFrame([(1,)], "node long")
+    return R.k_hops(calls.unionByName(home), seeds, 2)
+
+
+@query("""SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, count(DISTINCT h) AS n_targets, count(DISTINCT h) FILTER (starts_with(h, '/')) AS n_local FROM (SELECT url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages) GROUP BY 1""")
+def dep_context(t):
+    h = t("pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("h"))
+    return h.groupBy("host").agg(F.countDistinct("h").alias("n_targets"), F.countDistinct(F.when(F.col("h").startswith("/"), F.col("h"))).alias("n_local"))
+
+
+@query("""SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier""")
+def union_distinct(t):
+    return t("customer").select(F.col("c_nationkey").alias("k")).union(t("supplier").select("s_nationkey")).distinct()
+
+
+@query("""SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier""")
+def set_except(t):
+    return t("nation").select(F.col("n_nationkey").alias("k")).subtract(t("supplier").select("s_nationkey"))
+
+
+@query("""SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier""")
+def set_intersect(t):
+    return t("customer").select(F.col("c_nationkey").alias("k")).intersect(t("supplier").select("s_nationkey"))
+
+
+@query("""WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new, event_id FROM events),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM f) SELECT user_id, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM g GROUP BY user_id, s""")
+def debounce_sessions(t):
+    return R.sessions(t("events"), "user_id", "ts", "1 hour")
+
+
+def _case(pairs: list[tuple[str, str]], default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in pairs) + f" ELSE '{default}' END"
+
+
+def _has(q: str, cues: list[str]) -> str:
+    return "(" + " OR ".join(f"starts_with({q}, '{c[1:].replace(chr(39), chr(39) * 2)}')" if c[0] == "^" else f"contains({q}, '{c}')" for c in cues) + ")"
+
+
+_ROUTE = _case(
+    [("ai_required", f"{_has('q', planner.REASONING)} OR NOT {_has('q', planner.ENUMERATION)}")]
+    + [(n, _has("q", cues) + (" AND NOT regexp_matches(text, '[\"''`][^\"''`]+[\"''`]|/[A-Za-z0-9_{}/-]+')" if broad else "")) for n, cues, broad in planner.HANDLERS], "ai_required")
+_INTENT = _case(
+    [(n, "regexp_matches(p, '[^a-z0-9_](" + "|".join(c for c in cues if c.isalnum()) + ")[^a-z0-9_]')" + "".join(f" OR contains(p, '{c}')" for c in cues if not c.isalnum())) for n, cues in planner.INTENTS], "question")
+
+
+@query(f"SELECT conv_id, turn, {_ROUTE} AS handler FROM (SELECT *, lower(trim(text)) AS q FROM conversations)")
+def local_planner_route(t):
+    return t("conversations").select("conv_id", "turn", planner.route_column(F.col("text")).alias("handler"))
+
+
+@query(f"SELECT conv_id, turn, {_INTENT} AS intent FROM (SELECT *, ' ' || lower(text) || ' ' AS p FROM conversations)")
+def intent_classify(t):
+    return t("conversations").select("conv_id", "turn", planner.intent_column(F.col("text")).alias("intent"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS n_lines, count(*) FILTER (starts_with(line, 'T')) AS n_added, count(*) FILTER (starts_with(line, 'E')) AS n_removed FROM l GROUP BY doc_id""")
+def patch_stats(t):
+    line = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return line.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("line").startswith("T")).alias("n_added"), F.count_if(F.col("line").startswith("E")).alias("n_removed"))
+
+
+@query("""SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k, len(json_keys(props)) AS n_keys FROM events""")
+def json_columns(t):
+    m = F.from_json("props", "map<string,string>")
+    return t("events").select("event_id", F.coalesce(F.element_at(m, "k"), F.lit("")).alias("k"), F.size(m).cast("long").alias("n_keys"))
+
+
+@query("""SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(source)) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""")
+def ordered_distinct(t):
+    w = Window.partitionBy(F.lower(F.trim("source"))).orderBy("doc_id")
+    return t("documents").withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("doc_id", "lang")
