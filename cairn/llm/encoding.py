@@ -21,7 +21,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.bound, self.known = bound, {}
         self.before = "" if self._drops() else " "
-        self.stops = dict(zip(".,", self._library([".", ","]), strict=True))
+        self.stops = dict(zip(".,\n", self._library([".", ",", "\n"]), strict=True))
 
     def _drops(self) -> bool:
         """Whether white space leaves no trace in the ids."""
@@ -36,6 +36,9 @@ class Encoder:
         """Adds pieces; a full stop or comma after a letter is a pre-token of its own, so such a piece is learned by its parts."""
         known, before, lower = self.known, self.before, not self.before
         parts, cores = [], set()
+        lines = [x.split("\n") for x in new if "\n" in x]  # a single line feed between others is a pre-token of its own
+        if lines:
+            new = {x for x in new if "\n" not in x} | {x[0] for x in lines if x[0] not in known}
         for x in new:
             core, end = (x[:-1], x[-1]) if x[-1] in ".," and x[-2:-1].isalpha() else (x, None)
             if lower and core.isascii():  # this vocabulary has lower case only
@@ -48,6 +51,10 @@ class Encoder:
         known.update(zip(cores, self._library([before + x for x in cores] if before else cores), strict=True))
         for x, core, end in parts:
             known[x] = known[core] + self.stops[end] if end else known[core]
+        starts = list({y for _, *rest in lines for y in rest if (None, y) not in known})
+        known.update(zip(((None, y) for y in starts), self._library(starts), strict=True))
+        for first, *rest in lines:
+            known["\n".join([first, *rest])] = known[first] + b"".join(self.stops["\n"] + known[None, y] for y in rest)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text as bytes; null is empty."""
