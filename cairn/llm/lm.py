@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._base import U64, discard, in_order, mixed, planes, stored, unplanes, word_hashes
 
-CHUNK = 1 << 19  # tokens
+CHUNK = 1 << 18  # tokens
 END = U64(0x5BD1E995A4F1C3D7)  # stands for the end of a text, and as the context of its first word
 FINE = 8  # bins an octave
 BUCKETS = 32
@@ -42,7 +42,7 @@ def _chunks(batches, tokens: int):
         made += 1
         return (part << 24) + made - 1, ids, np.array(fold, np.int8), np.concatenate(h), np.cumsum(n)
 
-    for batch in in_order(batches):
+    for batch in in_order(batches, 1 << 20):
         part = batch.column(3)[0].as_py()
         words, at = word_hashes(batch.column(2))
         size = np.diff(at)
@@ -201,7 +201,7 @@ def lm_scores(docs: DataFrame, ranges: int | None = None, tokens: int = CHUNK) -
     spark = docs.sparkSession
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(fold == 1, 2).when(fold == 2, 1).otherwise(0).cast("int").alias("fold"), "text", F.spark_partition_id().alias("part"))
-    ranges = ranges or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     totals = _sent(rows, ranges, tokens).groupBy("range", "kind").applyInArrow(_totals, _SENT)
     answers, answers_path = stored(totals, "lm-answers")
     stats = np.sum([np.frombuffer(bytes(r.own), np.int64) for r in answers.filter("chunk = -1").select("own").collect()] or [np.zeros(4, np.int64)], axis=0)
