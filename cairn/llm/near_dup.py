@@ -108,21 +108,27 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> D
 
 
 def mixed_pairs(members: DataFrame, estimate: float) -> DataFrame:
-    """Pairs of different components in one bucket whose sketches agree in `estimate` of the coordinates."""
+    """Pairs of different components in one bucket whose sketches agree in `estimate` of the coordinates.
+
+    A pair is given by the bucket of the first band that its documents share, so once in all.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         ids, comp = group.column("id").to_numpy(), group.column("comp").to_numpy()
         low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(len(ids), -1)
+        bands = np.stack([x.values.to_numpy() for x in group.column("bands")])
+        bucket = group.column("bucket")[0].as_py()
         us, vs = [], []
         for i in range(len(ids) - 1):
             other = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
             if len(other):
                 other = other[(low[other] == low[i]).mean(axis=1) >= estimate]
+                other = other[bands[i][(bands[other] == bands[i]).argmax(axis=1)] == bucket]
                 us.append(np.maximum(ids[other], ids[i])), vs.append(np.minimum(ids[other], ids[i]))
         join = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
         return pa.table([join(us), join(vs)], names=["u", "v"])
 
-    return members.groupBy("bucket").applyInArrow(run, "u long, v long").distinct()
+    return members.groupBy("bucket").applyInArrow(run, "u long, v long")
 
 
 def near_duplicates(
@@ -173,7 +179,7 @@ def near_duplicates(
     more(across(stars.join(best.select("u", "v"), ["u", "v"], "left_anti")), "stars-left")
     placed = shared.select("id", "bucket").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_ = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("bucket")
-    members = placed.join(open_, "bucket").join(classes.select("id", "low"), "id")
+    members = placed.join(open_, "bucket").join(classes.select("id", "low", "bands"), "id")
     tried = stars.select("u", "v")
     more(mixed_pairs(members, estimate).join(tried, ["u", "v"], "left_anti"), "cross")
 
