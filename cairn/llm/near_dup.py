@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._base import MIX_A, U64, components, discard, distinct, grams, in_order, mixed, stored, word_hashes
 
-BANDS, ROWS, BITS, SMALL = 42, 6, 9, 2_000_000
+BANDS, ROWS, BITS, SMALL, BLOCK = 42, 6, 9, 2_000_000, 4096
 ESTIMATE = 0.73  # about four standard deviations below 0.8 for 512 coordinates; star pairs are verified whatever they agree in
 
 
@@ -107,20 +107,26 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> D
     )
 
 
-def mixed_pairs(members: DataFrame, estimate: float) -> DataFrame:
+def mixed_pairs(members: DataFrame, estimate: float, block: int = BLOCK) -> DataFrame:
     """Pairs of different components in one bucket whose sketches agree in `estimate` of the coordinates.
 
-    A pair is given by the bucket of the first band that its documents share, so once in all.
+    A pair is given by the bucket of the first band that its documents share, so once in all. Members may carry the size n of
+    their bucket: one of more than `block` is cut into blocks by hash and compared block against block, so no group is larger
+    than about two blocks.
     """
+    blocks = F.ceil((F.col("n") if "n" in members.columns else F.lit(1)) / block).cast("int")
+    members = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    members = members.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("n", "other")
 
     def run(group: pa.Table) -> pa.Table:
-        ids, comp = group.column("id").to_numpy(), group.column("comp").to_numpy()
+        ids, comp, own = group.column("id").to_numpy(), group.column("comp").to_numpy(), group.column("own").to_numpy()
+        apart = group.column("a")[0].as_py() != group.column("b")[0].as_py()
         low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(len(ids), -1)
         bands = np.stack([x.values.to_numpy() for x in group.column("bands")])
         bucket = group.column("bucket")[0].as_py()
         us, vs = [], []
         for i in range(len(ids) - 1):
-            other = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+            other = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & ((own[i + 1 :] != own[i]) | (not apart)))
             if len(other):
                 other = other[(low[other] == low[i]).mean(axis=1) >= estimate]
                 other = other[bands[i][(bands[other] == bands[i]).argmax(axis=1)] == bucket]
@@ -128,7 +134,7 @@ def mixed_pairs(members: DataFrame, estimate: float) -> DataFrame:
         join = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
         return pa.table([join(us), join(vs)], names=["u", "v"])
 
-    return members.groupBy("bucket").applyInArrow(run, "u long, v long")
+    return members.groupBy("bucket", "a", "b").applyInArrow(run, "u long, v long")
 
 
 def near_duplicates(
@@ -178,7 +184,7 @@ def near_duplicates(
 
     more(across(stars.join(best.select("u", "v"), ["u", "v"], "left_anti")), "stars-left")
     placed = shared.select("id", "bucket").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("bucket")
+    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).filter("a < b").select("bucket", "n")
     members = placed.join(open_, "bucket").join(classes.select("id", "low", "bands"), "id")
     tried = stars.select("u", "v")
     more(mixed_pairs(members, estimate).join(tried, ["u", "v"], "left_anti"), "cross")

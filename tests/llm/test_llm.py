@@ -204,6 +204,8 @@ def test_mixed_buckets_find_links_the_stars_miss(spark):
     rows = [(7, 1, 1, low[0], [6, 7]), (7, 2, 2, low[0], [6, 7]), (6, 1, 1, low[0], [6, 7]), (6, 2, 2, low[0], [6, 7]), (7, 3, 1, low[0], [5, 7]), (7, 4, 4, low[1], [4, 7]), (8, 5, 5, low[0], [8, 9])]
     got = near_dup.mixed_pairs(spark.createDataFrame(rows, "bucket long, id long, comp long, low binary, bands array<long>"), 0.66).collect()
     assert sorted((r.u, r.v) for r in got) == [(2, 1), (3, 2)]
+    cut = spark.createDataFrame([(*r, 4) for r in rows], "bucket long, id long, comp long, low binary, bands array<long>, n long")
+    assert sorted((r.u, r.v) for r in near_dup.mixed_pairs(cut, 0.66, block=1).collect()) == [(2, 1), (3, 2)]  # blocks lose and repeat nothing
     chain = spark.createDataFrame([(i + 1, i) for i in range(0, 30)] + [(51, 50)], "u long, v long")
     found, _ = base.components(chain)
     assert {(r.node, r.comp) for r in found.collect()} == {(i, 0) for i in range(31)} | {(50, 50), (51, 50)}
