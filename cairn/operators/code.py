@@ -1,18 +1,20 @@
-"""Symbols, tags, edges and chunks of Python sources; the parser runs in Arrow batches, all else on columns."""
+"""Symbols, tags, edges and chunks of sources; the parsers run in Arrow batches, all else on columns."""
 
 from __future__ import annotations
 
 import ast
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
+from cairn.operators import braces
 
 SYMBOL = (
     "path string, ordinal int, name string, kind string, parent string, start_line int, end_line int, signature string, visibility string, "
-    "annotations array<string>, extends array<string>, calls array<string>, route string, decorator string, package string, imports array<string>"
+    "annotations array<string>, extends array<string>, calls array<string>, route string, decorator string, package string, imports array<string>, implements array<string>"
 )
 _VERBS = ("get", "post", "put", "delete", "patch", "head", "options")
 # Base classes of web views, and modules that hold handlers.
@@ -20,6 +22,8 @@ WEB_VIEW_BASES = [
     "APIView", "ViewSet", "ViewSetMixin", "GenericViewSet", "ModelViewSet", "ReadOnlyModelViewSet", "GenericAPIView", "ListAPIView", "CreateAPIView", "RetrieveAPIView", "UpdateAPIView", "DestroyAPIView", "ListCreateAPIView",
     "RetrieveUpdateAPIView", "RetrieveDestroyAPIView", "RetrieveUpdateDestroyAPIView", "View", "TemplateView", "ListView", "DetailView", "CreateView", "UpdateView", "DeleteView", "FormView", "RedirectView",
 ]
+# Annotations of Spring types and their tags.
+STEREOTYPES = {"RestController": "controller", "Controller": "controller", "Service": "service", "Repository": "repository", "Component": "component", "Configuration": "config"}
 CONTROLLER_MODULES = ["controllers.py", "views.py", "routes.py", "router.py", "api.py"]
 
 
@@ -78,7 +82,7 @@ def python_symbols(path: str, source: str) -> list[tuple]:
             bases = [ast.unparse(b) for b in node.bases] if is_class else []
             head = f"class {node.name}({', '.join(bases)})" if is_class else f"{'async ' * isinstance(node, ast.AsyncFunctionDef)}def {node.name}({ast.unparse(node.args)})"
             visibility = "public" if not node.name.startswith("_") or node.name.endswith("__") else "private"
-            out.append((path, len(out), node.name, kind, parent, node.lineno, node.end_lineno, head, visibility, [_name(d) for d in node.decorator_list], bases, calls, route, decorator, package, imports))
+            out.append((path, len(out), node.name, kind, parent, node.lineno, node.end_lineno, head, visibility, [_name(d) for d in node.decorator_list], bases, calls, route, decorator, package, imports, []))
             if is_class:
                 visit(node.body, node.name)
 
@@ -86,39 +90,93 @@ def python_symbols(path: str, source: str) -> list[tuple]:
     return out
 
 
+Parser = Callable[[str, str], list[tuple]]
+Tagger = Callable[[], Column]
+PARSERS: dict[str, Parser] = {"python": python_symbols, "java": braces.java_symbols, "typescript": braces.typescript_symbols, "javascript": braces.typescript_symbols}
+
+
+def register_parser(language: str, parser: Parser) -> None:
+    """A parser gives rows as in SYMBOL for a path and a text; it replaces the language's own."""
+    PARSERS[language] = parser
+
+
+def register_tagger(language: str, tagger: Tagger) -> None:
+    """A tagger gives the tags as an array column over the columns of SYMBOL; it replaces the language's own."""
+    TAGGERS[language] = tagger
+
+
 def symbols(files: DataFrame) -> DataFrame:
-    """A row for each symbol of the Python files (path, language, text)."""
+    """A row for each symbol of the files (path, language, text); none for a null text or a language without a parser."""
+    parsers = dict(PARSERS)
 
     def run(batches):
         for batch in batches:
-            rows = [s for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s in python_symbols(p, t or "")]
+            columns = (c.to_pylist() for c in batch.columns)
+            rows = [s for p, k, t in zip(*columns, strict=True) for s in parsers[k](p, t or "")]
             strings = pa.list_(pa.string())
-            types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), strings, strings, strings, pa.string(), pa.string(), pa.string(), strings]
+            types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), strings, strings, strings, pa.string(), pa.string(), pa.string(), strings, strings]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[f.split()[0] for f in SYMBOL.split(", ")])
 
-    return files.filter("language = 'python'").select("path", "text").mapInArrow(run, SYMBOL)
+    return files.filter(F.col("language").isin(list(parsers)) & F.col("path").isNotNull()).select("path", "language", "text").mapInArrow(run, SYMBOL)
 
 
-def tagged(df: DataFrame) -> DataFrame:
-    """Tags of Python symbols: structural ones, then by base class, name, module and decorator."""
+def _mark(test: Column, *tags: str) -> Column:
+    return F.when(test, F.array(*map(F.lit, tags))).otherwise(F.array().cast("array<string>"))
+
+
+def python_tags() -> Column:
+    """By base class, name, module and decorator."""
     name, file = F.col("name"), F.lower(F.element_at(F.split("path", "/"), -1))
     module = file.isin(CONTROLLER_MODULES) | file.rlike("_(controller|router)(\\.py)?$")
     bases = F.transform("extends", lambda b: F.element_at(F.split(F.trim(F.element_at(F.split(b, r"\["), 1)), r"\."), -1))
     is_class, has_route = F.col("kind") == "class", F.col("route").isNotNull()
     web = F.exists(bases, lambda b: b.isin(WEB_VIEW_BASES)) | name.rlike("(Controller|ViewSet)$") | (name.endswith("View") & (name != "View")) | module
     controller = (is_class & web) | (~is_class & has_route & (F.col("decorator").rlike(r"(^|\.)route$") | module))
-    mark = lambda c, *tags: F.when(c, F.array(*map(F.lit, tags))).otherwise(F.array().cast("array<string>"))
-    return df.withColumn(
-        "tags",
-        F.array_distinct(F.concat(mark(has_route, "route", "api"), mark(F.col("kind") == "test", "test"), mark(controller, "controller"), mark(is_class & name.endswith("Service"), "service"), mark(is_class & name.rlike("Repo(sitory)?$"), "repository"), mark(controller, "api"))),
+    return F.concat(_mark(controller, "controller"), _mark(is_class & name.endswith("Service"), "service"), _mark(is_class & name.rlike("Repo(sitory)?$"), "repository"), _mark(controller, "api"))
+
+
+def java_tags() -> Column:
+    """By stereotype annotation, in the order of the annotations."""
+    table = F.create_map(*[F.lit(x) for kv in STEREOTYPES.items() for x in kv])
+    found = F.filter(F.transform("annotations", lambda a: F.element_at(table, a)), lambda t: t.isNotNull())
+    return F.concat(found, _mark(F.array_contains(found, "controller"), "api"))
+
+
+def typescript_tags() -> Column:
+    """By decorator, path and name; a capitalised function or class counts as a component."""
+    name, path, notes = F.lower("name"), F.lower("path"), F.transform("annotations", lambda a: F.lower(a))
+    has = lambda note: F.array_contains(notes, note)
+    react = F.col("kind").isin("function", "class") & F.col("name").rlike(r"^\p{Lu}")
+    return F.concat(
+        _mark(has("component") | path.contains("component") | react, "component", "ui"),
+        _mark(has("injectable") | path.contains("/service") | name.endswith("service"), "service"),
+        _mark(path.contains("/store") | name.endswith("store"), "store"),
+        _mark(path.contains("/hook") | name.startswith("use"), "hook"),
+        _mark(path.contains("/page") | path.contains("/view"), "page"),
+        _mark(path.contains("/api") | path.contains("/route") | (F.col("kind") == "route"), "api"),
+        _mark(has("controller") | name.endswith("controller"), "controller"),
     )
 
 
+TAGGERS: dict[str, Tagger] = {"python": python_tags, "java": java_tags, "typescript": typescript_tags, "javascript": typescript_tags}
+
+
+def tagged(df: DataFrame) -> DataFrame:
+    """Tags of symbols, each once: structural ones, then those of the language's tagger."""
+    own = F.array().cast("array<string>")
+    for language, tagger in TAGGERS.items():
+        own = F.when(T.detect_language(F.col("path")) == language, tagger()).otherwise(own)
+    return df.withColumn("tags", F.array_distinct(F.concat(_mark(F.col("route").isNotNull(), "route", "api"), _mark(F.col("kind") == "test", "test"), own)))
+
+
 def edges(df: DataFrame) -> DataFrame:
-    """(path, source, target, edge_type): extends, calls, tested_by, routes_to, and imports from a file's first class."""
+    """(path, source, target, edge_type): extends, implements, configures, calls, tested_by, routes_to, and imports from a file's first class."""
     one = lambda kind, target: df.select("path", F.col("name").alias("source"), target.alias("target"), F.lit(kind).alias("edge_type"))
-    parts = [one("extends", F.explode("extends")), one("calls", F.explode("calls")), one("routes_to", F.col("route")).filter("target is not null")]
+    parts = [one("extends", F.explode("extends")), one("implements", F.explode("implements")), one("calls", F.explode("calls")), one("routes_to", F.col("route")).filter("target is not null")]
     parts.append(df.filter("kind = 'test'").select("path", F.col("name").alias("source"), F.explode("calls").alias("target"), F.lit("tested_by").alias("edge_type")))
+    holders = df.filter(F.array_contains("annotations", "Configuration")).select("path", F.col("name").alias("source")).distinct()
+    beans = df.filter(F.array_contains("annotations", "Bean")).select("path", F.col("parent").alias("source"), F.col("name").alias("target"))
+    parts.append(beans.join(holders, ["path", "source"]).select("path", "source", "target", F.lit("configures").alias("edge_type")))
     first = df.filter("kind = 'class'").groupBy("path").agg(F.min_by("name", "ordinal").alias("source"), F.min_by("imports", "ordinal").alias("i"))
     parts.append(first.select("path", "source", F.explode("i").alias("target"), F.lit("imports").alias("edge_type")))
     out = parts[0]
