@@ -233,6 +233,23 @@ def test_quality_bands(spark):
     assert got == {0: True, 1: False, 2: False}
 
 
+def test_quality_bands_reject_what_is_above_clean_text_of_its_length():
+    bands = quality.Bands()
+    clean = [(70, 1.13), (120, 1.24), (200, 1.56), (400, 1.71), (700, 1.89), (1500, 2.04), (2500, 2.15), (5000, 2.29), (10000, 2.38), (30000, 2.48)]
+    for n, ratio in clean:  # the largest clean ratios of labelled documents
+        assert bands.verdict(n, ratio) == 0 and bands.verdict(n, 1.07 * ratio + 0.05) == 1
+    assert bands.verdict(130, 0.93) == bands.verdict(200, 1.04) == -1  # random letters and digits
+    assert bands.verdict(4096, 2.25, chunk=True) == 0 and bands.verdict(4096, 2.4, chunk=True) == 1
+
+
+def test_quality_rejects_repeats_that_the_base_rules_pass(spark):
+    rng = np.random.default_rng(12)
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlu"), 5)) for _ in range(60)]
+    text = " ".join(x for _ in range(1500) for x in [" ".join(rng.choice(vocabulary, 2)) + str(rng.integers(10))])
+    got = quality.quality_rules(spark.createDataFrame([(0, text)], "doc_id long, text string")).first()
+    assert not got.base_failed and 2.7 < got.ratio < 4 and not got.kept and got.bad_chunks >= 2
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(4)
     rows, labels = [], []
