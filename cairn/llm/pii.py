@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._base import in_order
+from .tlds import TLDS
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -184,7 +185,17 @@ _TOKEN = re.compile(r"[^\W_]+")
 _MARK_AT = re.compile(rf"(?i)(?<=[a-z0-9])\s*[\[({{<]\s*(?:{_words(AT_WORDS)}|@)\s*[\])}}>]\s*(?=[a-z0-9])")
 _MARK_DOT = re.compile(rf"(?i)(?<=[a-z0-9])\s*[\[({{<]\s*(?:{_words(DOT_WORDS)}|\.)\s*[\])}}>]\s*(?=[a-z0-9])")
 _SAID_DOT = re.compile(rf"(?i)(?<=[a-z0-9])[ _]+(?:{_words(DOT_WORDS)})[ _]+(?=[a-z0-9])")
-_SAID_AT = re.compile(rf"(?i)(?<=[a-z0-9])[ _]+(?:{_words(AT_WORDS)}|@)[ _]+(?=[a-z0-9-]+(?:\.[a-z0-9-]+)+)")
+_SAID_AT = re.compile(rf"(?i)(?<=[a-z0-9])[ _]+({_words(AT_WORDS)}|@)[ _]+(?=([a-z0-9-]++(?:\.[a-z0-9-]++)++)(?!@))")
+_NEAR_AT = re.compile(rf"[ _](?:{_words(AT_WORDS)}|@)[ _]+[a-z0-9-]++\.[a-z0-9-]")
+# Words before " at " that are a sentence's and hardly a mailbox's.
+_NO_MAILBOX = frozenset(
+    """a an and any anyone are arrive arrived as available be been being based best better both bought buy but by call can check chat download
+    downloads each else error errors even everyone fetch find for found from get glance go had has have he her here him his hosted how if in is it its
+    just laugh like listed listen listening live lived lives located look looked looking looks may meet meeting more my no not now of on online only or
+    order our out pointed pointing posted published reach read register released running said see seen sell she shop shown sign sit so sold stare
+    started stay stop stored than that the their them then there these they this those to today try up us visit visited visiting was watch we were what
+    when where which while who will with work worked working works would yes yet you your""".split()
+)
 _LOOSE_DOT = re.compile(r"(?<=[A-Za-z0-9]) \. (?=[a-z]{2})")
 _LOOSE_AT = re.compile(r"(?<=[A-Za-z0-9])(?: +@ *| *@ +)(?=[A-Za-z0-9])")
 
@@ -201,6 +212,28 @@ def _spelled(m: re.Match) -> str | None:
     return x if sum(c.isdigit() for c in x) >= 4 else None
 
 
+def _said_at(t: Traced):
+    """Replaces an at before a dotted domain: always where the address has a disguise of its own or the at can mean nothing else,
+    a lone "at" only between what can be a mailbox and a known top-level domain."""
+
+    def to(m: re.Match) -> str | None:
+        text, start = t.text, m.start()
+        while start > 0 and text[start - 1] in _LOCAL_ENDS and m.start() - start < 64:
+            start -= 1
+        local, domain = text[start : m.start()], m[2]
+        last = domain.rpartition(".")[2]
+        if not last.isalpha():
+            return None
+        if t.span(start, m.start())[2] or t.span(*m.span(2))[2]:
+            return "@"
+        if last.lower() not in TLDS or not (last.islower() or domain.isupper()):
+            return None
+        mailbox = any(x.isalpha() for x in local) or sum(x.isdigit() for x in local) >= 5
+        return "@" if mailbox and (m[1].lower() != "at" or local.strip("._").lower() not in _NO_MAILBOX) else None
+
+    return to
+
+
 def normalised(text: str) -> Traced | None:
     """The text without disguises; None if it has none."""
     t = base = Traced(text)
@@ -219,8 +252,8 @@ def normalised(text: str) -> Traced | None:
         t = t.rewritten(_LOOSE_AT, lambda m: "@")
         if t is not loose:
             t = t.rewritten(_LOOSE_DOT, lambda m: ".")
-    if t is not base:  # a lone " at " counts only in texts that have another disguise
-        t = t.rewritten(_SAID_AT, lambda m: "@")
+    if _NEAR_AT.search(t.text.lower()):
+        t = t.rewritten(_SAID_AT, _said_at(t))
     return None if t is base else t
 
 

@@ -87,6 +87,31 @@ def test_pii_leaves_clean_text_alone():
         assert pii.found(x) == ([], []) and pii.masked(x) == x
 
 
+@pytest.mark.parametrize(
+    "text, span",
+    [
+        ("write to anna at example.org", "anna at example.org"),
+        ("Write to ANNA AT EXAMPLE.ORG!", "ANNA AT EXAMPLE.ORG"),
+        ("(anna.berg_2 at mail.example.co.uk).", "anna.berg_2 at mail.example.co.uk"),
+        ("correo: ana arroba ejemplo.es, o llame", "ana arroba ejemplo.es"),
+        ("à luc arobase exemple.fr.", "luc arobase exemple.fr"),
+        ("12345678 at qq.com", "12345678 at qq.com"),
+        ("anna_at_example.org", "anna_at_example.org"),
+    ],
+)
+def test_pii_at_in_words_needs_no_other_disguise(text, span):
+    want = ("email", text.index(span), text.index(span) + len(span))
+    for more in ("", " Call bob (at) example.com", " Аnна"):  # whatever else the text holds
+        assert want in pii.found(text + more)[1]
+    assert span not in pii.masked(text)
+
+
+def test_pii_at_in_sentences_is_no_email():
+    for x in ("look at example.com", "find us at www.example.org now", "we met at home.Then we left", "it stood at 3.5 percent", "seen at 10.20.30.x", "he ran version 2 at example.com", "stay at foo.barbaz", "error at main.py"):
+        for more in ("", " bob (at) example.com"):
+            assert all(a >= len(x) for _, a, _ in pii.found(x + more)[1]) and pii.masked(x) == x
+
+
 def test_pii_long_runs_are_linear():
     pii.found("a" * 300_000), pii.found("1" * 200_000), pii.found("+1" + "(" * 200_000), pii.found("1." * 100_000), pii.found("one " * 40_000)
 
