@@ -1,9 +1,9 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items become overlapping windows. A region of a text within e edits of a window of w characters shares at least
-w + 1 - q * (e + 1) of its q-grams, all on diagonals that differ by at most e. So q-grams that a text shares with the windows
-are counted in overlapping bands of diagonals, bands that meet the bound are kept, and a banded alignment decides. Counting of
-a text starts only where enough of its q-grams belong to any window, which the lemma needs as well.
+Every stretch of w characters of an item is a window, whatever its start. A region of a text within e edits of a window shares at
+least w + 1 - q * (e + 1) of its q-grams, all on diagonals that differ by at most e. So q-grams that a text shares with an item
+are put in overlapping bands of diagonals, windows that hold enough of a band's q-grams are kept, and a banded alignment of all of
+them at once decides. Counting of a text starts only where enough of its q-grams belong to any item, which the lemma needs as well.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ._base import U64, in_order, mixed
 
-Q, WINDOW, STRIDE, EDIT_SHARE, BLOCK_BYTES = 10, 100, 50, 0.07, 16 << 20
+Q, WINDOW, EDIT_SHARE, BLOCK_BYTES = 10, 100, 0.07, 16 << 20
 _BASE = U64(0x100000001B3)
 
 
@@ -51,40 +51,38 @@ def qgrams(x: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """Windows of items and their q-grams: keys sorted, rows of key i at first[i]:first[i + 1]."""
+    """Items and their q-grams: keys sorted, rows of key i (item, place in it) at first[i]:first[i + 1]; size of an item's windows."""
 
     q: int
     items: np.ndarray
     codes: list[np.ndarray]
+    size: np.ndarray
     edits: np.ndarray
     need: np.ndarray
     keys: np.ndarray
     first: np.ndarray
-    window: np.ndarray
+    item: np.ndarray
     place: np.ndarray
     seen: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple[int, str | None]], q: int = Q, size: int = WINDOW, stride: int = STRIDE, share: float = EDIT_SHARE) -> Index:
+    def of(cls, items: list[tuple[int, str | None]], q: int = Q, size: int = WINDOW, share: float = EDIT_SHARE) -> Index:
         ids, codes = [], []
         for item, text in items:
             x = _codes(text)
-            if len(x) < q:
-                continue
-            starts = sorted({*range(0, max(1, len(x) - size + 1), stride), max(0, len(x) - size)})
-            for a in starts:
-                ids.append(item), codes.append(x[a : a + size])
-        edits = np.array([min(int(len(x) * share), (len(x) + 1) // q - 2 if len(x) >= 2 * q else 0) for x in codes], np.int64).clip(0)
-        need = np.array([len(x) + 1 for x in codes], np.int64) - q * (edits + 1)
+            if len(x) >= q:
+                ids.append(item), codes.append(x)
+        sizes = np.array([min(len(x), size) for x in codes], np.int64)
+        edits = np.array([min(int(n * share), (n + 1) // q - 2 if n >= 2 * q else 0) for n in sizes.tolist()], np.int64).clip(0)
         grams = [qgrams(x, q) for x in codes]
         all_ = np.concatenate(grams) if grams else np.empty(0, U64)
-        window = np.repeat(np.arange(len(codes)), [len(g) for g in grams])
+        item = np.repeat(np.arange(len(codes)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
         order = np.argsort(all_, kind="stable")
         keys, first = np.unique(all_[order], return_index=True)
         seen = np.zeros(1 << 22, bool)
         seen[(keys >> U64(42)).astype(np.int64)] = True
-        return cls(q, np.array(ids, np.int64), codes, edits, need, keys, np.append(first, len(all_)), window[order], place[order], seen)
+        return cls(q, np.array(ids, np.int64), codes, sizes, edits, sizes + 1 - q * (edits + 1), keys, np.append(first, len(all_)), item[order], place[order], seen)
 
     def found(self, x: np.ndarray) -> list[int]:
         """Items of which a window lies within its edits in the text."""
@@ -97,7 +95,7 @@ class Index:
         key = np.searchsorted(self.keys, h[at]).clip(max=len(self.keys) - 1)
         right = self.keys[key] == h[at]
         at, key = at[right], key[right]
-        span = max(map(len, self.codes)) + int(self.edits.max())
+        span = int(self.size.max() + self.edits.max())
         k = int(self.need.min())
         if len(at) < k:
             return []
@@ -110,46 +108,70 @@ class Index:
         at, key = at[inside], key[inside]
         n = self.first[key + 1] - self.first[key]
         rows = np.repeat(self.first[key] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        window, diagonal = self.window[rows], np.repeat(at, n) - self.place[rows] + span
+        item, place = self.item[rows], self.place[rows]
+        base = max(map(len, self.codes))
+        diagonal = np.repeat(at, n) - place + base
         step = int(self.edits.max()) + 1
-        hits = []
-        for shift in (0, step):  # bands of 2 * step diagonals, the second set half a band on
-            band = (diagonal + shift) // (2 * step)
-            code, count = np.unique(window * (1 << 40) + band, return_counts=True)
-            good = code[count >= self.need[code >> 40]]
-            hits += [(int(c >> 40), int(c & ((1 << 40) - 1)) * 2 * step - shift - span) for c in good]
         out: set[int] = set()
-        for w, low in hits:
-            item = int(self.items[w])
-            if item not in out and within(self.codes[w], x, low, low + 2 * step - 1, int(self.edits[w])):
-                out.add(item)
+        for shift in (0, step):  # bands of 2 * step diagonals, the second set half a band on
+            group = item * (1 << 40) + (diagonal + shift) // (2 * step)
+            order = np.lexsort((place, group))
+            group, row = group[order], place[order]
+            mine = group >> 40
+            last = np.arange(len(group)) + self.need[mine] - 1
+            ok = np.flatnonzero(last < len(group))
+            last = last[ok]
+            ok, last = (y[(group[ok] == group[last]) & (row[last] - row[ok] <= self.size[mine[ok]] - self.q)] for y in (ok, last))
+            for g in np.unique(group[ok]).tolist():  # windows that hold q-grams ok to last of their band
+                w, low = g >> 40, (g & ((1 << 40) - 1)) * 2 * step - shift - base
+                if int(self.items[w]) in out:
+                    continue
+                here, size = group[ok] == g, int(self.size[w])
+                a, b = (row[last[here]] + self.q - size).clip(0), row[ok[here]].clip(max=len(self.codes[w]) - size)
+                starts = np.zeros(len(self.codes[w]) + 2, np.int64)
+                np.add.at(starts, a, 1), np.add.at(starts, b + 1, -1)
+                starts = np.flatnonzero(np.cumsum(starts) > 0)
+                one = starts[len(starts) // 2 :][:1]  # most leaks show in any window
+                if any(aligned(self.codes[w], y, size, x, low, low + 2 * step - 1, int(self.edits[w])) for y in (one, starts)):
+                    out.add(int(self.items[w]))
         return sorted(out)
 
 
 def within(a: np.ndarray, x: np.ndarray, low: int, high: int, edits: int) -> bool:
     """Whether all of a aligns with some stretch of x at most `edits` away, starting on diagonals low to high."""
-    for d in range(max(0, low), min(high, len(x) - len(a)) + 1):
-        if x[d] == a[0] and np.array_equal(x[d : d + len(a)], a):
-            return True
-    if not edits:
-        return False
+    return aligned(a, np.zeros(1, np.int64), len(a), x, low, high, edits)
+
+
+def aligned(a: np.ndarray, starts: np.ndarray, size: int, x: np.ndarray, low: int, high: int, edits: int, step: int = 512) -> bool:
+    """Whether a window of `size` characters of a, from one of the starts, aligns with some stretch of x at most `edits` away.
+
+    The stretch begins on diagonals (place in x less place in a) low to high, or up to `edits` beside them.
+    """
+    if len(starts) > step:
+        return any(aligned(a, starts[k : k + step], size, x, low, high, edits, step) for k in range(0, len(starts), step))
     low, high = low - edits, high + edits
-    width = high - low + 1
-    place = np.arange(width)
-    cost = np.where((place + low >= 0) & (place + low <= len(x)), 0, 1 << 20)  # cost[j]: row i ends before x[i + low + j]
-    padded = np.full(len(a) + width + 1, -1, np.int64)
-    src = np.arange(low, low + len(padded))
-    ok = (src >= 0) & (src < len(x))
-    padded[ok] = x[src[ok]]
-    for i in range(len(a)):
-        here = padded[i : i + width]
-        step = cost + (here != a[i])
-        step[here < 0] = 1 << 20
-        step[:-1] = np.minimum(step[:-1], cost[1:] + 1)  # a[i] left out
-        cost = np.minimum.accumulate(step - place) + place  # characters of x left out
-        if cost.min() > edits:
-            return False
-    return bool(cost.min() <= edits)
+    place = np.arange(high - low + 1)
+    from_ = starts[:, None] + low + place  # cost[s, j]: row i of window s ends before x[from_[s, j] + i]
+    cost = np.where((from_ >= 0) & (from_ <= len(x)), 0, 1 << 20)
+    first = int(from_[0, 0])
+    padded = np.full(int(from_[-1, -1]) - first + size + 1, -1, np.int64)  # what x holds there
+    b, e = max(0, first), min(len(x), first + len(padded))
+    if b >= e:
+        return False
+    padded[b - first : e - first] = x[b:e]
+    from_ -= first
+    for i in range(size):
+        here = padded[from_ + i]
+        new = cost + (here != a[starts + i][:, None])
+        new[here < 0] = 1 << 20
+        new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)  # a's character left out
+        cost = np.minimum.accumulate(new - place, axis=1) + place  # characters of x left out
+        good = cost.min(axis=1) <= edits
+        if not good.all():
+            if not good.any():
+                return False
+            cost, from_, starts = cost[good], from_[good], starts[good]
+    return True
 
 
 def item_blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[list[tuple[int, str]]]:

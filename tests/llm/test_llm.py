@@ -316,6 +316,53 @@ def test_decontamination(spark, empty):
     assert decontaminate.contamination(empty, bench).count() == 0
 
 
+def test_decontamination_finds_passages_at_any_start():
+    rng = np.random.default_rng(13)
+    item = words(rng, 90)[:300].replace("  ", " ")
+    index = decontaminate.Index.of([(7, item)])
+    found = lambda x: index.found(np.frombuffer(decontaminate.folded(x), "<u4"))
+    before, after = words(rng, 40) + " #", "# " + words(rng, 40)
+    for at in (0, 1, 13, 25, 26, 49, 77, 125, 163, len(item) - 101, len(item) - 100):
+        passage = item[at : at + 100]
+        if passage != passage.strip():
+            passage = item[at - 1 : at + 101].strip()
+        assert found(before + passage + after) == [7], at
+        for edits, want in ((6, [7]), (40, [])):
+            s = list(passage)
+            for k in rng.choice(np.arange(1, len(s) - 1), edits, replace=False):
+                s[k] = "q"
+            assert found(before + "".join(s) + after) == want, (at, edits)
+        assert found(before + passage[:80] + after) == []
+
+
+def test_decontamination_equals_brute_force_over_all_windows():
+    rng = np.random.default_rng(14)
+
+    def near(a, x):
+        row = [0] * (len(x) + 1)
+        for i, c in enumerate(a):
+            new = [i + 1]
+            for j, d in enumerate(x):
+                new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row)
+
+    seen = set()
+    for n in range(60):
+        item = rng.integers(97, 105, 45)
+        index = decontaminate.Index.of([(1, "".join(map(chr, item)))], q=4, size=30, share=0.1)
+        at, length = int(rng.integers(0, 15)), int(rng.integers(26, 34))
+        x = list(item[at : at + length])
+        for k in rng.integers(0, len(x), int(rng.integers(0, 5))):
+            kind = rng.integers(3)
+            x[k : k + (kind != 0)] = [] if kind == 1 else [int(rng.integers(97, 105))]
+        x = np.array([*rng.integers(97, 105, 20), *x, *rng.integers(97, 105, 20)], "<u4")
+        want = any(near(item[s : s + 30].tolist(), x.tolist()) <= 3 for s in range(16))
+        seen.add(want)
+        assert (index.found(x) == [1]) == want, n
+    assert seen == {True, False}
+
+
 def test_alignment_equals_edit_distance():
     rng = np.random.default_rng(8)
 
