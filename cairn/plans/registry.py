@@ -153,6 +153,15 @@ def mention_theta(t):
     return words(t("benchmark"), "item_id").filter(F.length("w") >= 9).join(words(t("documents"), "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n_shared"))
 
 
+@query()
+def mention_words(t):
+    """As mention_theta with words of every length; frequent ones are spread by document, so no word is one task."""
+    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.split("text", " "))).alias("w")).filter("w <> ''")
+    items = words(t("benchmark"), "item_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    docs = words(t("documents"), "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
+    return items.join(docs, ["w", "salt"]).groupBy("item_id", "doc_id").agg(F.count("*").alias("n_shared"))
+
+
 @query(f"""WITH e AS (SELECT p_partkey, p_name FROM part WHERE p_name = 'no such part'), l AS (SELECT p_partkey, p_name FROM part WHERE {_L.format("p_name")} LIKE '%re%')
 SELECT * FROM e UNION ALL SELECT * FROM (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM e) ORDER BY p_partkey LIMIT 50)""")
 def fallback_exact_else_like(t):
