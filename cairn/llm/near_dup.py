@@ -69,11 +69,11 @@ def sketched(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 band.append(b.view(np.int64).tolist())
                 low.append(mixed(s).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(low, pa.binary())],
-                names=["doc_id", "n_shingles", "key", "bands", "low"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(low, pa.binary())],
+                names=["doc_id", "h", "n_shingles", "key", "bands", "low"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, low binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, n_shingles long, key binary, bands array<long>, low binary")
 
 
 def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
@@ -82,7 +82,7 @@ def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The stored pairs (u, v) whose full shingle sets have 100 * intersection >= threshold * union; texts has one text an id."""
+    """The stored pairs (u, v) whose full shingle sets have 100 * intersection >= threshold * union; texts has one text a class (id)."""
 
     def run(batches):
         last, kept = None, None
@@ -99,9 +99,9 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array([us[i] for i in good], pa.int64()), pa.array([vs[i] for i in good], pa.int64())], names=["u", "v"])
 
     return (
-        texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a"))
+        texts.select(F.col("id").alias("u"), F.col("text").alias("a"))
         .join(small(pairs.select("u", "v")), "u")
-        .join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+        .join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
         .select("u", "v", "a", "b")
         .mapInArrow(run, "u long, v long")
     )
@@ -143,7 +143,8 @@ def near_duplicates(
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text, ...).
 
     A null or blank text has no shingles and is linked with nothing. A null doc_id takes part in no link and keeps a null
-    component_id and kept = true. Rows that repeat a doc_id are one document per text and share the smallest component.
+    component_id and kept = true. Rows that repeat a doc_id are one document, whose texts are compared each and linked with each
+    other. Inside, ids are rows of the table of classes; they become doc_ids at the end.
     Columns other than doc_id and text are ignored. An empty table gives an empty result.
     """
     spark, paths = docs.sparkSession, []
@@ -155,15 +156,20 @@ def near_duplicates(
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows_, rows_path = stored(sketched(docs, size, bands, rows), "sketches")
-    classes = keep(rows_.filter("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("low", "doc_id").alias("low")), "classes")
+    grouped = rows_.filter("doc_id is not null and key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("of"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("low", "doc_id").alias("low"))
+    grouped = grouped.select("key", F.col("of.doc_id").alias("doc_id"), F.col("of.h").alias("h"), "bands", "low").sortWithinPartitions("doc_id", "h")
+    classes = keep(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("id", F.explode("bands").alias("bucket"))
     least = buckets.groupBy("bucket").agg(F.min("id").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = keep(buckets.join(least, "bucket"), "shared")  # only buckets that classes share go on
     stars = keep(shared.filter("id <> v").groupBy(F.col("id").alias("u"), "v").agg(F.count("*").alias("votes")), "stars")
-    some = keep(shared.select(F.col("id").alias("doc_id")).distinct(), "members")
-    texts = keep(docs.join(small(some), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    some = keep(classes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "h"), "members")
+    texts = keep(docs.withColumn("h", F.xxhash64("text")).join(small(some), ["doc_id", "h"]).groupBy("id").agg(F.min("text").alias("text")), "texts")
     best = keep(stars.groupBy("u").agg(F.max_by("v", F.struct("votes", -F.col("v"))).alias("v")), "best")
-    labels, at = components(keep(verified(best, texts, size, threshold), "links"))
+    several = rows_.filter("doc_id is not null and key is not null").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("doc_id")
+    several = keep(rows_.join(keep(several, "several"), "doc_id").select("doc_id", "key").distinct().join(classes.select("key", "id"), "key").select("doc_id", "id"), "several-classes")
+    same = several.join(several.groupBy("doc_id").agg(F.min("id").alias("v")), "doc_id").filter("id <> v").select(F.col("id").alias("u"), "v")
+    labels, at = components(keep(verified(best, texts, size, threshold).unionAll(same), "links"))
 
     def across(pairs: DataFrame) -> DataFrame:
         for end in "uv":
@@ -189,7 +195,8 @@ def near_duplicates(
     tried = stars.select("u", "v")
     more(mixed_pairs(members, estimate).join(tried, ["u", "v"], "left_anti"), "cross")
 
-    ends = classes.select("key", F.col("id").alias("node")).join(labels, "node", "left").select("key", F.coalesce("comp", "node").alias("c"))
+    named = labels.join(classes.select(F.col("id").alias("node"), "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("c"))
+    ends = classes.select("key", "doc_id", F.col("id").alias("node")).join(labels.join(named, "comp").select("node", "c"), "node", "left").select("key", F.coalesce("c", "doc_id").alias("c"))
     own = rows_.select("doc_id", "n_shingles", "key").join(ends, "key", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
     final, _ = stored(own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "near-dup")
     discard(spark, rows_path, at, *paths)

@@ -211,6 +211,14 @@ def test_near_duplicates(spark, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_compares_every_text_of_a_repeated_id(spark):
+    rng = np.random.default_rng(15)
+    a, b, c = (words(rng, 150) for _ in range(3))
+    rows = [(1, "a " + a), (1, "b " + b), (5, "b " + b + " tail"), (6, "a " + a + " tail"), (7, c), (8, "d " + c), (9, "a " + words(rng, 150))]
+    got = [(r.doc_id, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()]
+    assert sorted(got) == [(1, 1), (1, 1), (5, 1), (6, 1), (7, 7), (8, 7), (9, 9)]
+
+
 def test_sketch_fills_every_coordinate_and_concentrates():
     rng = np.random.default_rng(3)
     for n in (1, 2, 10, 300, 3000):
