@@ -230,6 +230,12 @@ def test_sketch_fills_every_coordinate_and_concentrates():
     assert abs((a == b).mean() - 800 / 1200) < 0.12
 
 
+def test_estimate_loses_fewer_pairs_than_the_bands():
+    n = 1 << near_dup.BITS
+    lost = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(math.ceil(near_dup.ESTIMATE * n)))
+    assert lost < 1e-6 < (1 - 0.8**near_dup.ROWS) ** near_dup.BANDS
+
+
 def test_mixed_buckets_find_links_the_stars_miss(spark):
     import cairn.llm._base as base
 
