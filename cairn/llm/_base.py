@@ -45,6 +45,11 @@ def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def small(df: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """A table of a few numbers a row, stored or cheap to count: broadcast up to `limit` rows (tens of MB), shuffled beyond."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables that no returned DataFrame reads."""
     for path in paths:

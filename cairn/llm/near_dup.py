@@ -9,7 +9,10 @@ Documents with equal shingle sets are one class first. Per band, each class is p
 each class verifies its most frequent such partner, components are formed, and only pairs that still lie in different
 components go on: first the other partners, then every pair inside buckets that still mix components whose sketches agree
 in at least `estimate` of the coordinates. A bucket whose members all have one component costs one row, however many
-near copies it holds, and no pair is ever capped.
+near copies it holds, and no pair is ever capped. Pairs whose set sizes alone rule out the threshold stop before any text moves.
+
+What is shuffled: keys and ids, buckets (a hash with the band's number in its six low bits), the sketches of members of mixed
+buckets, and the texts of pairs to verify. A sketch keeps eight bits a coordinate, of which the buckets are made as well.
 """
 
 from __future__ import annotations
@@ -20,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import MIX_A, U64, components, discard, distinct, grams, in_order, mixed, stored, word_hashes
+from ._base import MIX_A, U64, components, discard, distinct, grams, in_order, mixed, small, stored, word_hashes
 
-BANDS, ROWS, BITS, SMALL, BLOCK = 42, 6, 9, 2_000_000, 4096
+BANDS, ROWS, BITS, BLOCK = 42, 6, 9, 4096
 ESTIMATE = 0.71  # over five standard deviations below 0.8 for 512 coordinates; star pairs are verified whatever they agree in
 
 
@@ -51,34 +54,31 @@ def sketch(x: np.ndarray, bits: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+    """id (of the row), doc_id, h (hash of the text), n_shingles, key (of the set) and low (the sketch's coordinates, eight bits each)."""
+
     def run(batches):
         bits = max(BITS, (bands * rows - 1).bit_length())
-        salt = mixed(np.arange(1, bands + 1, dtype=U64))
         for batch in in_order(batches):
-            n, key, band, low = [], [], [], []
+            n, key, low = [], [], []
             for x in shingle_sets(batch.column(1), size):
                 n.append(len(x))
-                if not len(x):
-                    key.append(None), band.append(None), low.append(None)
-                    continue
-                key.append(xxhash.xxh3_128_digest(x.tobytes()))
-                s = sketch(x, bits)
-                b = salt.copy()
-                for k in range(rows):
-                    b = mixed(b + s[k * bands : (k + 1) * bands])
-                band.append(b.view(np.int64).tolist())
-                low.append(mixed(s).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(low, pa.binary())],
-                names=["doc_id", "h", "n_shingles", "key", "bands", "low"],
-            )
+                key.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
+                low.append(mixed(sketch(x, bits)).astype(np.uint8).tobytes() if len(x) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "h", "n_shingles", "key", "low"])
+
+    made = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, n_shingles long, key binary, low binary")
+    return made.withColumn("id", F.monotonically_increasing_id())
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, n_shingles long, key binary, bands array<long>, low binary")
 
+def bucketed(rows_: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(id, bucket): a hash of each band's coordinates, with the band in its six low bits."""
+    band = lambda b: F.xxhash64(F.substring("low", b * rows + 1, F.lit(rows))).bitwiseAND(F.lit(-64)).bitwiseOR(b.cast("long"))
+    return rows_.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("bucket"))
 
-def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
-    """A stored table of a few numbers a row: broadcast up to `limit` rows (tens of MB), shuffled beyond."""
-    return F.broadcast(df) if df.count() <= limit else df
+
+def alike(a: str, b: str, threshold: int):
+    """Whether sets of sizes a and b can reach the threshold."""
+    return F.expr(f"100 * least({a}, {b}) >= {threshold} * greatest({a}, {b})")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
@@ -91,45 +91,40 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> D
             for i, x in enumerate(shingle_sets(batch.column("a"), size)):
                 if vs[i] != last:
                     last, kept = vs[i], shingle_sets(bs.slice(i, 1), size)[0]
-                if 100 * min(len(x), len(kept)) < threshold * max(len(x), len(kept)):
-                    continue
                 both = len(np.intersect1d(x, kept, assume_unique=True))
                 if 100 * both >= threshold * (len(x) + len(kept) - both):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([us[i] for i in good], pa.int64()), pa.array([vs[i] for i in good], pa.int64())], names=["u", "v"])
 
-    return (
-        texts.select(F.col("id").alias("u"), F.col("text").alias("a"))
-        .join(small(pairs.select("u", "v")), "u")
-        .join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-        .select("u", "v", "a", "b")
-        .mapInArrow(run, "u long, v long")
-    )
+    left = texts.select(F.col("id").alias("u"), F.col("text").alias("a")).join(small(pairs.select("u", "v")), "u")
+    right = texts.select(F.col("id").alias("v"), F.col("text").alias("b")).join(small(pairs.select("v").distinct()), "v", "left_semi")
+    return left.join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def mixed_pairs(members: DataFrame, estimate: float, block: int = BLOCK) -> DataFrame:
+def mixed_pairs(members: DataFrame, estimate: float, threshold: int = 80, rows: int = ROWS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
     """Pairs of different components in one bucket whose sketches agree in `estimate` of the coordinates.
 
-    A pair is given by the bucket of the first band that its documents share, so once in all. Members may carry the size n of
-    their bucket: one of more than `block` is cut into blocks by hash and compared block against block, so no group is larger
-    than about two blocks.
+    Members (bucket, id, comp, low, n_shingles). A pair is given by the bucket of the first band that its documents share, so
+    once in all. Members may carry the size n of their bucket: one of more than `block` is cut into blocks by hash and compared
+    block against block, so no group is larger than about two blocks.
     """
     blocks = F.ceil((F.col("n") if "n" in members.columns else F.lit(1)) / block).cast("int")
     members = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members = members.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("n", "other")
 
     def run(group: pa.Table) -> pa.Table:
-        ids, comp, own = group.column("id").to_numpy(), group.column("comp").to_numpy(), group.column("own").to_numpy()
+        ids, comp, own, n = (group.column(c).to_numpy() for c in ("id", "comp", "own", "n_shingles"))
         apart = group.column("a")[0].as_py() != group.column("b")[0].as_py()
         low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(len(ids), -1)
-        bands = np.stack([x.values.to_numpy() for x in group.column("bands")])
-        bucket = group.column("bucket")[0].as_py()
+        band = group.column("bucket")[0].as_py() & 63
         us, vs = [], []
         for i in range(len(ids) - 1):
-            other = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & ((own[i + 1 :] != own[i]) | (not apart)))
+            sizes = 100 * np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i])
+            other = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & ((own[i + 1 :] != own[i]) | (not apart)) & sizes)
             if len(other):
-                other = other[(low[other] == low[i]).mean(axis=1) >= estimate]
-                other = other[bands[i][(bands[other] == bands[i]).argmax(axis=1)] == bucket]
+                same = low[other] == low[i]
+                first = same[:, : bands * rows].reshape(len(other), bands, rows).all(axis=2).argmax(axis=1)
+                other = other[(same.mean(axis=1) >= estimate) & (first == band)]
                 us.append(np.maximum(ids[other], ids[i])), vs.append(np.minimum(ids[other], ids[i]))
         join = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
         return pa.table([join(us), join(vs)], names=["u", "v"])
@@ -144,9 +139,11 @@ def near_duplicates(
 
     A null or blank text has no shingles and is linked with nothing. A null doc_id takes part in no link and keeps a null
     component_id and kept = true. Rows that repeat a doc_id are one document, whose texts are compared each and linked with each
-    other. Inside, ids are rows of the table of classes; they become doc_ids at the end.
-    Columns other than doc_id and text are ignored. An empty table gives an empty result.
+    other. Inside, a class goes by the row of its least doc_id; rows become doc_ids at the end. Very long texts are compared whole.
+    Columns other than doc_id and text are ignored. An empty table gives an empty result. There are 64 bands at most.
     """
+    if bands > 64:
+        raise ValueError("64 bands at most")
     spark, paths = docs.sparkSession, []
 
     def keep(df: DataFrame, label: str) -> DataFrame:
@@ -155,25 +152,33 @@ def near_duplicates(
         return out
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows_, rows_path = stored(sketched(docs, size, bands, rows), "sketches")
-    grouped = rows_.filter("doc_id is not null and key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("of"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("low", "doc_id").alias("low"))
-    grouped = grouped.select("key", F.col("of.doc_id").alias("doc_id"), F.col("of.h").alias("h"), "bands", "low").sortWithinPartitions("doc_id", "h")
-    classes = keep(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
-    buckets = classes.select("id", F.explode("bands").alias("bucket"))
-    least = buckets.groupBy("bucket").agg(F.min("id").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = keep(buckets.join(least, "bucket"), "shared")  # only buckets that classes share go on
-    stars = keep(shared.filter("id <> v").groupBy(F.col("id").alias("u"), "v").agg(F.count("*").alias("votes")), "stars")
-    some = keep(classes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "h"), "members")
-    texts = keep(docs.withColumn("h", F.xxhash64("text")).join(small(some), ["doc_id", "h"]).groupBy("id").agg(F.min("text").alias("text")), "texts")
+    rows_ = keep(sketched(docs, size, bands, rows), "sketches")
+    known = rows_.filter("doc_id is not null and key is not null")
+    each = known.groupBy("key", "doc_id", "h").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"))
+    classes = keep(each.groupBy("key").agg(F.min(F.struct("doc_id", "h", "id", "copies", "n_shingles")).alias("c")).select("key", "c.*"), "classes")
+    buckets = bucketed(rows_.select("id", "low").join(small(classes.select("id")), "id", "left_semi"), bands, rows)
+    least = keep(buckets.groupBy("bucket").agg(F.min("id").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least")
+    shared = keep(buckets.join(small(least), "bucket"), "shared")  # only buckets that classes share go on
+    sizes = classes.select("id", "n_shingles")
+
+    def sized(pairs: DataFrame) -> DataFrame:
+        for end in "uv":
+            pairs = pairs.join(small(sizes).withColumnsRenamed({"id": end, "n_shingles": f"n{end}"}), end)
+        return pairs.filter(alike("nu", "nv", threshold)).drop("nu", "nv")
+
+    stars = keep(sized(shared.filter("id <> v").groupBy(F.col("id").alias("u"), "v").agg(F.count("*").alias("votes"))), "stars")
+    some = keep(classes.select("id", "doc_id", "h", "copies").join(small(keep(shared.select("id").distinct(), "shared-ids")), "id", "left_semi"), "members")
+    met = docs.withColumn("h", F.xxhash64("text")).join(small(some), ["doc_id", "h"]).select("id", "copies", "text")
+    texts = keep(met.filter("copies = 1").select("id", "text").unionAll(met.filter("copies > 1").groupBy("id").agg(F.min("text").alias("text"))), "texts")
     best = keep(stars.groupBy("u").agg(F.max_by("v", F.struct("votes", -F.col("v"))).alias("v")), "best")
-    several = rows_.filter("doc_id is not null and key is not null").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("doc_id")
-    several = keep(rows_.join(keep(several, "several"), "doc_id").select("doc_id", "key").distinct().join(classes.select("key", "id"), "key").select("doc_id", "id"), "several-classes")
+    several = known.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("doc_id")
+    several = keep(known.select("doc_id", "key").join(small(keep(several, "several")), "doc_id").distinct().join(classes.select("key", "id"), "key").select("doc_id", "id"), "several-classes")
     same = several.join(several.groupBy("doc_id").agg(F.min("id").alias("v")), "doc_id").filter("id <> v").select(F.col("id").alias("u"), "v")
     labels, at = components(keep(verified(best, texts, size, threshold).unionAll(same), "links"))
 
     def across(pairs: DataFrame) -> DataFrame:
         for end in "uv":
-            pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+            pairs = pairs.join(small(labels).select(F.col("node").alias(end), F.col("comp").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
         return pairs.filter("cu <> cv").select("u", "v")
 
     def more(pairs: DataFrame, label: str) -> None:
@@ -189,15 +194,18 @@ def near_duplicates(
         labels, at = stored(moved.unionAll(over.join(labels, "node", "left_anti").select("node", "comp")), "labels")
 
     more(across(stars.join(best.select("u", "v"), ["u", "v"], "left_anti")), "stars-left")
-    placed = shared.select("id", "bucket").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).filter("a < b").select("bucket", "n")
-    members = placed.join(open_, "bucket").join(classes.select("id", "low", "bands"), "id")
+    placed = shared.select("id", "bucket").join(small(labels).withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    open_ = keep(placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).filter("a < b").select("bucket", "n"), "open")
+    sketches = rows_.select("id", "low", "n_shingles")
+    members = keep(placed.join(small(open_), "bucket"), "open-members")
+    needed = keep(members.select("id").distinct(), "open-ids")
+    members = members.join(small(keep(sketches.join(small(needed), "id", "left_semi"), "open-sketches"), limit=50_000), "id")
     tried = stars.select("u", "v")
-    more(mixed_pairs(members, estimate).join(tried, ["u", "v"], "left_anti"), "cross")
+    more(mixed_pairs(members, estimate, threshold, rows, bands).join(tried, ["u", "v"], "left_anti"), "cross")
 
     named = labels.join(classes.select(F.col("id").alias("node"), "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("c"))
     ends = classes.select("key", "doc_id", F.col("id").alias("node")).join(labels.join(named, "comp").select("node", "c"), "node", "left").select("key", F.coalesce("c", "doc_id").alias("c"))
     own = rows_.select("doc_id", "n_shingles", "key").join(ends, "key", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
     final, _ = stored(own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "near-dup")
-    discard(spark, rows_path, at, *paths)
+    discard(spark, at, *paths)
     return final

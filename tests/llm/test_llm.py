@@ -219,6 +219,14 @@ def test_near_duplicates_compares_every_text_of_a_repeated_id(spark):
     assert sorted(got) == [(1, 1), (1, 1), (5, 1), (6, 1), (7, 7), (8, 7), (9, 9)]
 
 
+def test_near_duplicates_of_rows_that_repeat_and_long_texts(spark):
+    rng = np.random.default_rng(16)
+    a, long = words(rng, 150), words(rng, 40_000)
+    rows = [(1, a)] * 60 + [(2, "x " + a)] * 60 + [(3, long), (4, long + " x"), (None, a), (None, "x " + a)]
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, 1, True)] * 60 + [(2, 1, False)] * 60 + [(3, 3, True), (4, 3, False)] + [(None, None, True)] * 2))
+
+
 def test_sketch_fills_every_coordinate_and_concentrates():
     rng = np.random.default_rng(3)
     for n in (1, 2, 10, 300, 3000):
@@ -239,11 +247,13 @@ def test_estimate_loses_fewer_pairs_than_the_bands():
 def test_mixed_buckets_find_links_the_stars_miss(spark):
     import cairn.llm._base as base
 
-    low = bytes(range(252)), bytes(range(1, 253))
-    rows = [(7, 1, 1, low[0], [6, 7]), (7, 2, 2, low[0], [6, 7]), (6, 1, 1, low[0], [6, 7]), (6, 2, 2, low[0], [6, 7]), (7, 3, 1, low[0], [5, 7]), (7, 4, 4, low[1], [4, 7]), (8, 5, 5, low[0], [8, 9])]
-    got = near_dup.mixed_pairs(spark.createDataFrame(rows, "bucket long, id long, comp long, low binary, bands array<long>"), 0.66).collect()
+    low = bytes(range(252)), bytes([255, *range(1, 252)]), bytes(range(1, 253))  # the second differs in band 0 only
+    first, second, lone = 6 << 6, (7 << 6) | 1, 8 << 6  # buckets of bands 0, 1 and 0
+    rows = [(second, 1, 1, low[0], 9), (second, 2, 2, low[0], 9), (first, 1, 1, low[0], 9), (first, 2, 2, low[0], 9), (second, 3, 1, low[1], 9), (second, 4, 4, low[2], 9), (lone, 5, 5, low[0], 9), (second, 6, 6, low[0], 5)]
+    columns = "bucket long, id long, comp long, low binary, n_shingles long"
+    got = near_dup.mixed_pairs(spark.createDataFrame(rows, columns), 0.66).collect()
     assert sorted((r.u, r.v) for r in got) == [(2, 1), (3, 2)]
-    cut = spark.createDataFrame([(*r, 4) for r in rows], "bucket long, id long, comp long, low binary, bands array<long>, n long")
+    cut = spark.createDataFrame([(*r, 4) for r in rows], f"{columns}, n long")
     assert sorted((r.u, r.v) for r in near_dup.mixed_pairs(cut, 0.66, block=1).collect()) == [(2, 1), (3, 2)]  # blocks lose and repeat nothing
     chain = spark.createDataFrame([(i + 1, i) for i in range(0, 30)] + [(51, 50)], "u long, v long")
     found, _ = base.components(chain)
