@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, near_dup, packing, pii, toxicity
-from cairn.llm._base import stored, table
+from cairn.llm._base import small, stored, table
 from cairn.llm.encoding import public_path
 
 
@@ -20,10 +20,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; of rows that repeat a doc_id and its text, each stays with it."""
+    """One document of each near-duplicate group stays; of rows that repeat a doc_id and its text, each stays with it.
+
+    The ids that go are broadcast up to a checked number of rows, so that no text is shuffled; beyond it the join shuffles.
+    """
     found = near_dup.near_duplicates(docs, size=5, threshold=80)
-    gone = found.filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.cast("long").eqNullSafe(gone.doc_id), "left_anti")
+    gone = small(found.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct())
+    return docs.join(gone, docs.doc_id.cast("long") == gone.gone_id, "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
