@@ -2,15 +2,49 @@
 
 Neither vocabulary's pre-tokens cross a single space between two other characters: the word-level one drops white space, the
 byte-level one gives the space to what follows it. So a text whose only white space is single spaces and line feeds inside it
-is cut at its spaces, each distinct piece is encoded by the tokenizers library once and remembered, and the ids are joined.
-Any other text is encoded whole by the library.
+is cut at its spaces, each distinct piece is encoded by the tokenizers library once and remembered, and the ids are gathered with
+numpy. Any other text is encoded whole by the library.
 """
 
 from __future__ import annotations
 
 import os
+import string
 from array import array
-from itertools import filterfalse
+
+import numpy as np
+import pyarrow as pa
+
+
+class _Places(dict):
+    """A place for each piece, in order of arrival; new ones are noted. (None, piece) is a piece that begins a text or a line."""
+
+    def __init__(self):
+        self.new = []
+
+    def __missing__(self, piece):
+        self.new.append(piece)
+        n = self[piece] = len(self)
+        return n
+
+
+def _appended(store: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+    """The store with `new` after its first `used` numbers; its room doubles."""
+    if used + len(new) > len(store):
+        store = np.concatenate((store[:used], np.empty(used + 2 * len(new), store.dtype)))
+    store[used : used + len(new)] = new
+    return store
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter for each byte in byte-level vocabularies: itself where it prints, else the next one from 256 on."""
+    printing = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printing else next(others)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+_PROBES = ["a", "word", "Étude", "größe", "Zzyzx", "peña", "thisrehawhing"]
 
 
 class Encoder:
@@ -19,9 +53,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.bound, self.known = bound, {}
+        self.bound = bound
         self.before = "" if self._drops() else " "
-        self.stops = dict(zip(".,\n", self._library([".", ",", "\n"]), strict=True))
+        self.space, self.model = _LETTERS[32] if self.before else "", self.tokenizer.model
+        try:
+            self.direct = [self._word(x) for x in _PROBES] == self._library([self.before + x for x in _PROBES])
+        except Exception:  # noqa: BLE001  a model of another kind
+            self.direct = False
+        self._forget()
+
+    def _word(self, x: str) -> bytes:
+        """Ids of one run of Latin letters from the library's model itself, since it is one pre-token."""
+        if not self.before:  # this vocabulary has lower case only
+            x = x.lower()
+        if not x.isascii():
+            x = "".join([_LETTERS[b] for b in x.encode()])
+        return array("I", [t.id for t in self.model.tokenize(self.space + x)]).tobytes()
+
+    def _forget(self) -> None:
+        #: ids of the piece at place p: table[begin[p] : begin[p] + size[p]]; a size of -1 marks a piece whose text can't be cut
+        self.places, self.used, self.filled = _Places(), 0, 0
+        self.table, self.begin, self.size = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _drops(self) -> bool:
         """Whether white space leaves no trace in the ids."""
@@ -32,49 +84,92 @@ class Encoder:
         """Ids as little-endian 32-bit bytes."""
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        """Adds pieces; a full stop or comma after a letter is a pre-token of its own, so such a piece is learned by its parts."""
-        known, before, lower = self.known, self.before, not self.before
-        parts, cores = [], set()
-        lines = [x.split("\n") for x in new if "\n" in x]  # a single line feed between others is a pre-token of its own
-        if lines:
-            new = {x for x in new if "\n" not in x} | {x[0] for x in lines if x[0] not in known}
-        for x in new:
-            core, end = (x[:-1], x[-1]) if x[-1] in ".," and x[-2:-1].isalpha() else (x, None)
-            if lower and core.isascii():  # this vocabulary has lower case only
-                core = core.lower()
-            if core not in known:
-                cores.add(core)
-            if end or core != x:
-                parts.append((x, core, end))
-        cores = list(cores)
-        known.update(zip(cores, self._library([before + x for x in cores] if before else cores), strict=True))
-        for x, core, end in parts:
-            known[x] = known[core] + self.stops[end] if end else known[core]
-        starts = list({y for _, *rest in lines for y in rest if (None, y) not in known})
-        known.update(zip(((None, y) for y in starts), self._library(starts), strict=True))
-        for first, *rest in lines:
-            known["\n".join([first, *rest])] = known[first] + b"".join(self.stops["\n"] + known[None, y] for y in rest)
+    def _ids(self, place: int, made: list[bytes | None]) -> bytes:
+        """Ids of a place, old or just made."""
+        if place >= self.used:
+            return made[place - self.used]
+        return self.table[self.begin[place] : self.begin[place] + self.size[place]].tobytes()
+
+    def _learn(self) -> None:
+        """Fills the places of new pieces.
+
+        Punctuation behind letters is a pre-token of its own, so such a piece is learned by its parts; and so is a single line
+        feed between others.
+        """
+        places, before = self.places, self.before
+        new, lower = places.new, not before
+        asked, at, joined, lines, direct = [], [], [], [], self.direct
+        made: list[bytes | None] = []
+        for k, x in enumerate(new):  # which grows
+            made.append(None)
+            if type(x) is tuple:
+                asked.append(x[1]), at.append(k)
+            elif x.isalpha():
+                if lower and x.isascii() and not x.islower():  # this vocabulary has lower case only
+                    joined.append((k, (places[x.lower()],)))
+                elif direct and (x.isascii() or max(x) < "\u0100"):
+                    made[k] = self._word(x)
+                else:
+                    asked.append(before + x), at.append(k)
+            elif (words := x.split()) == [x]:
+                core = x.rstrip(string.punctuation)
+                if core.isalpha():
+                    joined.append((k, (places[core.lower() if lower and core.isascii() else core], places[None, x[len(core) :]])))
+                else:
+                    asked.append(before + x), at.append(k)
+            elif len(words) == x.count("\n") + 1:
+                lines.append((k, (places[words[0]], *(p for y in words[1:] for p in (places[None, "\n"], places[None, y])))))
+        for k, ids in zip(at, self._library(asked), strict=True):
+            made[k] = ids
+        for some in (sorted(joined, key=lambda j: len(j[1])), lines):  # lower-case forms, then letters with punctuation, then lines
+            for k, parts in some:
+                made[k] = b"".join([self._ids(p, made) for p in parts])
+        size = np.array([-1 if x is None else len(x) // 4 for x in made], np.int64)
+        ids = np.frombuffer(b"".join([x for x in made if x]), "<u4")
+        kept = size.clip(0)
+        self.begin = _appended(self.begin, self.used, self.filled + np.cumsum(kept) - kept)
+        self.size = _appended(self.size, self.used, size)
+        self.table = _appended(self.table, self.filled, ids)
+        self.used, self.filled = self.used + len(new), self.filled + len(ids)
+        places.new = []
+
+    def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (u32) of all whole texts, and the n + 1 places where each text's ids begin; null is empty."""
+        if not texts:
+            return np.empty(0, "<u4"), np.zeros(1, np.int64)
+        if self.used > self.bound:
+            self._forget()
+        pieces, at = [], [0]
+        for text in texts:
+            words = text.split(" ") if text else [""]
+            if self.before:
+                words[0] = (None, words[0])
+            pieces += words
+            at.append(len(pieces))
+        place = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+        if self.before:
+            odd = [i for i, a in enumerate(at[:-1]) if not (x := pieces[a][1]).isalpha() and len(x.split()) != x.count("\n") + 1]
+        if self.places.new:
+            self._learn()
+        size = self.size[place]
+        whole = np.minimum.reduceat(size, at[:-1]) < 0
+        if self.before:
+            whole[odd] = True
+        n = size.clip(0)
+        ends = np.cumsum(n)
+        out = self.table[np.repeat(self.begin[place] - (ends - n), n) + np.arange(ends[-1])]
+        where = np.concatenate(([0], ends))[at]
+        whole = np.flatnonzero(whole).tolist()
+        if not whole:
+            return out, where
+        made = dict(zip(whole, self._library([texts[i] or "" for i in whole]), strict=True))
+        parts = [np.frombuffer(made[i], "<u4") if i in made else out[where[i] : where[i + 1]] for i in range(len(texts))]
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text as bytes; null is empty."""
-        whole, pieces, new = [], [], set()
-        if len(self.known) > self.bound:
-            self.known.clear()
-        known = self.known
-        for text in texts:
-            words = text.split() if text else []
-            if text and len(words) != text.count(" ") + text.count("\n") + 1:
-                whole.append(text), pieces.append(None)
-                continue
-            if self.before and words:
-                first, *words = text.split(" ")
-                whole.append(first)
-            new.update(filterfalse(known.__contains__, words))
-            pieces.append(words)
-        self._learn(new)
-        heads = iter(self._library(whole))
-        return [next(heads) if x is None else (next(heads) if self.before and t else b"") + b"".join(map(known.__getitem__, x)) for t, x in zip(texts, pieces, strict=True)]
+        ids, at = self.flat(texts)
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
