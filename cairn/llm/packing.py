@@ -2,10 +2,11 @@
 
 Documents become pieces of at most `capacity` ids; whole pieces are sequences already, the others are dealt by hash into
 groups of bounded size. Each group is packed on several islands: individuals start as best-fit packings of perturbed
-descending orders; a crossover injects the best-filled bins of one parent into the other, removes the bins that hold
-duplicates of their items and best-fits the displaced ones; after each epoch every island's elite moves to the next island.
-A group stops at once when it meets the lower bound ceil(ids / capacity). Groups cost less than one sequence each against a
-packing of everything at once.
+descending orders; a crossover injects well-filled bins of one parent into the other, removes the bins that hold duplicates
+of their items and a few of the emptiest ones, lets displaced items take the place of smaller ones where they fill a bin better,
+and best-fits the rest; after each epoch every island's elite moves to the next island. A group stops at once when it meets the
+lower bound ceil(ids / capacity), and small groups get more generations than large ones. Groups cost less than one sequence
+each against a packing of everything at once.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ._base import in_order, stored
 from .encoding import encoder
 
-CAPACITY, GROUP, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2048, 8192, 3, 2, 3, 4
+CAPACITY, GROUP, ISLANDS, EPOCHS, POPULATION, EFFORT = 2048, 8192, 3, 2, 6, 1 << 16  # EFFORT: items times generations
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -75,21 +76,38 @@ def fresh(sizes: np.ndarray, rng: np.random.Generator, noise: float, capacity: i
     return out
 
 
-def crossed(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, capacity: int) -> np.ndarray:
-    """A child of a: some of b's best-filled bins go in whole."""
-    fill = np.bincount(b, weights=sizes)
+def exchanged(out: np.ndarray, gone: np.ndarray, sizes: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Each displaced item takes the place of the smallest item that makes room for it, if any; returns what is displaced then."""
+    inside = np.flatnonzero(out >= 0)
+    for k, item in enumerate(gone.tolist()):
+        more = sizes[item] - sizes[inside]
+        fits = np.flatnonzero((more > 0) & (more <= free[out[inside]]))
+        if len(fits):
+            at = fits[np.argmax(more[fits])]
+            old = inside[at]
+            out[item], out[old] = out[old], -1
+            free[out[item]] -= more[at]
+            inside[at], gone[k] = item, old
+    return gone
+
+
+def crossed(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, capacity: int, most: int = 64) -> np.ndarray:
+    """A child of a: some of b's best-filled bins, `most` at most, go in whole."""
+    fill, own = np.bincount(b, weights=sizes), np.bincount(a, weights=sizes)
     best = np.argsort(-(fill + capacity * 0.02 * rng.random(len(fill))))[: max(1, len(fill) // 2)]
-    inside = np.isin(b, best)
-    hit = np.zeros(a.max() + 1, bool)
+    inside = np.isin(b, rng.permutation(best)[:most])
+    hit = np.zeros(len(own), bool)
     hit[a[inside]] = True
+    hit[np.argsort(own + capacity * 0.2 * rng.random(len(own)))[:2]] = True
     displaced = np.flatnonzero(hit[a] & ~inside)
-    stay = ~hit[a]
+    stay = ~hit[a] & ~inside
     old, kept = np.unique(a[stay], return_inverse=True)
     new, put = np.unique(b[inside], return_inverse=True)
     out = np.full(len(a), -1, np.int64)
     out[stay], out[inside] = kept, put + len(old)
-    free = (capacity - np.bincount(out[out >= 0], weights=sizes[out >= 0], minlength=len(old) + len(new)).astype(np.int64)).tolist()
-    best_fit(sizes.tolist(), displaced[np.argsort(-sizes[displaced], kind="stable")].tolist(), free, out, capacity)
+    free = capacity - np.bincount(out[out >= 0], weights=sizes[out >= 0], minlength=len(old) + len(new)).astype(np.int64)
+    displaced = exchanged(out, displaced[np.argsort(-sizes[displaced], kind="stable")], sizes, free)
+    best_fit(sizes.tolist(), displaced[np.argsort(-sizes[displaced], kind="stable")].tolist(), free.tolist(), out, capacity)
     return out
 
 
@@ -99,13 +117,17 @@ def fitness(x: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int, float
     return -len(fill), float((fill**2).mean())
 
 
-def evolved(sizes: np.ndarray, start: list[np.ndarray], seed: int, capacity: int, population: int, generations: int) -> np.ndarray:
+def evolved(sizes: np.ndarray, start: list[np.ndarray], seed: int, capacity: int, population: int, effort: int) -> np.ndarray:
+    """The best packing of one island after its generations, from the given individuals or from best fit by descending size."""
     rng = np.random.default_rng(seed)
     bound = -int(-(-sizes.sum() // capacity))
     key = lambda x: fitness(x, sizes, capacity)
-    pool = start + [fresh(sizes, rng, 0 if not start and seed % 1000 == 0 and i == 0 else capacity * 0.05 * (i + 1), capacity) for i in range(population - len(start))]
+    pool = start or [fresh(sizes, rng, 0, capacity)]
+    if key(max(pool, key=key))[0] == bound:
+        return max(pool, key=key)
+    pool = pool + [fresh(sizes, rng, capacity * 0.05 * (i + 1), capacity) for i in range(population - len(pool))]
     pool.sort(key=key, reverse=True)
-    for _ in range(generations):
+    for _ in range(max(8, effort // len(sizes))):
         if key(pool[0])[0] == bound:
             break
         a, b = rng.choice(len(pool), 2, replace=False)
@@ -113,7 +135,7 @@ def evolved(sizes: np.ndarray, start: list[np.ndarray], seed: int, capacity: int
     return pool[0]
 
 
-def packed(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION, generations: int = GENERATIONS) -> DataFrame:
+def packed(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION, effort: int = EFFORT) -> DataFrame:
     """sequence_id and offset for rows of (doc_id, piece, start, length, ids_crc32) that no later read changes."""
     small = parts.filter(F.col("length") < capacity)
     n = small.count()
@@ -128,7 +150,7 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, islan
             lengths, counts = (table.column(c)[0].values.to_numpy() for c in ("length", "n"))
             sizes = np.repeat(lengths, counts)
             start = [np.frombuffer(x, np.int32).astype(np.int64) for x in sorted(x for x in table.column("elite").to_pylist() if x)]
-            best = evolved(sizes, start, (number * 7919 + g) * 1000 + island, capacity, population, generations)
+            best = evolved(sizes, start, (number * 7919 + g) * 1000 + island, capacity, population, effort)
             row = (g, island, lengths.tolist(), counts.tolist(), best.astype(np.int32).tobytes(), int(best.max()) + 1)
             types = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int32())
             return pa.table([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[*names, "bins"])
@@ -136,10 +158,11 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, islan
         return run
 
     names = ["g", "island", "length", "n", "elite"]
+    tasks = min(groups * islands, 10_000)  # given, so that small rows don't end up in one task
     for e in range(epochs):
         if e:
             world = world.select(*names, F.explode(F.array(F.lit(0), F.lit(1))).alias("step")).withColumn("island", (F.col("island") + F.col("step")) % islands).select(*names)
-        world, _ = stored(world.groupBy("g", "island").applyInArrow(epoch(e), "g long, island int, length array<long>, n array<long>, elite binary, bins int"), f"islands-{e}")
+        world, _ = stored(world.repartition(tasks, "g", "island").groupBy("g", "island").applyInArrow(epoch(e), "g long, island int, length array<long>, n array<long>, elite binary, bins int"), f"islands-{e}")
     best = world.groupBy("g").agg(F.min_by("elite", F.struct("bins", "island")).alias("elite"))
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -164,8 +187,8 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, islan
 def best_fit_packing(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, **how) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of docs (doc_id, text, ...).
 
-    Null and empty texts are one piece of the end id. Repeated rows are packed each; a null doc_id stays null. An empty table
-    gives no rows. Other columns are ignored.
+    Null and empty texts are one piece of the end id; very long ones are cut into pieces. Repeated rows are packed each; a null
+    doc_id stays null. An empty table gives no rows. Other columns are ignored.
     """
     parts, _ = stored(pieces(docs, path, capacity, end_id), "pieces")
     return packed(parts, capacity, **how)
