@@ -57,6 +57,26 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def put(uri: str, name: str, data: bytes, attempt: str) -> None:
+    """Write a file under another name and move it into place, so that a lost or repeated attempt leaves no half file."""
+    from pyarrow import fs
+
+    store, top = fs.FileSystem.from_uri(uri)
+    store.create_dir(top, recursive=True)
+    with store.open_output_stream(f"{top}/_{name}.{attempt}") as out:
+        out.write(data)
+    store.move(f"{top}/_{name}.{attempt}", f"{top}/{name}")
+
+
+def take(uri: str, name: str) -> bytes:
+    """A file that `put` wrote."""
+    from pyarrow import fs
+
+    store, top = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(f"{top}/{name}") as found:
+        return found.read()
+
+
 def distinct(x: np.ndarray) -> np.ndarray:
     """Sorted distinct numbers."""
     x = np.sort(x)

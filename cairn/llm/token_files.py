@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import in_order, scratch
+from ._base import in_order, put, scratch
 from .encoding import encoder
 
 MAGIC, HEAD = b"CPF1", struct.Struct("<4sIQQQ")
@@ -113,17 +113,6 @@ class TokenFile:
         return np.concatenate(found) if found else np.empty(0, np.uint32)
 
 
-def put(uri: str, name: str, data: bytes, attempt: str) -> None:
-    """Write a file under another name and move it into place, so that a lost or repeated attempt leaves no half file."""
-    from pyarrow import fs
-
-    store, top = fs.FileSystem.from_uri(uri)
-    store.create_dir(top, recursive=True)
-    with store.open_output_stream(f"{top}/_{name}.{attempt}") as out:
-        out.write(data)
-    store.move(f"{top}/_{name}.{attempt}", f"{top}/{name}")
-
-
 def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int = 1, block: int = BLOCK, share: float = SHARE, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the files under uri and returns their manifest (name, part, seq, n_docs, n_ids); evaluating it writes them."""
 
