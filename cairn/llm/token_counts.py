@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import in_order
+from ._base import in_order, stored
 from .encoding import encoder
 
 BLOCK = 1024  # lengths a block of the two-level suffix sums
@@ -70,7 +70,8 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """Suffix sums over the encoded lengths of docs (doc_id, text, ...).
 
-    Null and empty texts have length 0 and count. Repeated rows count each. An empty table gives no rows. Other columns are
-    ignored.
+    Null and empty texts have length 0 and count; very long ones are encoded whole. Repeated rows count each, whatever their
+    doc_id. An empty table gives no rows. Other columns are ignored. The histogram, a row for each length, is written to the
+    shared folder once, so that the sums over it don't encode the texts again.
     """
-    return suffix_sums(histogram(encoded_lengths(docs, path)))
+    return suffix_sums(stored(histogram(encoded_lengths(docs, path)), "lengths")[0])
