@@ -274,6 +274,12 @@ def test_quality(docs, texts, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_quality_ends_on_long_white_space(spark):
+    rows = [(1, " " * 1_000_000), (2, "\n" * 300_000 + "a b\n \t\r\na b"), (None, "x " + "\t" * 500_000)]
+    got = {r.doc_id: (r.n_words, r.n_dup_lines, r.kept) for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, 0, False), 2: (4, 1, False), None: (1, 0, False)}
+
+
 def test_quality_bands(spark):
     rng = np.random.default_rng(2)
     noise = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), 6000))
@@ -331,11 +337,16 @@ def test_decontamination(spark, empty):
             doc = 10 + 3 * i + k
             rows.append((doc, words(rng, 50) + "\n" + "".join(s).upper() + " " + words(rng, 50)))
             want[doc] = str(i) if k < 2 else ""
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, leaked string").drop("leaked")
+    docs = spark.createDataFrame([(*r, "x", None) for r in rows], "doc_id long, text string, leaked string, found long")
     bench = spark.createDataFrame([(*i, "y") for i in items], "item_id long, text string, doc_id string")
     got = {r.doc_id: r.item_ids for r in decontaminate.contamination(docs, bench).collect()}
     assert got == want
-    assert decontaminate.drop_contaminated(docs, bench).count() == sum(x == "" for x in want.values())
+    clean = decontaminate.drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == sorted(i for i, x in want.items() if not x)
+    assert {r.doc_id: r.item_ids for r in decontaminate.contamination(docs, bench, limit=300).collect()} == want  # many blocks
+    odd = spark.createDataFrame([(None, items[0][1]), (7, items[1][1]), (7, items[1][1]), (8, "a Short one"), (9, "shorter")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.item_ids) for r in decontaminate.contamination(odd, bench.unionByName(bench)).collect())
+    assert got == [("7", "1"), ("7", "1"), ("8", "52"), ("9", ""), ("None", "0")]
     assert decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.contamination(empty, bench).count() == 0
 
@@ -387,6 +398,22 @@ def test_decontamination_equals_brute_force_over_all_windows():
     assert seen == {True, False}
 
 
+def test_decontamination_counts_long_runs_in_slices(monkeypatch):
+    codes = lambda x: np.frombuffer(decontaminate.folded(x), "<u4")
+    rng = np.random.default_rng(17)
+    item = words(rng, 60)
+    index = decontaminate.Index.unpacked(decontaminate.Index.packed([(1, "a" * 100), (2, item), (3, "ab"), (4, "é!")]))
+    assert index.found(codes("a" * 100_000)) == [1]
+    assert index.found(codes("x ab.y é! " + "b" * 5000)) == [3, 4] and index.found(codes("xab é!x")) == []
+    monkeypatch.setattr(decontaminate.slices, "__defaults__", (50,))  # cuts that could fall anywhere
+    for at in range(0, 200, 23):
+        assert index.found(codes("b" * at + " " + item * 2)) == [2]
+    places, n = np.arange(0, 3000, 2), np.full(1500, 3)
+    cuts = list(decontaminate.slices(places, n, 107, 300))
+    for k in range(0, len(places) - 54):
+        assert any(a <= k and k + 54 <= b for a, b in cuts)
+
+
 def test_alignment_equals_edit_distance():
     rng = np.random.default_rng(8)
 
