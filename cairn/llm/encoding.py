@@ -8,6 +8,7 @@ numpy. Any other text is encoded whole by the library.
 
 from __future__ import annotations
 
+import gc
 import os
 import string
 from array import array
@@ -139,6 +140,15 @@ class Encoder:
             return np.empty(0, "<u4"), np.zeros(1, np.int64)
         if self.used > self.bound:
             self._forget()
+        collecting = gc.isenabled()
+        gc.disable()  # many small tuples, no cycles
+        try:
+            return self._flat(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         pieces, at = [], [0]
         for text in texts:
             words = text.split(" ") if text else [""]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ._base import in_order, stored
 from .encoding import encoder
 
-CAPACITY, GROUP, ISLANDS, EPOCHS, POPULATION, EFFORT = 2048, 8192, 3, 2, 6, 1 << 16  # EFFORT: items times generations
+CAPACITY, GROUP, ISLANDS, EPOCHS, POPULATION, EFFORT = 2048, 8192, 3, 2, 4, 1 << 16  # EFFORT: items times generations
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -91,7 +91,7 @@ def exchanged(out: np.ndarray, gone: np.ndarray, sizes: np.ndarray, free: np.nda
     return gone
 
 
-def crossed(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, capacity: int, most: int = 64) -> np.ndarray:
+def crossed(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, rng: np.random.Generator, capacity: int, most: int = 16) -> np.ndarray:
     """A child of a: some of b's best-filled bins, `most` at most, go in whole."""
     fill, own = np.bincount(b, weights=sizes), np.bincount(a, weights=sizes)
     best = np.argsort(-(fill + capacity * 0.02 * rng.random(len(fill))))[: max(1, len(fill) // 2)]
