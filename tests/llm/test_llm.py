@@ -443,9 +443,28 @@ def test_warc(spark):
         revisit = len(data) >= 100 and page != min(same)
         want.append((page, len(data), hashlib.sha256(data).hexdigest(), "revisit" if revisit else "response", min(same) if revisit else None))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    got = warc.archived(pages, few=0, file_bytes=1).collect()  # nothing broadcast, a file for each record
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_warc_archives_are_standard_members_and_give_the_pages_back(spark, tmp_path):
+    long = "é" * 3_000_000
+    rows = [(1, "http://a", long), (2, "http://b", long), (3, None, None), (4, "u", "x\r\n\r\ny")]
+    files = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w").collect()
+    assert sum(r.records for r in files) == 4 and all(r.name.endswith(".warc.gz") for r in files)
+    heads = [h for r in files for one in warc.members((tmp_path / "w" / r.name).read_bytes()) for h, _ in warc.parsed(one)]
+    assert len({h["WARC-Record-ID"] for h in heads}) == 4
+    refers = {h["WARC-Refers-To"] for h in heads if h["WARC-Type"] == "revisit"}
+    assert refers <= {h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"} and len(refers) == 1
+    got = {r.page_id: (r.url, r.payload_bytes, r.html) for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    assert got == {1: ("http://a", 6_000_000, long.encode()), 2: ("http://b", 6_000_000, None), 3: (None, 0, b""), 4: ("u", 6, b"x\r\n\r\ny")}
+    with pytest.raises(ValueError):
+        warc.checked({"WARC-Payload-Digest": "sha256:00", "WARC-Record-ID": "x"}, b"other")
+    with pytest.raises(ValueError):
+        list(warc.members((tmp_path / "w" / files[0].name).read_bytes()[:-9]))
+
+
 def test_token_file_round_trip():
     rng = np.random.default_rng(1)
     docs = [rng.integers(0, 60000, n).astype("<u4") for n in (0, 1, 5, 5000, 1023, 1024, 1)] + [np.array([0, 2**32 - 1, 7], "<u4"), np.full(3000, 9, "<u4")]
