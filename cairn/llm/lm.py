@@ -10,6 +10,9 @@ ranges of the hash, as a few binary rows; each range sums all chunks' counts and
 keys; a chunk joins the answers with its own words. Rows that cross the network are blobs, so neither a frequent word nor a
 bigram is a hot key, and what is held in one place is one range or one chunk. EM sees the held-out counts as a histogram of
 (context bucket, log ratio, log count), whose size is bounded by the bins.
+
+The number of ranges follows the bytes of text, so that a range's counts fit in memory whatever the input; the number of rows
+that cross the network is then chunks times ranges.
 """
 
 from __future__ import annotations
@@ -18,12 +21,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._base import U64, discard, in_order, mixed, planes, stored, unplanes, word_hashes
 
 CHUNK = 1 << 18  # tokens
+RANGE_BYTES = 16 << 20  # of text, whose counts one range sums
 END = U64(0x5BD1E995A4F1C3D7)  # stands for the end of a text, and as the context of its first word
 FINE = 8  # bins an octave
 BUCKETS = 32
@@ -81,21 +86,27 @@ def _undelta(data: bytes) -> np.ndarray:
     return np.cumsum(unplanes(data, U64), dtype=U64)
 
 
-_SENT = "range int, chunk long, kind int, keys binary, early binary, late binary, own binary"
-_COUNTS = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("early", pa.binary()), ("late", pa.binary()), ("own", pa.binary())])
+_SENT = "range int, chunk long, kind int, keys binary, early binary, late binary, own binary, mark long"
+_COUNTS = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("early", pa.binary()), ("late", pa.binary()), ("own", pa.binary()), ("mark", pa.int64())])
+
+
+def _mark(h: np.ndarray, starts: np.ndarray, ids: list) -> int:
+    """A digest of a chunk's tokens, documents and their order: both reads of a chunk must have the same."""
+    return xxhash.xxh3_64_intdigest(h.tobytes() + starts.tobytes() + repr(ids).encode()) >> 1
 
 
 def _sent(docs: DataFrame, ranges: int, tokens: int) -> DataFrame:
     """A chunk's distinct keys and its counts in the two training parts, for each range of hashes."""
 
     def run(batches):
-        for chunk, _, fold, h, starts in _chunks(batches, tokens):
+        for chunk, ids, fold, h, starts in _chunks(batches, tokens):
             words, word, _, bigrams, bigram = _keys(h, starts)
+            mark = _mark(h, starts, ids)
             fold = np.repeat(fold, np.diff(starts))
             for kind, keys, place in ((1, words, word), (2, bigrams, bigram)):
                 early, late = (np.bincount(place[fold == k], minlength=len(keys)).astype(np.uint32) for k in (0, 1))
                 cut = np.searchsorted(keys, np.array([(k << 64) // ranges for k in range(ranges)], U64)).tolist() + [len(keys)]
-                out = [(r, chunk, kind, _delta(keys[a:b]), planes(early[a:b]), planes(late[a:b]), None) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+                out = [(r, chunk, kind, _delta(keys[a:b]), planes(early[a:b]), planes(late[a:b]), None, mark) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _COUNTS, strict=True)], schema=_COUNTS)
 
     return docs.mapInArrow(run, _SENT)
@@ -109,13 +120,13 @@ def _totals(group: pa.Table) -> pa.Table:
     sums = [np.bincount(back, weights=np.concatenate(x), minlength=len(all_)).astype(np.int64) for x in (early, late)]
     kind, r = group.column("kind")[0].as_py(), group.column("range")[0].as_py()
     out, at = [], 0
-    for chunk, k in zip(group.column("chunk").to_pylist(), keys, strict=True):
+    for chunk, k, mark in zip(group.column("chunk").to_pylist(), keys, group.column("mark").to_pylist(), strict=True):
         mine = back[at : at + len(k)]
         at += len(k)
-        out.append((r, chunk, kind, None, planes(sums[0][mine].astype(np.uint32)), planes(sums[1][mine].astype(np.uint32)), None))
+        out.append((r, chunk, kind, None, planes(sums[0][mine].astype(np.uint32)), planes(sums[1][mine].astype(np.uint32)), None, mark))
     if kind == 1:
         stats = np.array([sums[0].sum(), sums[1].sum(), (sums[0] > 0).sum(), ((sums[0] + sums[1]) > 0).sum()], np.int64)
-        out.append((r, -1, 0, None, None, None, stats.tobytes()))
+        out.append((r, -1, 0, None, None, None, stats.tobytes(), 0))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _COUNTS, strict=True)], schema=_COUNTS)
 
 
@@ -128,7 +139,7 @@ def _own(docs: DataFrame, tokens: int) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, _OWN) as w:
                 w.write_batch(pa.record_batch([[ids], [fold.tobytes()], [np.diff(starts).astype(np.uint32).tobytes()], [_delta(words)], [planes(word.astype(np.uint32))]], schema=_OWN))
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((-1, chunk, 3, None, None, None, sink.getvalue().to_pybytes()), _COUNTS, strict=True)], schema=_COUNTS)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((-1, chunk, 3, None, None, None, sink.getvalue().to_pybytes(), _mark(h, starts, ids)), _COUNTS, strict=True)], schema=_COUNTS)
 
     return docs.mapInArrow(run, _SENT)
 
@@ -151,6 +162,8 @@ def _octave(x: np.ndarray) -> np.ndarray:
 def _met(group: pa.Table) -> pa.Table:
     """One chunk: its words with all counts, for scoring; and its held-out training counts in bins, for EM."""
     kinds, ranges = group.column("kind").to_numpy(), group.column("range").to_numpy()
+    if (kinds == 3).sum() != 1 or len(set(group.column("mark").to_pylist())) != 1:
+        raise RuntimeError("docs gave other rows, or another order, when read again: write it as a table first")
     own = pa.ipc.open_stream(group.column("own")[int(np.flatnonzero(kinds == 3)[0])].as_py()).read_all().to_pylist()[0]
 
     def counts(kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,12 +209,14 @@ def lm_scores(docs: DataFrame, ranges: int | None = None, tokens: int = CHUNK) -
 
     Rows whose crc32(doc_id) mod 5 is 1 are held out; those of 2 estimate the weights. Null and empty texts are one end token.
     Repeated rows are scored and, in training, counted each; a null doc_id counts as the empty text in the fold. Without any
-    training row every probability comes from the uniform share. Other columns are ignored.
+    training row every probability comes from the uniform share. Very long texts are scored whole, an empty table gives no rows and
+    other columns are ignored. docs is read twice and must give the same rows in the same order, as a table does; it is an error
+    if it doesn't.
     """
     spark = docs.sparkSession
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(fold == 1, 2).when(fold == 2, 1).otherwise(0).cast("int").alias("fold"), "text", F.spark_partition_id().alias("part"))
-    ranges = ranges or max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or max(32, -(-int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
     totals = _sent(rows, ranges, tokens).groupBy("range", "kind").applyInArrow(_totals, _SENT)
     answers, answers_path = stored(totals, "lm-answers")
     stats = np.sum([np.frombuffer(bytes(r.own), np.int64) for r in answers.filter("chunk = -1").select("own").collect()] or [np.zeros(4, np.int64)], axis=0)

@@ -170,6 +170,45 @@ def test_lm_scores(spark, docs, texts, empty):
     assert lm.lm_scores(empty).count() == 0
 
 
+def test_lm_score_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    rows = [(i, words(rng, int(rng.integers(0, 60)))) for i in range(300)]
+    tokens = [(fold(i), i, [w.encode().lower() for w in split(t)] + [None]) for i, t in rows]
+    uni, bi, early, early_bi = Counter(), Counter(), Counter(), Counter()
+    for f, _, ws in tokens:
+        if f != 1:
+            uni.update(ws), bi.update(zip([None, *ws[:-1]], ws, strict=True))
+            if f != 2:
+                early.update(ws), early_bi.update(zip([None, *ws[:-1]], ws, strict=True))
+    n, v, n_early, v_early = sum(uni.values()), len(uni), sum(early.values()), len(early)
+    octave = lambda x: 0 if not x else min(int(math.log2(x)) + 1, 31)
+    mix = np.tile([0.4, 0.5, 0.1], (32, 1))
+    mix[0] = [0, 0.8, 0.2]
+    held = [(w, h) for f, _, ws in tokens if f == 2 for h, w in zip([None, *ws[:-1]], ws, strict=True)]
+    for _ in range(60):  # expectation-maximisation over single events, without bins
+        new = np.tile(np.array([0.4, 0.5, 0.1]) * 3, (32, 1))
+        for w, h in held:
+            b = octave(early[h])
+            p = np.array([early_bi[h, w] / early[h] if early[h] else 0, early[w] / n_early, 1 / (v_early + 1)]) * mix[b]
+            new[b] += p / p.sum()
+        new[0, 0] = 0
+        mix = new / new.sum(axis=1, keepdims=True)
+    want = {}
+    for _, i, ws in tokens:
+        want[i] = 0.0
+        for h, w in zip([None, *ws[:-1]], ws, strict=True):
+            a, b, c = mix[octave(uni[h])]
+            want[i] += math.log10(a * bi[h, w] / max(uni[h], 1) + b * uni[w] / n + c / (v + 1))
+    got = {r.doc_id: r.score for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ranges=4, tokens=500).collect()}
+    assert all(got[i] == pytest.approx(want[i], rel=0.01, abs=0.01) for i in want)  # the bins are an eighth of an octave wide
+
+
+def test_lm_says_so_if_a_second_read_differs():
+    h, starts = np.array([3, 4], np.uint64), np.array([0, 2])
+    assert lm._mark(h, starts, [1]) == lm._mark(h.copy(), starts, [1]) != lm._mark(h[::-1].copy(), starts, [1])
+    assert lm._mark(h, starts, [1]) != lm._mark(h, starts, [2])
+
+
 def test_lm_weights_sum_to_one_and_probabilities_too():
     mix = lm.learned_weights(np.array([(3 << 20) | (300 << 10) | 200, (1 << 20) | 100]), np.array([50, 7]), 1000, 50)
     assert np.allclose(mix.sum(axis=1), 1) and mix[0, 0] == 0
