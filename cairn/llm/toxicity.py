@@ -1,8 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document is the set of its lower-cased terms, hashed; beside its bias and linear weights the model holds a short vector for
-each term, and the dot products of pairs score what only occurs together. It is fitted on a bounded sample of labelled rows
-(the least by hash), with the hashed terms whose document rates differ most between the classes, by Adagrad on the log loss.
+each term, and the dot products of pairs score what only occurs together. It is fitted on a bounded sample of labelled documents
+(the least by hash), by Adagrad on the log loss, with the hashed terms whose document rates differ most between the classes and
+those of pairs that interact: whose joint rate isn't what the two terms' own rates add up to.
 """
 
 from __future__ import annotations
@@ -43,8 +44,31 @@ def terms(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (both >> U64(bits)).astype(np.int64), (both & U64((1 << bits) - 1)).astype(np.int64)
 
 
-def fit(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, bits: int = 18, features: int = 1024, factors: int = 4, epochs: int = 20, rate: float = 0.1, l2: float = 1e-4, least: int = 3, batch: int = 64, seed: int = 7) -> Machine:
-    """The machine for documents given as sorted rows of buckets and their 0/1 labels."""
+def interacting(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, common: np.ndarray, least: int, z: float) -> np.ndarray:
+    """The buckets among `common` that are in a pair (a, b) with |p11 - p10 - p01 + p00| over z standard errors, strongest first;
+    p11 is the rate of label 1 where both occur, p10 where only a does, and so on. Each of the four cases needs `least` documents."""
+    at = np.full(int(bucket.max()) + 1 if len(bucket) else 1, -1, np.int64)
+    at[common] = np.arange(len(common))
+    mine = at[bucket] >= 0
+    x = np.zeros((len(y), len(common)), np.float32)
+    x[row[mine], at[bucket[mine]]] = 1
+    n11, t11 = x.T @ x, x.T @ (x * y[:, None].astype(np.float32))
+    n1, t1, n, t = x.sum(axis=0), (x * y[:, None]).sum(axis=0), len(y), y.sum()
+    counts = n11, n1[:, None] - n11, n1[None] - n11, n - n1[:, None] - n1[None] + n11
+    ones = t11, t1[:, None] - t11, t1[None] - t11, t - t1[:, None] - t1[None] + t11
+    rate = [(b + 0.5) / (c + 1) for b, c in zip(ones, counts, strict=True)]
+    error = np.sqrt(sum(p * (1 - p) / np.maximum(c, 1) for p, c in zip(rate, counts, strict=True)))
+    score = np.abs(rate[0] - rate[1] - rate[2] + rate[3]) / error
+    score[np.minimum.reduce(counts) < least] = 0
+    np.fill_diagonal(score, 0)
+    best = score.max(axis=1) if len(common) else np.empty(0)
+    order = np.argsort(-best, kind="stable")
+    return common[order[best[order] > z]]
+
+
+def fit(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, bits: int = 18, features: int = 1024, factors: int = 4, epochs: int = 20, rate: float = 0.1, l2: float = 1e-4, least: int = 3, batch: int = 64, seed: int = 7, pairs: int = 512, pair_features: int = 128, pair_z: float = 6.0) -> Machine:
+    """The machine for documents given as sorted rows of buckets and their 0/1 labels. Interactions are sought among the `pairs` most
+    common terms that the class rates didn't choose, and the chosen ones before them; `pair_features` terms at most are added."""
     n, index = len(y), np.full(1 << bits, -1, np.int32)
     share = float(y.mean()) if n else 0.0
     if not 0 < share < 1:
@@ -56,6 +80,10 @@ def fit(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, bits: int = 18, feat
     z[(all_ < least) | (all_ == n)] = 0
     chosen = np.argsort(-z, kind="stable")[:features]
     chosen = chosen[z[chosen] > 3]
+    often = np.where((all_ >= 10 * least) & (all_ <= n - 10 * least), np.minimum(all_, n - all_), 0)
+    often = np.argsort(-often, kind="stable")[: min(pairs, int((often > 0).sum()))]
+    added = interacting(row, bucket, y, often, 5 * least, pair_z)
+    chosen = np.concatenate([chosen, added[~np.isin(added, chosen)][:pair_features]])
     index[chosen] = np.arange(len(chosen))
     feature = index[bucket].astype(np.int64)
     row, feature = row[feature >= 0], feature[feature >= 0]
@@ -86,9 +114,9 @@ def fit(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, bits: int = 18, feat
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = 30_000, bits: int = 18, **how) -> Machine:
-    """A machine from at most `sample` labelled rows whose crc32(doc_id) mod 5 isn't 0; the driver holds that sample only.
+    """A machine from at most `sample` labelled documents whose crc32(doc_id) mod 5 isn't 0; the driver holds that sample only.
 
-    Several labels of one document count as their largest; null labels don't count.
+    Several labels of one document count as their largest, several texts as the least; null labels don't count.
     """
     y = labels.filter("doc_id is not null and toxic is not null").filter(remainder5() != 0).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(remainder5() != 0)
@@ -101,7 +129,8 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = 30_000, bits: int
             packed = [bucket[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "buckets"])
 
-    rows = sorted((r.doc_id, bytes(r.buckets), r.toxic) for r in known.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, buckets binary").toLocalIterator())[: 2 * sample]
+    one = known.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = sorted((r.doc_id, bytes(r.buckets), r.toxic) for r in one.mapInArrow(run, "doc_id long, toxic int, buckets binary").toLocalIterator())
     buckets = [np.frombuffer(b, "<i4") for _, b, _ in rows]
     row = np.repeat(np.arange(len(rows)), [len(x) for x in buckets])
     return fit(row, np.concatenate(buckets).astype(np.int64) if buckets else np.empty(0, np.int64), np.array([t for *_, t in rows], float), bits, **how)

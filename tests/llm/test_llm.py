@@ -364,6 +364,33 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity(empty, marks).count() == 0
 
 
+def test_toxicity_learns_pairs_that_linear_weights_cannot(spark):
+    rng = np.random.default_rng(19)
+    rows, y = [], {}
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, words(rng, 30) + (" dolt" if a else "") + (" martians" if b else "")))
+        y[i] = int(a != b)  # neither word has an effect of its own
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(list(y.items()), "doc_id long, toxic int")
+    for factors, low, high in ((4, 0.95, 1.0), (0, 0.3, 0.8)):  # without factors it is linear, right in three of the four cases at best
+        held = [r for r in toxicity.toxicity(frame, marks, epochs=40, factors=factors).collect() if r.held_out]
+        assert low <= sum(r.predicted == y[r.doc_id] for r in held) / len(held) <= high
+
+
+def test_toxicity_of_nulls_and_repeated_rows(spark):
+    rng = np.random.default_rng(20)
+    rows = [(i, words(rng, 20) + (" dolt" if i % 3 == 0 else "")) for i in range(300)]
+    rows += [(1, "dolt " * 5)] * 500 + [(None, None), (None, "dolt"), (400, ""), (401, None), (402, "dolt " * 50_000)]
+    marks = spark.createDataFrame([(i, int(i % 3 == 0), "x") for i in range(300)] + [(1, 0, "x"), (None, 1, "x"), (2, None, "x")], "doc_id long, toxic int, text string")
+    got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), marks).collect()
+    assert len(got) == len(rows)
+    odd = {(r.doc_id, r.predicted) for r in got if r.doc_id is None or r.doc_id >= 400}
+    assert odd == {(None, 0), (None, 1), (400, 0), (401, 0), (402, 1)}
+    held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 300]
+    assert sum(r.predicted == (r.doc_id % 3 == 0) for r in held) > 0.95 * len(held)
+
+
 def test_decontamination(spark, empty):
     rng = np.random.default_rng(6)
     items = [(i, words(rng, 40)) for i in range(12)] + [(50, None), (51, ""), (52, "short")]
