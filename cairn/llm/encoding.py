@@ -49,7 +49,7 @@ _PROBES = ["a", "word", "Étude", "größe", "Zzyzx", "peña", "thisrehawhing"]
 
 
 class Encoder:
-    def __init__(self, path: str, bound: int = 1_400_000):
+    def __init__(self, path: str, bound: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -70,10 +70,25 @@ def sketched(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return made.withColumn("id", F.monotonically_increasing_id())
 
 
+def buckets_of(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each sketch a hash of each band's coordinates, with the band in its six low bits."""
+    part = np.zeros((len(low), bands, -(-rows // 8) * 8), np.uint8)
+    part[:, :, :rows] = low[:, : bands * rows].reshape(len(low), bands, rows)
+    words, out = part.view(U64), np.zeros((len(low), bands), U64)
+    for k in range(words.shape[2]):
+        out = mixed(out + words[:, :, k] + U64(1))
+    return (out & ~U64(63)) | np.arange(bands, dtype=U64)
+
+
 def bucketed(rows_: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(id, bucket): a hash of each band's coordinates, with the band in its six low bits."""
-    band = lambda b: F.xxhash64(F.substring("low", b * rows + 1, F.lit(rows))).bitwiseAND(F.lit(-64)).bitwiseOR(b.cast("long"))
-    return rows_.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("bucket"))
+    """(id, bucket) for every band of the sketches (id, low)."""
+
+    def run(batches):
+        for batch in in_order(batches, 1 << 20):
+            low = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(buckets_of(low, bands, rows).view(np.int64).ravel())], names=["id", "bucket"])
+
+    return rows_.select("id", "low").mapInArrow(run, "id long, bucket long")
 
 
 def alike(a: str, b: str, threshold: int):

@@ -82,6 +82,43 @@ def test_pii_disguises_map_back(text, kind, span):
     assert span not in pii.masked(text)
 
 
+def disguised(rng):
+    """An identifier, and a disguise of it."""
+    name = lambda: "".join(rng.choice(list("bcdfglmnprstv"), 2)) + rng.choice(["anna", "olaf", "ines", "ute"])
+    digit = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    mail = (name(), name(), rng.choice(["com", "org", "de", "fr", "es"]))
+    kind = int(rng.integers(7))
+    if kind == 0:
+        return "email", f"{mail[0]} {rng.choice(['(at)', '[at]', '{at}', '(AT)'])} {mail[1]} {rng.choice(['(dot)', '[dot]'])} {mail[2]}"
+    if kind == 1:
+        return "email", "{} at {} dot {}".format(*mail)
+    if kind == 2:
+        return "email", "{}@{}.{}".format(*mail).translate(str.maketrans("aeo", "аео"))
+    if kind == 3:
+        return "email", "{}@{}.{}".format(*mail)[:3] + "\u200b" + "{}@{}.{}".format(*mail)[3:]
+    if kind == 4:
+        return "phone", "plus " + " ".join(digit[x] for x in rng.integers(0, 10, 11))
+    if kind == 5:
+        return "ip", " dot ".join(" ".join(digit[int(c)] for c in str(rng.integers(1, 255))) for _ in range(4))
+    body = [int(x) for x in rng.integers(0, 10, 15)]
+    last = next(x for x in range(10) if pii.luhn("".join(map(str, [*body, x]))))
+    return "card", " ".join(digit[x] for x in [*body, last])
+
+
+def test_pii_recall_of_planted_disguises_and_clean_text():
+    rng, missed, wrong, n = np.random.default_rng(23), [], [], 600
+    for _ in range(n):
+        before, (kind, text), after = words(rng, 12).replace("at ", "on "), disguised(rng), words(rng, 12)
+        whole = f"{before} : {text} ; {after}"
+        a = whole.index(text)
+        if (kind, a, a + len(text)) not in pii.found(whole)[1]:
+            missed.append((kind, text, pii.found(whole)))
+        if pii.found(f"{before} : {after}")[1]:
+            wrong.append(before)
+    assert len(missed) <= 0.02 * n, missed[:5]
+    assert not wrong
+
+
 def test_pii_leaves_clean_text_alone():
     for x in ("the cat sat at home. dot and point", "one two three blind mice", "Was kostet das? Fünf Euro.", "а это кириллица"):
         assert pii.found(x) == ([], []) and pii.masked(x) == x
@@ -637,3 +674,31 @@ def test_pipeline(spark, tmp_path):
     assert kept[0] == clean and kept[1] == clean - {900} and kept[2] == clean - {900, 901} and kept[3] == kept[2] == kept[4]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[4]
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_of_nulls_repeats_clashing_names_and_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(22)
+    long = words(rng, 30_000)
+    rows = [(i, words(rng, 40) + (" dolt numbskull" if i % 5 == 0 else "")) for i in range(300)]
+    rows += [(1, rows[1][1])] * 5 + [(None, rows[2][1]), (None, None), (400, None), (400, None), (401, ""), (402, long), (403, long)]
+    names = "doc_id long, text string, lang string, leaked long, gone_id long, comp long, kept boolean, h long, item_id long"
+    odd = (None, 1, None, 3, False, 4, 5)
+    spark.createDataFrame([(*r, *odd) for r in rows], names).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 == 0), "t") for i in range(300)] + [(1, 0, "t"), (None, 1, "t"), (3, None, "t")], "doc_id long, toxic int, text string").write.parquet(f"{tmp_path}/a/labels.parquet")
+    spark.createDataFrame([(None, "x"), (1, None), (2, ""), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    at = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    columns = at.columns
+    for name, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, f"{tmp_path}/a")
+        if name != "packing":
+            assert at.columns == columns, name
+    got = sorted(str(r.doc_id) for r in at.filter("piece = 0").collect())
+    assert got == sorted(map(str, [i for i in range(300) if i % 5 and i != 1] + [1] * 6 + [None, None, 400, 400, 401, 402]))
+    empty = spark.createDataFrame([], names)
+    for some in ("labels", "benchmark", "documents"):
+        table = empty if some == "documents" else spark.read.parquet(f"{tmp_path}/a/{some}.parquet").filter("false")
+        table.write.parquet(f"{tmp_path}/b/{some}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+    assert corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{tmp_path}/a/documents.parquet"), f"{tmp_path}/b").count() == len(rows)
