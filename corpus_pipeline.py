@@ -1,7 +1,11 @@
 """The corpus pipeline: toxicity, near duplicates, benchmark decontamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next one's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents, extra ones included, whatever they are called.
+
+In every stage an empty table gives no rows, a null text counts as empty and stays null, a null doc_id is a document of its own,
+ties are settled by the least doc_id, rows that repeat stay or go together, and very long texts are worked on whole. The stage
+tables stay in the shared folder until whoever set it clears it: the last one is what `run` returns.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from cairn.llm.encoding import public_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine rejects go."""
+    """Documents that the factorization machine rejects go; without labels, or with one class of them only, it rejects none or all."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -30,17 +34,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Documents with a benchmark passage go; an empty benchmark, or one of nulls, takes none."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data becomes its kind in angle brackets."""
+    """Personal data becomes its kind in angle brackets, and n_chars is counted anew."""
     return pii.mask_pii(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their places in sequences."""
+    """The pieces of all documents, with their places in sequences; null and empty texts are one piece of the end id."""
     return packing.best_fit_packing(docs, public_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
