@@ -88,7 +88,7 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def in_order(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def in_order(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes, so that memory follows bytes and not rows."""
     for batch in batches:
         step = max(1, int(batch.num_rows * limit / max(1, batch.nbytes)))
@@ -109,7 +109,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> list[np.ndarray]:
     """R ** i and R ** -i modulo 2 ** 64, for i up to n."""
     if not _POWERS or len(_POWERS[0]) <= n:
-        size = max(n + 1, 1 << 21)
+        size = max(n + 1, 1 << 20)
         inverse = U64(pow(int(_R), -1, 1 << 64))
         _POWERS[:] = [np.cumprod(np.concatenate(([U64(1)], np.full(size - 1, x, dtype=U64))), dtype=U64) for x in (_R, inverse)]
     return _POWERS

@@ -18,14 +18,15 @@ import pyarrow as pa
 
 
 class _Places(dict):
-    """A place for each piece, in order of arrival; new ones are noted. (None, piece) is a piece that begins a text or a line."""
+    """A place for each piece, in order of arrival over both tables; new ones are noted with whether they begin a text or a line."""
 
-    def __init__(self):
-        self.new = []
+    def __init__(self, new: list, begins: bool, count: list[int]):
+        self.new, self.begins, self.count = new, begins, count
 
-    def __missing__(self, piece):
-        self.new.append(piece)
-        n = self[piece] = len(self)
+    def __missing__(self, piece: str) -> int:
+        self.new.append((piece, self.begins))
+        n = self[piece] = self.count[0]
+        self.count[0] = n + 1
         return n
 
 
@@ -49,7 +50,7 @@ _PROBES = ["a", "word", "Étude", "größe", "Zzyzx", "peña", "thisrehawhing"]
 
 
 class Encoder:
-    def __init__(self, path: str, bound: int = 1_000_000):
+    def __init__(self, path: str, bound: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -73,7 +74,9 @@ class Encoder:
 
     def _forget(self) -> None:
         #: ids of the piece at place p: table[begin[p] : begin[p] + size[p]]; a size of -1 marks a piece whose text can't be cut
-        self.places, self.used, self.filled = _Places(), 0, 0
+        self.new, count = [], [0]
+        self.places, self.starts = _Places(self.new, False, count), _Places(self.new, True, count)
+        self.used, self.filled = 0, 0
         self.table, self.begin, self.size = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _drops(self) -> bool:
@@ -97,14 +100,14 @@ class Encoder:
         Punctuation behind letters is a pre-token of its own, so such a piece is learned by its parts; and so is a single line
         feed between others.
         """
-        places, before = self.places, self.before
-        new, lower = places.new, not before
+        places, starts, before, new = self.places, self.starts, self.before, self.new
+        lower = not before
         asked, at, joined, lines, direct = [], [], [], [], self.direct
         made: list[bytes | None] = []
-        for k, x in enumerate(new):  # which grows
+        for k, (x, begins) in enumerate(new):  # which grows
             made.append(None)
-            if type(x) is tuple:
-                asked.append(x[1]), at.append(k)
+            if begins:
+                asked.append(x), at.append(k)
             elif x.isalpha():
                 if lower and x.isascii() and not x.islower():  # this vocabulary has lower case only
                     joined.append((k, (places[x.lower()],)))
@@ -115,11 +118,11 @@ class Encoder:
             elif (words := x.split()) == [x]:
                 core = x.rstrip(string.punctuation)
                 if core.isalpha():
-                    joined.append((k, (places[core.lower() if lower and core.isascii() else core], places[None, x[len(core) :]])))
+                    joined.append((k, (places[core.lower() if lower and core.isascii() else core], starts[x[len(core) :]])))
                 else:
                     asked.append(before + x), at.append(k)
             elif len(words) == x.count("\n") + 1:
-                lines.append((k, (places[words[0]], *(p for y in words[1:] for p in (places[None, "\n"], places[None, y])))))
+                lines.append((k, (places[words[0]], *(p for y in words[1:] for p in (starts["\n"], starts[y])))))
         for k, ids in zip(at, self._library(asked), strict=True):
             made[k] = ids
         for some in (sorted(joined, key=lambda j: len(j[1])), lines):  # lower-case forms, then letters with punctuation, then lines
@@ -132,7 +135,7 @@ class Encoder:
         self.size = _appended(self.size, self.used, size)
         self.table = _appended(self.table, self.filled, ids)
         self.used, self.filled = self.used + len(new), self.filled + len(ids)
-        places.new = []
+        new.clear()
 
     def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids (u32) of all whole texts, and the n + 1 places where each text's ids begin; null is empty."""
@@ -149,22 +152,23 @@ class Encoder:
                 gc.enable()
 
     def _flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        pieces, at = [], [0]
+        pieces, at, first = [], [0], []
         for text in texts:
             words = text.split(" ") if text else [""]
             if self.before:
-                words[0] = (None, words[0])
+                first.append(words.pop(0))
             pieces += words
-            at.append(len(pieces))
+            at.append(len(pieces) + len(first))
         place = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
-        if self.before:
-            odd = [i for i, a in enumerate(at[:-1]) if not (x := pieces[a][1]).isalpha() and len(x.split()) != x.count("\n") + 1]
-        if self.places.new:
+        odd = [i for i, x in enumerate(first) if not x.isalpha() and len(x.split()) != x.count("\n") + 1]
+        if first:
+            begun = np.fromiter(map(self.starts.__getitem__, first), np.int64, len(first))
+            place = np.insert(place, np.array(at[:-1]) - np.arange(len(first)), begun)
+        if self.new:
             self._learn()
         size = self.size[place]
         whole = np.minimum.reduceat(size, at[:-1]) < 0
-        if self.before:
-            whole[odd] = True
+        whole[odd] = True
         n = size.clip(0)
         ends = np.cumsum(n)
         out = self.table[np.repeat(self.begin[place] - (ends - n), n) + np.arange(ends[-1])]

@@ -12,7 +12,8 @@ in at least `estimate` of the coordinates. A bucket whose members all have one c
 near copies it holds, and no pair is ever capped. Pairs whose set sizes alone rule out the threshold stop before any text moves.
 
 What is shuffled: keys and ids, buckets (a hash with the band's number in its six low bits), the sketches of members of mixed
-buckets, and the texts of pairs to verify. A sketch keeps eight bits a coordinate, of which the buckets are made as well.
+buckets, and the texts of pairs to verify. A sketch keeps eight bits a coordinate, of which the buckets are made as well. Only joins
+that would move sketches or texts broadcast their other side, behind a count; tables of a few numbers a row are shuffled.
 """
 
 from __future__ import annotations
@@ -178,22 +179,22 @@ def near_duplicates(
 
     def sized(pairs: DataFrame) -> DataFrame:
         for end in "uv":
-            pairs = pairs.join(small(sizes).withColumnsRenamed({"id": end, "n_shingles": f"n{end}"}), end)
+            pairs = pairs.join(sizes.withColumnsRenamed({"id": end, "n_shingles": f"n{end}"}), end)
         return pairs.filter(alike("nu", "nv", threshold)).drop("nu", "nv")
 
     stars = keep(sized(shared.filter("id <> v").groupBy(F.col("id").alias("u"), "v").agg(F.count("*").alias("votes"))), "stars")
-    some = keep(classes.select("id", "doc_id", "h", "copies").join(small(keep(shared.select("id").distinct(), "shared-ids")), "id", "left_semi"), "members")
+    some = keep(classes.select("id", "doc_id", "h", "copies").join(shared.select("id").distinct(), "id", "left_semi"), "members")
     met = docs.withColumn("h", F.xxhash64("text")).join(small(some), ["doc_id", "h"]).select("id", "copies", "text")
     texts = keep(met.filter("copies = 1").select("id", "text").unionAll(met.filter("copies > 1").groupBy("id").agg(F.min("text").alias("text"))), "texts")
     best = keep(stars.groupBy("u").agg(F.max_by("v", F.struct("votes", -F.col("v"))).alias("v")), "best")
     several = known.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("doc_id")
-    several = keep(known.select("doc_id", "key").join(small(keep(several, "several")), "doc_id").distinct().join(classes.select("key", "id"), "key").select("doc_id", "id"), "several-classes")
+    several = keep(known.select("doc_id", "key").join(several, "doc_id").distinct().join(classes.select("key", "id"), "key").select("doc_id", "id"), "several-classes")
     same = several.join(several.groupBy("doc_id").agg(F.min("id").alias("v")), "doc_id").filter("id <> v").select(F.col("id").alias("u"), "v")
     labels, at = components(keep(verified(best, texts, size, threshold).unionAll(same), "links"))
 
     def across(pairs: DataFrame) -> DataFrame:
         for end in "uv":
-            pairs = pairs.join(small(labels).select(F.col("node").alias(end), F.col("comp").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+            pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
         return pairs.filter("cu <> cv").select("u", "v")
 
     def more(pairs: DataFrame, label: str) -> None:
@@ -209,12 +210,12 @@ def near_duplicates(
         labels, at = stored(moved.unionAll(over.join(labels, "node", "left_anti").select("node", "comp")), "labels")
 
     more(across(stars.join(best.select("u", "v"), ["u", "v"], "left_anti")), "stars-left")
-    placed = shared.select("id", "bucket").join(small(labels).withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    placed = shared.select("id", "bucket").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_ = keep(placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).filter("a < b").select("bucket", "n"), "open")
     sketches = rows_.select("id", "low", "n_shingles")
-    members = keep(placed.join(small(open_), "bucket"), "open-members")
+    members = keep(placed.join(open_, "bucket"), "open-members")
     needed = keep(members.select("id").distinct(), "open-ids")
-    members = members.join(small(keep(sketches.join(small(needed), "id", "left_semi"), "open-sketches"), limit=50_000), "id")
+    members = members.join(sketches.join(small(needed), "id", "left_semi"), "id")
     tried = stars.select("u", "v")
     more(mixed_pairs(members, estimate, threshold, rows, bands).join(tried, ["u", "v"], "left_anti"), "cross")
 

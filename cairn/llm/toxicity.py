@@ -52,8 +52,9 @@ def interacting(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, common: np.n
     mine = at[bucket] >= 0
     x = np.zeros((len(y), len(common)), np.float32)
     x[row[mine], at[bucket[mine]]] = 1
-    n11, t11 = x.T @ x, x.T @ (x * y[:, None].astype(np.float32))
-    n1, t1, n, t = x.sum(axis=0), (x * y[:, None]).sum(axis=0), len(y), y.sum()
+    toxic = x[y > 0]
+    n11, t11 = x.T @ x, toxic.T @ toxic
+    n1, t1, n, t = x.sum(axis=0), toxic.sum(axis=0), len(y), y.sum()
     counts = n11, n1[:, None] - n11, n1[None] - n11, n - n1[:, None] - n1[None] + n11
     ones = t11, t1[:, None] - t11, t1[None] - t11, t - t1[:, None] - t1[None] + t11
     rate = [(b + 0.5) / (c + 1) for b, c in zip(ones, counts, strict=True)]
@@ -116,7 +117,7 @@ def fit(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, bits: int = 18, feat
 def learned(docs: DataFrame, labels: DataFrame, sample: int = 30_000, bits: int = 18, **how) -> Machine:
     """A machine from at most `sample` labelled documents whose crc32(doc_id) mod 5 isn't 0; the driver holds that sample only.
 
-    Several labels of one document count as their largest, several texts as the least; null labels don't count.
+    Several labels of one document count as their largest, of several texts the one with the least terms counts; null labels don't.
     """
     y = labels.filter("doc_id is not null and toxic is not null").filter(remainder5() != 0).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(remainder5() != 0)
@@ -129,8 +130,9 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = 30_000, bits: int
             packed = [bucket[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "buckets"])
 
-    one = known.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = sorted((r.doc_id, bytes(r.buckets), r.toxic) for r in one.mapInArrow(run, "doc_id long, toxic int, buckets binary").toLocalIterator())
+    each = known.join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, buckets binary")
+    one = each.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("buckets").alias("buckets"))  # of texts no more than this moves
+    rows = sorted((r.doc_id, bytes(r.buckets), r.toxic) for r in one.toLocalIterator())
     buckets = [np.frombuffer(b, "<i4") for _, b, _ in rows]
     row = np.repeat(np.arange(len(rows)), [len(x) for x in buckets])
     return fit(row, np.concatenate(buckets).astype(np.int64) if buckets else np.empty(0, np.int64), np.array([t for *_, t in rows], float), bits, **how)
