@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,15 @@ def small(df: DataFrame, limit: int = 2_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def released(spark: SparkSession) -> None:
+    """Lets go of plans that nothing refers to any more, so that Spark removes their shuffle files and broadcast tables now.
+
+    Spark does so when the driver collects garbage, which a driver with little to do may put off for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables that no returned DataFrame reads."""
     for path in paths:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import U64, discard, in_order, mixed, planes, stored, unplanes, word_hashes
+from ._base import U64, discard, in_order, mixed, planes, released, stored, unplanes, word_hashes
 
 CHUNK = 1 << 18  # tokens
 RANGE_BYTES = 16 << 20  # of text, whose counts one range sums
@@ -217,13 +217,14 @@ def lm_scores(docs: DataFrame, ranges: int | None = None, tokens: int = CHUNK) -
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(fold == 1, 2).when(fold == 2, 1).otherwise(0).cast("int").alias("fold"), "text", F.spark_partition_id().alias("part"))
     ranges = ranges or max(32, -(-int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
-    totals = _sent(rows, ranges, tokens).groupBy("range", "kind").applyInArrow(_totals, _SENT)
-    answers, answers_path = stored(totals, "lm-answers")
+    answers, answers_path = stored(_sent(rows, ranges, tokens).groupBy("range", "kind").applyInArrow(_totals, _SENT), "lm-answers")
+    released(spark)  # the shuffle behind it is as large as the input
     stats = np.sum([np.frombuffer(bytes(r.own), np.int64) for r in answers.filter("chunk = -1").select("own").collect()] or [np.zeros(4, np.int64)], axis=0)
     n_early, n, v_early, v = int(stats[0]), int(stats[0] + stats[1]), int(stats[2]), int(stats[3])
     chunk_schema = "kind int, ids array<long>, fold binary, sizes binary, word binary, counts binary, pairs binary, codes binary, weights binary"
     met, met_path = stored(answers.filter("chunk >= 0").unionByName(_own(rows, tokens)).groupBy("chunk").applyInArrow(_met, chunk_schema), "lm-chunks")
     discard(spark, answers_path)
+    released(spark)
 
     def bins(batches):
         sums: dict[int, int] = {}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import MIX_A, U64, components, discard, distinct, grams, in_order, mixed, small, stored, word_hashes
+from ._base import MIX_A, U64, components, discard, distinct, grams, in_order, mixed, released, small, stored, word_hashes
 
 BANDS, ROWS, BITS, BLOCK = 42, 6, 9, 4096
 ESTIMATE = 0.71  # over five standard deviations below 0.8 for 512 coordinates; star pairs are verified whatever they agree in
@@ -182,6 +182,7 @@ def near_duplicates(
             pairs = pairs.join(sizes.withColumnsRenamed({"id": end, "n_shingles": f"n{end}"}), end)
         return pairs.filter(alike("nu", "nv", threshold)).drop("nu", "nv")
 
+    released(spark)
     stars = keep(sized(shared.filter("id <> v").groupBy(F.col("id").alias("u"), "v").agg(F.count("*").alias("votes"))), "stars")
     some = keep(classes.select("id", "doc_id", "h", "copies").join(shared.select("id").distinct(), "id", "left_semi"), "members")
     met = docs.withColumn("h", F.xxhash64("text")).join(small(some), ["doc_id", "h"]).select("id", "copies", "text")
@@ -208,6 +209,7 @@ def near_duplicates(
         paths.append(over_at)
         moved = labels.join(over.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
         labels, at = stored(moved.unionAll(over.join(labels, "node", "left_anti").select("node", "comp")), "labels")
+        released(spark)
 
     more(across(stars.join(best.select("u", "v"), ["u", "v"], "left_anti")), "stars-left")
     placed = shared.select("id", "bucket").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -224,4 +226,5 @@ def near_duplicates(
     own = rows_.select("doc_id", "n_shingles", "key").join(ends, "key", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
     final, _ = stored(own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "near-dup")
     discard(spark, at, *paths)
+    released(spark)
     return final
