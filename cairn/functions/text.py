@@ -99,6 +99,19 @@ def identifier_tokens(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+)"), F.lit(1)), F.lower))
 
 
+def alias_tokens(c: Column) -> Column:
+    """Lower-cased runs of letters and digits, and the parts of camel-case ones."""
+    runs = F.regexp_extract_all(c, F.lit("([A-Za-z][A-Za-z0-9]*|[0-9]+[A-Za-z]*)"), F.lit(1))
+    parts = F.regexp_extract_all(c, F.lit("([A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|(?![A-Za-z0-9]))|[0-9]+)"), F.lit(1))
+    return F.array_distinct(F.transform(F.concat(runs, parts), F.lower))
+
+
+def evidence_id(path: Column, start: Column, end: Column, content: Column) -> Column:
+    """path:start-end: and twelve digits of the content's SHA-1."""
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("string")
+    return F.concat(path, F.lit(":"), zero(start), F.lit("-"), zero(end), F.lit(":"), F.left(F.sha1(content), F.lit(12)))
+
+
 def java_bean_field(c: Column) -> Column:
     """The field behind a getter or setter, else null."""
     rest = F.regexp_extract(c, r"^(?:get|set|is)([A-Z].*)$", 1)
@@ -106,8 +119,8 @@ def java_bean_field(c: Column) -> Column:
 
 
 def reduction(repo: Column, context: Column) -> Column:
-    """Share of tokens saved, in per cent between 0 and 100, to one place."""
-    return F.when(repo <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round((1 - context / repo) * 100, 1))))
+    """Share of tokens saved, in per cent between 0 and 100, to one place, halves to the even one."""
+    return F.when(repo <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround((1 - context / repo) * 100, 1))))
 
 
 def string_list(c: Column) -> Column:

@@ -170,15 +170,16 @@ def tagged(df: DataFrame) -> DataFrame:
 
 
 def edges(df: DataFrame) -> DataFrame:
-    """(path, source, target, edge_type): extends, implements, configures, calls, tested_by, routes_to, and imports from a file's first class."""
-    one = lambda kind, target: df.select("path", F.col("name").alias("source"), target.alias("target"), F.lit(kind).alias("edge_type"))
+    """(path, source, start_line, end_line, target, edge_type), the lines being the source's: extends, implements, configures, calls, tested_by, routes_to, and imports from a file's first class."""
+    lines = ["start_line", "end_line"]
+    one = lambda kind, target: df.select("path", F.col("name").alias("source"), *lines, target.alias("target"), F.lit(kind).alias("edge_type"))
     parts = [one("extends", F.explode("extends")), one("implements", F.explode("implements")), one("calls", F.explode("calls")), one("routes_to", F.col("route")).filter("target is not null")]
-    parts.append(df.filter("kind = 'test'").select("path", F.col("name").alias("source"), F.explode("calls").alias("target"), F.lit("tested_by").alias("edge_type")))
-    holders = df.filter(F.array_contains("annotations", "Configuration")).select("path", F.col("name").alias("source")).distinct()
+    parts.append(df.filter("kind = 'test'").select("path", F.col("name").alias("source"), *lines, F.explode("calls").alias("target"), F.lit("tested_by").alias("edge_type")))
+    holders = df.filter(F.array_contains("annotations", "Configuration")).groupBy("path", F.col("name").alias("source")).agg(F.min("start_line").alias("start_line"), F.min_by("end_line", "start_line").alias("end_line"))
     beans = df.filter(F.array_contains("annotations", "Bean")).select("path", F.col("parent").alias("source"), F.col("name").alias("target"))
-    parts.append(beans.join(holders, ["path", "source"]).select("path", "source", "target", F.lit("configures").alias("edge_type")))
-    first = df.filter("kind = 'class'").groupBy("path").agg(F.min_by("name", "ordinal").alias("source"), F.min_by("imports", "ordinal").alias("i"))
-    parts.append(first.select("path", "source", F.explode("i").alias("target"), F.lit("imports").alias("edge_type")))
+    parts.append(beans.join(holders, ["path", "source"]).select("path", "source", *lines, "target", F.lit("configures").alias("edge_type")))
+    first = df.filter("kind = 'class'").groupBy("path").agg(F.min_by("name", "ordinal").alias("source"), F.min_by("imports", "ordinal").alias("i"), F.min_by("start_line", "ordinal").alias("start_line"), F.min_by("end_line", "ordinal").alias("end_line"))
+    parts.append(first.select("path", "source", *lines, F.explode("i").alias("target"), F.lit("imports").alias("edge_type")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,31 +44,50 @@ def exact_else(df: DataFrame, exact: Column, partial: Column, limit: int, order:
     return ranked.join(F.broadcast(best), "_kind").orderBy(*order).limit(limit).drop("_kind")
 
 
-def enclosing(points: DataFrame, intervals: DataFrame, on: str) -> DataFrame:
-    """For each point (id, on, at) the smallest interval (on, start, end, name) that holds it; ties go to the first start, then name."""
-    inside = points.join(intervals, on).filter((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end")))
-    return inside.groupBy("id").agg(F.min_by("name", F.struct(F.col("end") - F.col("start"), "start", "name")).alias("owner"))
+def enclosing(points: DataFrame, intervals: DataFrame, on: str, skip: Column | None = None, prefer: Column | None = None, width: int = 1000) -> DataFrame:
+    """For each point (id, on, at) the smallest interval (on, start, end, name) that holds it; ties go to the first start, then name.
+
+    Intervals that `skip` don't count; those with a greater `prefer` go first. Points meet intervals by key and by stretch of `width`
+    places, so a key with many of both is spread.
+    """
+    place = lambda c: F.floor(F.col(c) / width)
+    spread = intervals.filter(F.col("start") <= F.col("end")).withColumn("_w", F.explode(F.sequence(place("start"), place("end"))))
+    inside = points.withColumn("_w", place("at")).join(spread, [on, "_w"]).filter((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end")))
+    if skip is not None:
+        inside = inside.filter(~skip)
+    order = F.struct(-(F.lit(0) if prefer is None else prefer), F.col("end") - F.col("start"), "start", "name")
+    return inside.groupBy("id").agg(F.min_by("name", order).alias("owner"))
 
 
 def merged(candidates: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Candidates of one chunk become one: first row's fields, source of most weight, greatest base, reasons in order."""
-    weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("source")), F.lit(1.0))
+    """Candidates of one chunk become one: first row's fields, source of most weight (an unknown one has none), greatest base, reasons
+    in order."""
+    weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("source")), F.lit(0.0))
     by = candidates.withColumn("_w", weight).groupBy("chunk_id")
     reasons = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "reason"))), lambda x: x.reason))
-    return by.agg(F.min("ordinal").alias("ordinal"), F.max_by("source", F.struct("_w", -F.col("ordinal"))).alias("source"), F.max("base").alias("base"), reasons.alias("reasons"))
+    return by.agg(F.min("ordinal").alias("ordinal"), F.min_by("source", F.struct(-F.col("_w"), "ordinal")).alias("source"), F.max("base").alias("base"), reasons.alias("reasons"))
 
 
 def budget_packed(items: DataFrame, group: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
-    """Greedy packing with skips, as a fold over each group's ranked items: the first always goes in, later ones if they fit."""
-    fields = [c for c in items.columns if c not in group]
-    ranked = items.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("_o"), *fields))).alias("a"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("took"))
+    """Greedy packing with skips over each group's rows in order: the first always goes in, later ones if they fit.
+
+    A group's rows stream through one task in order, and only a sum is held for it.
+    """
+    ranked = items.repartition(*group).sortWithinPartitions(*group, *order)
 
-    def step(s: Column, x: Column) -> Column:
-        fits = (F.size(s.took) == 0) | (s.used + x[cost] <= budget)
-        return F.struct((s.used + F.when(fits, x[cost]).otherwise(0)).cast("long").alias("used"), F.concat(s.took, F.array(fits)).alias("took"))
+    def run(batches):
+        last, used = None, 0
+        for batch in batches:
+            keys = list(zip(*(batch.column(batch.schema.get_field_index(g)).to_pylist() for g in group), strict=True))
+            took = []
+            for key, n in zip(keys, batch.column(batch.schema.get_field_index(cost)).to_pylist(), strict=True):
+                fits = key != last or used + n <= budget
+                used = (0 if key != last else used) + (n if fits else 0)
+                last = key
+                took.append(fits)
+            yield batch.filter(pa.array(took, pa.bool_()))
 
-    return ranked.withColumn("took", F.aggregate("a", start, step).took).select(*group, F.explode(F.arrays_zip("a", "took")).alias("r")).filter("r.took").select(*group, *[F.col(f"r.a.{f}").alias(f) for f in fields])
+    return ranked.mapInArrow(run, ranked.schema)
 
 
 def k_hops(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
@@ -105,3 +125,38 @@ def next_start(df: DataFrame, part: str, start: str) -> DataFrame:
 def running_depth(df: DataFrame, part: list[str], order: str, delta: Column) -> DataFrame:
     w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("depth", F.sum(delta).over(w))
+
+
+def first_of(df: DataFrame, keys: list[Column], order: list) -> DataFrame:
+    """The first row of each key; null keys are a key too."""
+    named = df.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
+    best = named.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("r"))
+    return best.select("r.*")
+
+
+def kept_or_all(df: DataFrame, keep: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is kept; all rows where no kept key occurs."""
+    marked = df.join(keep.select(on).distinct().withColumn("_m", F.lit(True)), on, "left")
+    some = marked.agg(F.coalesce(F.max("_m"), F.lit(False)).alias("_some"))  # one row
+    return marked.crossJoin(F.broadcast(some)).filter(F.coalesce("_m", ~F.col("_some"))).select(*df.columns)
+
+
+def next_marked(lines: DataFrame, part: str, at: str, code: Column) -> DataFrame:
+    """Forward as-of: for each line the first later line of its part for which `code` holds."""
+    w = Window.partitionBy(part).orderBy(at).rowsBetween(1, Window.unboundedFollowing)
+    return lines.withColumn("next", F.min(F.when(code, F.col(at))).over(w))
+
+
+def block_ends(lines: DataFrame, part: str, at: str, depth: Column, most: int = 80) -> DataFrame:
+    """For each start (column `start` of lines, repeated on every line of its frame) the first line where a block has begun and its
+    depth is back at nothing; else `most` lines on, or the last line. lines: part, start, at, and the change of depth on the line."""
+    w = Window.partitionBy(part, "start").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    own = lines.filter(F.col(at).between(F.col("start"), F.col("start") + most))
+    own = own.withColumns({"_d": F.sum(depth).over(w), "_b": F.max(depth > 0).over(w)})
+    return own.groupBy(part, "start").agg(F.coalesce(F.min(F.when(F.col("_b") & (F.col("_d") <= 0), F.col(at))), F.max(at)).alias("end"))
+
+
+def settled(queue: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:
+    """The queue after a batch: done paths are processed, failed ones pending again."""
+    marks = done.select("path", F.lit("done").alias("_s")).unionByName(failed.select("path", F.lit("pending").alias("_s")))
+    return queue.join(marks, "path", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")

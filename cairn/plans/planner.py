@@ -19,6 +19,7 @@ HANDLERS: list[tuple[str, list[str], bool]] = [
     ("which_package", ["which package", "what package", "package contains"], False),
     ("find_symbol", ["^find ", "symbol by name", "methods named"], False),
     ("counts_by_kind", ["count symbols", "symbols by type", "count by type", "symbol counts"], True),
+    ("grouped_routes", [], True),
     ("controllers", ["controller"], True),
     ("services", ["service"], True),
     ("repositories", ["repositor"], True),
@@ -29,6 +30,8 @@ HANDLERS: list[tuple[str, list[str], bool]] = [
     ("extends", ["extend", "subclass", "inherit"], True),
     ("imports", ["import"], False),
 ]
+# Cues of a grouped answer, and of what is grouped.
+GROUPING, GROUPED = ["grouped by", "for each", "under each", "per "], ["route", "endpoint", "handler"]
 # Intents in order, with their cues.
 INTENTS: list[tuple[str, list[str]]] = [
     ("review", ["review", "code review", "risk", "looks good", "feedback on"]),
@@ -38,6 +41,7 @@ INTENTS: list[tuple[str, list[str]]] = [
     ("code_edit", ["add", "implement", "create", "change", "update", "modify", "validation", "endpoint"]),
     ("architecture_explanation", ["architecture", "overview", "how does", "explain the flow", "design", "structure"]),
 ]
+# A quoted text or a path, which names one thing rather than a category.
 _ENTITY = re.compile(r"[\"'`][^\"'`]+[\"'`]|/[A-Za-z0-9_{}/-]+")
 
 
@@ -54,8 +58,9 @@ def route_column(question: Column) -> Column:
     q = F.lower(F.trim(question))
     entity = question.rlike(_ENTITY.pattern)
     out = F.when(_any(q, REASONING) | ~_any(q, ENUMERATION), "ai_required")
+    grouped = (_any(q, GROUPING) | (q.contains("group") & q.contains(" by "))) & _any(q, GROUPED)
     for name, cues, broad in HANDLERS:
-        out = out.when(_any(q, cues) & (~entity if broad else F.lit(True)), name)
+        out = out.when((_any(q, cues) if cues else grouped) & (~entity if broad else F.lit(True)), name)
     return out.otherwise("ai_required")
 
 
@@ -65,7 +70,8 @@ def route(question: str) -> str:
     if hit(REASONING) or not hit(ENUMERATION):
         return "ai_required"
     entity = bool(_ENTITY.search(question))
-    return next((name for name, cues, broad in HANDLERS if hit(cues) and not (broad and entity)), "ai_required")
+    grouped = (hit(GROUPING) or ("group" in q and " by " in q)) and hit(GROUPED)
+    return next((name for name, cues, broad in HANDLERS if (hit(cues) if cues else grouped) and not (broad and entity)), "ai_required")
 
 
 def intent_column(prompt: Column) -> Column:

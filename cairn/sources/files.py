@@ -1,35 +1,144 @@
-"""Source trees as tables, and the git working tree as a table."""
+"""Source trees as tables, the git repository around them, and settings."""
 
 from __future__ import annotations
 
+import json
+import os
 import subprocess
+from copy import deepcopy
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 
+# What marks the root of a repository, and the defaults of the settings.
+ROOT_MARKS = [".git", "pom.xml", "build.gradle", "settings.gradle", "package.json", "pyproject.toml", "go.mod"]
+DEFAULTS = {
+    "indexing": {"debounce_ms": 2500, "batch_files": 10}, "hash_scan": {"every_s": 600, "files": 200},
+    "embedding": {"provider": "bag_of_tokens", "max_chunk_tokens": 800},
+    "retrieval": {"max_context_tokens": 25_000, "lexical_top_k": 20, "vector_top_k": 30, "symbol_top_k": 20, "rerank_top_k": 12, "include_git_diff": True},
+    "verifier": {"max_attempts": 3, "min_confidence": 0.75},
+}
 
-def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """address, path (below root), language, size_bytes and last_modified_at of supported files outside ignored folders; no content is read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).drop("content")
+    below = F.regexp_replace("path", "^(?:file:)?/*" + root.removeprefix("file:").strip("/").replace(".", r"\.") + "/", "")
+    rows = rows.select(F.col("path").alias("address"), below.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified_at"))
+    return rows.withColumn("language", T.detect_language(F.col("path"))).filter(F.col("language").isNotNull() & ~T.ignored(F.col("path")))
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """Adds the bytes at `address`, read where the row is; files that can't be read go."""
+    schema = files.schema
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            at, data, kept = batch.schema.get_field_index("address"), [], []
+            for i, address in enumerate(batch.column(at).to_pylist()):
+                try:
+                    store, path = fs.FileSystem.from_uri(address if "://" in address else "file://" + "/" + address.removeprefix("file:").lstrip("/"))
+                    with store.open_input_stream(path) as f:
+                        data.append(f.read())
+                    kept.append(i)
+                except OSError:
+                    continue
+                if sum(map(len, data)) > 16 << 20:
+                    yield batch.take(pa.array(kept)).append_column("content", pa.array(data, pa.binary()))
+                    data, kept = [], []
+            if kept:
+                yield batch.take(pa.array(kept)).append_column("content", pa.array(data, pa.binary()))
+
+    return files.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", content binary")
+
+
+def scan(spark: SparkSession, root: str, content: bool = True, paths: list[str] | None = None) -> DataFrame:
     """path (below root), language, size_bytes, file_hash, last_modified_at and text of supported files outside ignored folders.
 
-    Texts decode as UTF-8 with replacement. Without content only the file listing is read.
+    Texts decode as UTF-8 with replacement. The listing is filtered first, to `paths` too if they are given, so ignored files are
+    never opened. Without content only the listing is read.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    below = F.regexp_replace("path", "^(?:file:)?/*" + root.removeprefix("file:").strip("/").replace(".", r"\.") + "/", "")
-    rows = rows.withColumn("path", below).withColumn("language", T.detect_language(F.col("path"))).filter(F.col("language").isNotNull() & ~T.ignored(F.col("path")))
-    out = rows.select("path", "language", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified_at"), "content")
+    found = listing(spark, root)
+    if paths is not None:
+        found = found.filter(F.col("path").isin(paths))
     if not content:
-        return out.drop("content")
-    return out.select("path", "language", "size_bytes", "last_modified_at", F.sha2("content", 256).alias("file_hash"), F.expr("make_valid_utf8(cast(content as string))").alias("text"))
-
-
-def git_changes(spark: SparkSession, root: str, timeout: int = 15) -> DataFrame:
-    """Sorted distinct paths that the work tree, the index or no commit holds differently; none where git fails."""
-    found: set[str] = set()
-    for args in (("diff", "--name-only"), ("diff", "--name-only", "--cached"), ("ls-files", "--others", "--exclude-standard")):
-        try:
-            found |= set(subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=timeout, check=True).stdout.split("\n")) - {""}
-        except (OSError, subprocess.SubprocessError):
-            continue
-    return spark.createDataFrame([(x,) for x in sorted(found)], "path string")
+        return found.drop("address").select("path", "language", "size_bytes", "last_modified_at")
+    rows = with_content(found.repartition("path"))
+    return rows.select("path", "language", "size_bytes", "last_modified_at", F.sha2("content", 256).alias("file_hash"), F.expr("make_valid_utf8(cast(content as string))").alias("text"))
+
+
+def _git(root: str, *args: str, timeout: int = 15) -> str:
+    """What git says; nothing where it fails."""
+    try:
+        return subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=timeout, check=True).stdout
+    except (OSError, subprocess.SubprocessError):
+        return ""
+
+
+def git_paths(root: str) -> list[str]:
+    """Sorted distinct paths that the work tree, the index or no commit holds differently."""
+    given = (("diff", "--name-only"), ("diff", "--name-only", "--cached"), ("ls-files", "--others", "--exclude-standard"))
+    return sorted({x for args in given for x in _git(root, *args).split("\n")} - {""})
+
+
+def git_changes(spark: SparkSession, root: str) -> DataFrame:
+    """The changed paths as a table."""
+    return spark.createDataFrame([(x,) for x in git_paths(root)], "path string")
+
+
+def git_branch(root: str) -> str:
+    return _git(root, "rev-parse", "--abbrev-ref", "HEAD").strip()
+
+
+def git_diff(root: str, stat: bool = False) -> str:
+    return _git(root, "diff", *(["--stat"] if stat else []))
+
+
+def git_between(root: str, old: str, new: str) -> list[str]:
+    """Sorted paths that differ between two commits."""
+    return sorted({*_git(root, "diff", "--name-only", old, new).split("\n")} - {""})
+
+
+def repository_root(path: str) -> str:
+    """The nearest folder at or above a path that holds a mark of a repository; the path itself where none does."""
+    at = os.path.abspath(path)
+    here = at if os.path.isdir(at) else os.path.dirname(at)
+    while not any(os.path.exists(os.path.join(here, m)) for m in ROOT_MARKS):
+        if os.path.dirname(here) == here:
+            return at
+        here = os.path.dirname(here)
+    return here
+
+
+def merged_settings(base: dict, over: dict) -> dict:
+    """base with the values of over; inner tables merge likewise."""
+    out = deepcopy(base)
+    for k, v in over.items():
+        out[k] = merged_settings(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else deepcopy(v)
+    return out
+
+
+def settings(path: str | None = None) -> dict:
+    """The defaults, with what a JSON file says over them; an absent file says nothing."""
+    if path is None or not os.path.exists(path):
+        return deepcopy(DEFAULTS)
+    with open(path) as f:
+        return merged_settings(DEFAULTS, json.load(f))
+
+
+def save_settings(path: str, values: dict) -> None:
+    with open(path, "w") as f:
+        json.dump(values, f, indent=2)
+
+
+def below(root: str, path: str) -> str | None:
+    """A path as one below root with plain slashes; None outside of it."""
+    given = path.replace("\\", "/")
+    full = os.path.normpath(given if os.path.isabs(given) else os.path.join(root, given))
+    inside = os.path.relpath(full, os.path.abspath(root)).replace("\\", "/")
+    return None if inside.startswith("..") or inside == "." else inside

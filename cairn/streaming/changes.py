@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import relational as R
+from cairn.plans.engine import Engine
 
 EVENT = "id long, path string, event_type string, priority int, created_at timestamp"
 
@@ -32,3 +33,31 @@ def drain(events: DataFrame, table: str, checkpoint: str):
         R.queue_compacted(new).write.mode("overwrite").parquet(f"{table}/v{number}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def land(spark: SparkSession, landing: str, rows: list[tuple[int, str, str, int]], at: str) -> None:
+    """Appends events (id, path, event_type, priority) of one time to the landing folder that `source` reads."""
+    spark.createDataFrame([(*r, at) for r in rows], "id long, path string, event_type string, priority int, created_at string").coalesce(1).write.mode("append").json(landing)
+
+
+def moved(old: str, new: str, first_id: int, priority: int) -> list[tuple[int, str, str, int]]:
+    """A move as two events."""
+    return [(first_id, old, "deleted", priority), (first_id + 1, new, "renamed", priority)]
+
+
+def follow(events: DataFrame, engine: Engine, root: str, checkpoint: str, every: str | None = None):
+    """Keeps an index up to date: each micro-batch goes into the queue, one row a path, and the queue is drained.
+
+    With `every` (as "10 seconds") it runs until stopped, else over what has landed. A repeated batch indexes the same files again.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        latest = R.queue_compacted(batch.select("id", "path", "event_type", "priority", "created_at"))
+        for kind, priority in sorted((r.event_type, r.priority) for r in latest.select("event_type", "priority").distinct().collect()):
+            some = latest.filter((F.col("event_type") == kind) & (F.col("priority") == priority))
+            engine.enqueue(root, [r.path for r in some.select("path").collect()], kind, priority)
+        while engine.drain(root)["processed"]:
+            pass
+
+    writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

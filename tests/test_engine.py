@@ -3,12 +3,13 @@
 import test_braces
 import test_code
 
-from cairn.plans import engine
+from cairn.plans import engine, prompts
 
 
 def test_subject_and_keywords():
-    assert engine.subject("where is 'load order'?") == "load order" and engine.subject("Where is OrderService?") == "OrderService" and engine.subject("") == ""
-    assert engine.keywords("Where is the order Order of x") == ["order"]
+    assert prompts.subject("where is 'load order'?") == "load order" and prompts.subject("Where is OrderService?") == "OrderService" and prompts.subject("") == ""
+    assert prompts.subject("find 'a' or 'b'") == "b" and prompts.subject("imports of app/api.py") == "/api" and prompts.subject("where is the loader") == "loader"
+    assert "Order" in prompts.keywords("Where is the order Order of x") and "order" not in prompts.keywords("Where is the order Order of x")
 
 
 def test_engine(spark, tmp_path):
@@ -18,7 +19,8 @@ def test_engine(spark, tmp_path):
     (tree / "OrderController.java").write_text(test_braces.JAVA)
     e = engine.Engine(spark, str(tmp_path / "home"))
     e.index(str(tree))
-    assert {r["name"] for r in e.status().collect()} == set(engine.TABLES)
+    counts = {r["name"]: r.n for r in e.status().collect()}
+    assert set(counts) == {*engine.TABLES, "repo_tokens", "pending"} and counts["files"] == 4 and counts["embeddings"] == counts["chunks"] and counts["pending"] == 0
     name, rows = e.ask("where is OrderService")
     assert name == "where_is" and [r["name"] for r in rows.collect()] == ["OrderService"]
     assert {r["name"] for r in e.ask("where is Order")[1].collect()} >= {"OrderService", "OrderController"}
