@@ -106,6 +106,12 @@ def alias_tokens(c: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(runs, parts), F.lower))
 
 
+def plain_keywords(c: Column, noise: list[str]) -> Column:
+    """Lower-cased words of over two characters that aren't noise, in order."""
+    words = F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_]+)"), F.lit(1))
+    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(noise))
+
+
 def evidence_id(path: Column, start: Column, end: Column, content: Column) -> Column:
     """path:start-end: and twelve digits of the content's SHA-1."""
     zero = lambda x: F.coalesce(x, F.lit(0)).cast("string")

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
+from cairn.functions import patches
+from cairn.operators import code
+from cairn.operators import embedding as E
 from cairn.operators import relational as R
-from cairn.plans import planner
+from cairn.operators import retrieval as H
+from cairn.plans import planner, prompts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -126,9 +130,10 @@ def changed_semi(t):
     return t("customer").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 1)""")
 def orphan_anti(t):
-    return R.without(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Customers without an order of one kind, as live files without a scanned one."""
+    return R.without(t("customer").select("c_custkey"), t("orders").filter("o_orderkey % 10 = 1").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("""WITH spans AS (SELECT user_id, event_id AS name, event_id AS b, event_id + 400 AS e FROM events WHERE event_type = 'signup'),
@@ -168,6 +173,13 @@ def fallback_exact_else_like(t):
     return R.exact_else(t("part").select("p_partkey", "p_name"), F.col("p_name") == "no such part", T.contains_like(F.col("p_name"), F.lit("re")), 50, ["p_partkey"])
 
 
+@query(f"""WITH e AS (SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#13') SELECT * FROM (SELECT * FROM e ORDER BY p_partkey LIMIT 50)""")
+def fallback_exact(t):
+    """The branch where exact rows exist: rows that match in part don't come."""
+    p = t("part").select("p_partkey", "p_name", "p_brand")
+    return R.exact_else(p, F.col("p_brand") == "Brand#13", T.contains_like(F.col("p_brand"), F.lit("brand#1")), 50, ["p_partkey"]).select("p_partkey", "p_name")
+
+
 @query("""SELECT c_custkey, coalesce(r_name, n_name, '?') AS owner FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA'""")
 def parent_chain(t):
     up = t("region").filter("r_name <> 'ASIA'")
@@ -185,12 +197,11 @@ def repo_tokens(t):
     return t("documents").agg(F.count("*").alias("n_files"), F.count_if(F.col("lang") == "en").alias("n_en"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("size_bytes"), F.expr("coalesce(sum(n_chars), 0) div 4").alias("repo_tokens"), F.sum(T.context_tokens(F.col("text"))).alias("context_tokens"))
 
 
-@query("""SELECT doc_id, greatest(0.0, least(100.0, round((1 - (length(text) // 4) / 5000.0) * 100, 1))) AS reduction FROM documents""")
+@query("""SELECT doc_id, greatest(0.0, least(100.0, round_even((1 - (length(text) // 4) / 5000.0::DOUBLE) * 100, 1))) AS reduction FROM documents""")
 def token_reduction(t):
     return t("documents").select("doc_id", T.reduction(F.lit(5000.0), F.expr("length(text) div 4").cast("double")).alias("reduction"))
 
 
-_WEIGHTS = {"route_exact": 8.0, "file_hint": 6.0, "query_alias": 6.0, "call_target": 7.0, "feature_context": 6.5, "symbol": 5.0, "symbol_partial": 3.5, "lexical": 2.0, "vector": 1.0, "graph": 2.5}
 _SOURCES = "CASE event_type WHEN 'click' THEN 'lexical' WHEN 'purchase' THEN 'symbol' WHEN 'signup' THEN 'graph' WHEN 'error' THEN 'vector' ELSE 'symbol_partial' END"
 _WEIGHT_SQL = "CASE source WHEN 'lexical' THEN 2.0 WHEN 'symbol' THEN 5.0 WHEN 'graph' THEN 2.5 WHEN 'vector' THEN 1.0 ELSE 3.5 END"
 
@@ -201,7 +212,7 @@ SELECT c.chunk_id, min(ordinal) AS ordinal, arg_max(source, ({_WEIGHT_SQL}, -ord
 FROM c JOIN (SELECT chunk_id, string_agg(reason, ',' ORDER BY o) AS reasons FROM f GROUP BY chunk_id) g USING (chunk_id) GROUP BY c.chunk_id""")
 def dedup_merge_candidates(t):
     c = t("events").select(F.col("user_id").alias("chunk_id"), F.col("event_id").alias("ordinal"), F.expr(_SOURCES).alias("source"), F.col("value").alias("base"), F.col("event_type").alias("reason"))
-    return R.merged(c, _WEIGHTS).withColumn("reasons", F.array_join("reasons", ","))
+    return R.merged(c, H.WEIGHTS).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("""SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS owner, count(*) AS n, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS items FROM pages GROUP BY 1 ORDER BY owner""")
@@ -210,13 +221,15 @@ def group_by_owner(t):
     return p.groupBy("owner").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("page_id")), lambda x: x.cast("string")), ",").alias("items")).orderBy("owner")
 
 
-@query("""WITH s AS (SELECT doc_id, (CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'und') AS INT) + CAST(contains(lower(text), 'scum') AS INT) + CAST(contains(lower(text), 'de la') AS INT)) / CAST(4.0 AS DOUBLE) AS coverage, n_chars FROM documents)
-SELECT doc_id, coverage, round(least(1.0::DOUBLE, 0.35::DOUBLE + CASE WHEN n_chars >= 4000 THEN 0.25::DOUBLE WHEN n_chars >= 1000 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END + 0.1::DOUBLE * coverage) + 1e-9, 2) AS confidence FROM s""")
+@query("""WITH s AS (SELECT doc_id, n_chars, source, lang, (CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'und') AS INT) + CAST(contains(lower(text), 'scum') AS INT) + CAST(contains(lower(text), 'de la') AS INT)) / 4.0::DOUBLE AS coverage FROM documents)
+SELECT doc_id, coverage, round_even(0.35::DOUBLE + CASE WHEN n_chars / 500.0::DOUBLE >= 8 THEN 0.25::DOUBLE WHEN n_chars / 500.0::DOUBLE >= 4 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END
+  + CASE WHEN source = 'src1' THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN lang = 'en' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + 0.1::DOUBLE * coverage, 2) AS confidence FROM s""")
 def coverage_confidence(t):
+    """Each document as a result of its own: its length for the top score, its source for the exact symbol, its language for the file."""
     low = F.lower("text")
     coverage = sum((low.contains(k).cast("int") for k in ("the", "und", "scum", "de la")), F.lit(0)) / 4.0
-    step = F.when(F.col("n_chars") >= 4000, 0.25).when(F.col("n_chars") >= 1000, 0.15).otherwise(0.0)
-    return t("documents").select("doc_id", coverage.alias("coverage"), F.round(F.least(F.lit(1.0), 0.35 + step + 0.1 * coverage) + 1e-9, 2).alias("confidence"))
+    d = t("documents").withColumn("coverage", coverage)
+    return d.select("doc_id", "coverage", H.confidence_value(F.lit(1), F.col("n_chars") / 500.0, F.col("source") == "src1", F.col("lang") == "en", F.col("coverage")).alias("confidence"))
 
 
 @query("""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark),
@@ -227,12 +240,13 @@ def bow_embedding(t):
     return w.select("item_id", (T.fnv1a(F.col("w")) % 256).alias("bucket")).groupBy("item_id", "bucket").agg(F.count("*").alias("n"))
 
 
-@query("""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])), 6) AS sim FROM embeddings, q)
+@query("""WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])), 6) AS sim FROM embeddings, q WHERE vec_id % 3 <> 1)
 SELECT vec_id, sim FROM (SELECT * FROM s ORDER BY sim DESC, vec_id DESC LIMIT 30) WHERE sim > 0""")
 def vector_topk(t):
-    e = t("embeddings")
-    one = e.filter("vec_id = 0").select(F.col("embedding").alias("v"))  # the query is one row
-    return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("v")), 6).alias("sim")).orderBy(F.desc("sim"), F.desc("vec_id")).limit(30).filter("sim > 0")
+    """The operator's search, with vectors of chunks that are gone (a third of them)."""
+    e = t("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    chunks = e.filter("chunk_id % 3 <> 1").select("chunk_id", F.lit("f").alias("path"), F.lit(1).alias("start_line"))
+    return H.vector_hits(chunks, e, e.filter("chunk_id = 0")).select(F.col("chunk_id").alias("vec_id"), F.round("base", 6).alias("sim"))
 
 
 @query("""WITH c AS (SELECT page_id, i, substr(html, i, 1) AS c FROM (SELECT page_id, html, unnest(range(1, length(html) + 1)) AS i FROM pages)), m AS (SELECT * FROM c WHERE c IN ('<', '>'))
@@ -259,13 +273,19 @@ def budget_pack(t):
     return R.budget_packed(d, ["source"], ["o", "doc_id"], "cost", 25_000).select("source", "doc_id", "cost")
 
 
-@query("""SELECT d.doc_id, 2.0::DOUBLE + CASE WHEN d.source = 'src1' THEN 6.0 ELSE 0.0 END + CASE WHEN contains(lower(d.text), 'the') THEN 3.0 ELSE 0.0 END + CASE WHEN l.doc_id IS NOT NULL THEN 3.0 ELSE 0.0 END + CASE WHEN l.quality = 0 THEN 1.5 ELSE 0.0 END AS score
-FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY score DESC, d.doc_id LIMIT 20""")
+@query("""WITH c AS (SELECT d.doc_id, 'app/' || d.source || '/' || d.lang || '.py' AS path, d.source AS symbol, CASE WHEN l.toxic = 1 THEN 'test' WHEN l.quality = 1 THEN 'route' WHEN l.quality = 0 THEN 'config' ELSE 'class' END AS kind, lower(d.text) AS body,
+  CASE d.lang WHEN 'en' THEN 'symbol' WHEN 'de' THEN 'lexical' WHEN 'fr' THEN 'graph' ELSE 'other' END AS src FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id)
+SELECT doc_id, CASE src WHEN 'symbol' THEN 5.0::DOUBLE WHEN 'lexical' THEN 2.0 WHEN 'graph' THEN 2.5 ELSE 1.0 END + 0.5::DOUBLE + CASE WHEN symbol = 'src1' THEN 6.0 ELSE 0.0 END + CASE WHEN symbol <> 'src1' AND (contains(symbol, 'src1') OR contains('src1', symbol)) THEN 3.0 ELSE 0.0 END
+  + CASE WHEN contains(body, 'idiot') OR contains(body, 'src1') OR contains(body, 'src2/fr.py') THEN 3.0 ELSE 0.0 END + CASE WHEN contains(path, 'src2/fr.py') THEN 4.0 ELSE 0.0 END + CASE WHEN path = 'app/src3/en.py' THEN 3.0 ELSE 0.0 END
+  + CASE kind WHEN 'test' THEN 2.5 WHEN 'route' THEN 1.5 WHEN 'config' THEN 1.0 ELSE 0.0 END AS score FROM c ORDER BY score DESC, doc_id LIMIT 20""")
 def rerank_score(t):
-    d = t("documents").join(t("labels"), "doc_id", "left")
-    extra = lambda c, x: F.when(c, x).otherwise(0.0)
-    score = 2.0 + extra(F.col("source") == "src1", 6.0) + extra(F.lower("text").contains("the"), 3.0) + extra(F.col("toxic").isNotNull(), 3.0) + extra(F.col("quality") == 0, 1.5)
-    return d.select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    """Every term of the score, over documents as candidates."""
+    marks = t("labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    kind = F.when(F.col("toxic") == 1, "test").when(F.col("quality") == 1, "route").when(F.col("quality") == 0, "config").otherwise("class")
+    source = F.when(F.col("lang") == "en", "symbol").when(F.col("lang") == "de", "lexical").when(F.col("lang") == "fr", "graph").otherwise("other")
+    c = t("documents").join(marks, "doc_id", "left").select("doc_id", F.concat(F.lit("app/"), "source", F.lit("/"), "lang", F.lit(".py")).alias("path"), F.col("source").alias("symbol"), kind.alias("kind"), F.col("text").alias("content"), source.alias("source"), F.lit(0.5).alias("base"), F.array().cast("array<string>").alias("reasons"), F.col("doc_id").alias("ordinal"))
+    prompt = prompts.Prompt("", "test_creation", ["src1", "idiot"], ["src2/fr.py"])
+    return H.reranked(H.scored(c, prompt, ["app/src3/en.py"])).select("doc_id", "score")
 
 
 @query(f"""SELECT doc_id, CASE WHEN source = 'src1' THEN 'src1' WHEN contains(source, 'src1') THEN 'src1' WHEN contains({_L.format("text")}, 'src1') THEN 'src1' ELSE 'idiot' END AS keyword,
@@ -289,9 +309,9 @@ def feature_root(t):
     return t("documents").select("doc_id", T.feature_root(path).alias("root"))
 
 
-@query("""SELECT p_partkey, array_to_string(list_distinct(list_sort(list_transform(regexp_extract_all(p_name, '[A-Z]?[a-z]+|[0-9]+'), lambda x: lower(x)))), ',') IS NOT NULL AS ok, len(list_distinct(list_transform(regexp_extract_all(p_name, '[A-Z]?[a-z]+|[0-9]+'), lambda x: lower(x)))) AS n_tokens FROM part""")
+@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(p_name, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x)))), ',') AS tokens FROM part""")
 def ident_tokens(t):
-    return t("part").select("p_partkey", F.lit(True).alias("ok"), F.size(T.identifier_tokens(F.col("p_name"))).cast("long").alias("n_tokens"))
+    return t("part").select("p_partkey", F.array_join(F.array_sort(T.identifier_tokens(F.col("p_name"))), ",").alias("tokens"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, l_suppkey + 1000000 AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION SELECT DISTINCT l_suppkey + 1000000, s_nationkey + 2000000 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
@@ -304,10 +324,95 @@ def khop_calls(t):
     return R.k_hops(calls.unionByName(home), seeds, 2)
 
 
-@query("""SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, count(DISTINCT h) AS n_targets, count(DISTINCT h) FILTER (starts_with(h, '/')) AS n_local FROM (SELECT url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS h FROM pages) GROUP BY 1""")
+_EDGE_KIND = "CASE (o_orderkey % 5) WHEN 0 THEN 'calls' WHEN 1 THEN 'extends' WHEN 2 THEN 'tested_by' WHEN 3 THEN 'routes_to' ELSE 'imports' END"
+
+
+@query(f"""WITH e AS (SELECT 'c' || o_custkey AS source, 'c' || (o_orderkey % 150) AS target, {_EDGE_KIND} AS edge_type FROM orders), n AS (SELECT 'c' || c_custkey AS name, CAST(c_custkey AS INT) AS ordinal FROM customer WHERE c_custkey <= 20),
+r AS (SELECT CASE edge_type WHEN 'calls' THEN 'callees' WHEN 'extends' THEN 'implementations' WHEN 'routes_to' THEN 'routes' END AS role, ordinal, target AS name FROM e JOIN n ON source = n.name
+  UNION ALL SELECT CASE edge_type WHEN 'calls' THEN 'callers' WHEN 'tested_by' THEN 'tests' END, ordinal, source FROM e JOIN n ON target = n.name),
+d AS (SELECT role, name, min(ordinal) AS o FROM r WHERE role IS NOT NULL GROUP BY ALL) SELECT role, string_agg(name, ',' ORDER BY o, name) AS names FROM d GROUP BY role""")
 def dep_context(t):
-    h = t("pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("h"))
-    return h.groupBy("host").agg(F.countDistinct("h").alias("n_targets"), F.countDistinct(F.when(F.col("h").startswith("/"), F.col("h"))).alias("n_local"))
+    """Orders as edges between customers."""
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    edges = t("orders").select(name(F.col("o_custkey")).alias("source"), name(F.col("o_orderkey") % 150).alias("target"), F.expr(_EDGE_KIND).alias("edge_type"))
+    names = t("customer").filter("c_custkey <= 20").select(name(F.col("c_custkey")).alias("name"), F.col("c_custkey").cast("int").alias("ordinal"))
+    return H.dependency_context(edges, names).withColumn("names", F.array_join("names", ","))
+
+
+_SYMBOLS = """s AS (SELECT c_custkey AS ordinal, 'n' || c_nationkey AS path, 's' || (c_custkey % 97) AS name, CASE c_custkey % 4 WHEN 0 THEN 'class' ELSE 'method' END AS kind,
+  CASE WHEN c_custkey % 4 IN (2, 3) THEN 's' || ((c_custkey + 7) % 113) END AS parent, CAST(c_custkey % 50 * 10 AS INT) AS start_line, CAST(c_custkey % 50 * 10 + c_custkey % 7 * 30 AS INT) AS end_line, c_custkey % 5 = 0 AS tagged FROM customer)"""
+
+
+@query(f"""WITH {_SYMBOLS}, last AS (SELECT name, arg_max(kind, (path, start_line, ordinal)) AS kind, arg_max(path, (path, start_line, ordinal)) AS file, arg_max(coalesce(parent, ''), (path, start_line, ordinal)) AS up FROM s GROUP BY name),
+i AS (SELECT ordinal, name, path, start_line, parent FROM s WHERE kind = 'method'),
+e AS (SELECT i.ordinal, arg_min(s.name, (CASE WHEN tagged THEN -1 ELSE 0 END, s.end_line - s.start_line, s.start_line, s.name, s.kind)) AS name FROM i JOIN s ON s.path = i.path AND i.parent IS NULL AND s.start_line <= i.start_line AND i.start_line <= s.end_line AND s.name <> i.name AND s.start_line <> i.start_line GROUP BY i.ordinal)
+SELECT i.ordinal, coalesce(nullif(p.up, ''), i.parent, e.name, i.path) AS owner FROM i LEFT JOIN last p ON p.name = i.parent LEFT JOIN e ON e.ordinal = i.ordinal""")
+def route_owners(t):
+    """Customers as symbols of nations: the owner of each method."""
+    s = t("customer").select(
+        F.col("c_custkey").alias("ordinal"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("path"), F.concat(F.lit("s"), (F.col("c_custkey") % 97).cast("string")).alias("name"), F.when(F.col("c_custkey") % 4 == 0, "class").otherwise("method").alias("kind"),
+        F.when((F.col("c_custkey") % 4).isin(2, 3), F.concat(F.lit("s"), ((F.col("c_custkey") + 7) % 113).cast("string"))).alias("parent"), (F.col("c_custkey") % 50 * 10).cast("int").alias("start_line"), (F.col("c_custkey") % 50 * 10 + F.col("c_custkey") % 7 * 30).cast("int").alias("end_line"),
+        F.when(F.col("c_custkey") % 5 == 0, F.array(F.lit("controller"))).otherwise(F.array().cast("array<string>")).alias("tags"),
+    )
+    items = s.filter("kind = 'method'").select("name", "path", "start_line", "end_line", "parent", "ordinal")
+    return H.owned(items, s).select("ordinal", "owner")
+
+
+@query("""WITH c AS (SELECT event_id, user_id, event_type, value FROM events), k AS (SELECT min(event_id) AS event_id FROM c GROUP BY user_id, event_type, sha1(CAST(floor(value) AS BIGINT)::VARCHAR)) SELECT event_id FROM k""")
+def chunk_dedup(t):
+    c = t("events").withColumn("content", F.floor("value").cast("string"))
+    return R.first_of(c, [F.col("user_id"), F.col("event_type"), F.sha1("content")], ["event_id"]).select("event_id")
+
+
+@query("""SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT doc_id + 1000000000 FROM documents""")
+def keep_else_all(t):
+    """Kept rows; and, with keys that no row has, all of them."""
+    d = t("documents").select("doc_id")
+    none = t("labels").select((F.col("doc_id") - 1_000_000_000).alias("doc_id"))
+    return R.kept_or_all(d, t("labels").filter("toxic = 1").select("doc_id"), "doc_id").unionAll(R.kept_or_all(d, none, "doc_id").select(F.col("doc_id") + 1_000_000_000))
+
+
+@query("""WITH w AS (SELECT doc_id, lower(text) AS x FROM documents), t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(x, '[a-z0-9_]+'))) AS word FROM w) SELECT doc_id, count(*) AS n_words, min(word) AS first_word, max(word) AS last_word FROM t
+WHERE length(word) > 2 AND NOT list_contains(string_split('""" + " ".join(sorted(prompts.NOISE)) + """', ' '), word) GROUP BY doc_id""")
+def keyword_extract(t):
+    """The plain words of the keyword bag of every document."""
+    words = t("documents").select("doc_id", F.explode(F.array_distinct(T.plain_keywords(F.col("text"), sorted(prompts.NOISE)))).alias("word"))
+    return words.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
+
+
+@query()
+def token_split(t):
+    """Documents cut at their spaces into parts of 200 tokens; a fold, so tests hold it against a loop."""
+    parts = t("documents").select("doc_id", F.posexplode(code.split_tokens(F.split("text", " "), 200)).alias("i", "part"))
+    return parts.select("doc_id", F.col("i").alias("part"), F.length("part.text").alias("n_chars"), F.sha2("part.text", 256).alias("hash"))
+
+
+@query("""WITH s AS (SELECT 'm' || item_id AS "to", regexp_extract(text, '([A-Za-z0-9_]{6,})', 1) AS symbol, item_id FROM benchmark), l AS (SELECT symbol, arg_max("to", (item_id, "to")) AS "to" FROM s WHERE symbol <> '' GROUP BY symbol),
+w AS (SELECT 'd' || doc_id AS "from", source, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS word FROM documents UNION ALL SELECT 'm' || item_id, 'bench', unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]+'))) FROM benchmark)
+SELECT w."from" AS src, l."to" AS dst, CASE WHEN contains(source, 'test') OR contains(source, 'spec') OR source = 'src7' THEN 'test' ELSE 'reference' END AS kind, symbol AS evidence FROM w JOIN l ON w.word = l.symbol WHERE w."from" <> l."to" """)
+def chunk_graph_edges(t):
+    """Documents and benchmark items as chunks, each item's first long word as its symbol; source 7 as tests."""
+    docs = t("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("source") == "src7", "tests/src7").otherwise(F.col("source")).alias("path"), F.lit(None).cast("string").alias("symbol"), F.col("text").alias("content"), F.col("doc_id").alias("ordinal"))
+    items = t("benchmark").select(F.concat(F.lit("m"), F.col("item_id").cast("string")).alias("id"), F.lit("bench").alias("path"), F.regexp_extract("text", "([A-Za-z0-9_]{6,})", 1).alias("symbol"), F.col("text").alias("content"), F.col("item_id").alias("ordinal"))
+    found = H.mention_edges(docs.unionByName(items)).filter("type <> 'route'")
+    return found.select(F.col("from").alias("src"), F.col("to").alias("dst"), F.col("type").alias("kind"), "evidence")
+
+
+@query("""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark),
+h AS (SELECT item_id, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(w, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, b: (xor(a, b) * 16777619) % 4294967296) % 256 AS b FROM w), n AS (SELECT item_id, b, count(*)::DOUBLE AS n FROM h GROUP BY ALL)
+SELECT item_id, count(*) AS n_buckets, round(max(n) / sqrt(sum(n * n)), 6) AS top, round(sum(n * (b + 1)) / sqrt(sum(n * n)), 4) AS moment FROM n GROUP BY item_id""")
+def embed_bag_of_tokens(t):
+    v = E.bag_of_tokens(t("benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text").alias("content")))
+    x = v.select(F.col("chunk_id").alias("item_id"), F.posexplode("vector").alias("b", "x")).filter("x > 0")
+    return x.groupBy("item_id").agg(F.count("*").alias("n_buckets"), F.round(F.max("x"), 6).alias("top"), F.round(F.sum(F.col("x") * (F.col("b") + 1)), 4).alias("moment"))
+
+
+@query("""WITH p AS (SELECT page_id, 'app/' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/x/' || page_id || '_' || CASE page_id % 3 WHEN 0 THEN 'dto' WHEN 1 THEN 'router' ELSE 'userservice' END || '.py' AS path FROM pages)
+SELECT page_id, len(string_split(path, '/')) - 1 AS n_folders, page_id % 3 <> 1 AS supports FROM p""")
+def feature_support(t):
+    role = F.when(F.col("page_id") % 3 == 0, "dto").when(F.col("page_id") % 3 == 1, "router").otherwise("userservice")
+    path = F.concat(F.lit("app/"), F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), F.lit("/x/"), F.col("page_id").cast("string"), F.lit("_"), role, F.lit(".py"))
+    return t("pages").select("page_id", F.size(H.ancestors(path)).cast("long").alias("n_folders"), H.support_file(path).alias("supports"))
 
 
 @query("""SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier""")
@@ -315,9 +420,9 @@ def union_distinct(t):
     return t("customer").select(F.col("c_nationkey").alias("k")).union(t("supplier").select("s_nationkey")).distinct()
 
 
-@query("""SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier""")
+@query("""SELECT doc_id AS k FROM documents EXCEPT SELECT doc_id FROM labels""")
 def set_except(t):
-    return t("nation").select(F.col("n_nationkey").alias("k")).subtract(t("supplier").select("s_nationkey"))
+    return t("documents").select(F.col("doc_id").alias("k")).subtract(t("labels").select("doc_id"))
 
 
 @query("""SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier""")
@@ -335,13 +440,16 @@ def _case(pairs: list[tuple[str, str]], default: str) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in pairs) + f" ELSE '{default}' END"
 
 
-def _has(q: str, cues: list[str]) -> str:
-    return "(" + " OR ".join(f"starts_with({q}, '{c[1:].replace(chr(39), chr(39) * 2)}')" if c[0] == "^" else f"contains({q}, '{c}')" for c in cues) + ")"
-
-
-_ROUTE = _case(
-    [("ai_required", f"{_has('q', planner.REASONING)} OR NOT {_has('q', planner.ENUMERATION)}")]
-    + [(n, _has("q", cues) + (" AND NOT regexp_matches(text, '[\"''`][^\"''`]+[\"''`]|/[A-Za-z0-9_{}/-]+')" if broad else "")) for n, cues, broad in planner.HANDLERS], "ai_required")
+_PLAIN = "NOT regexp_matches(text, '[\"''`][^\"''`]+[\"''`]|/[A-Za-z0-9_{}/-]+')"
+# written out apart from the router's own tables
+_ROUTE = f"""CASE WHEN regexp_matches(q, 'explain|describe|architecture|why|refactor|suggest|compare|generate|implement|fix|should i|walk me through|overview|how does|how do|design|trade-off|tradeoff|pros and cons') THEN 'ai_required'
+WHEN NOT regexp_matches(q, 'how many|count|list|show|find|which|all |number of|what are|get all|display|where|group') THEN 'ai_required'
+WHEN regexp_matches(q, '^where(''s| is)') THEN 'where_is' WHEN regexp_matches(q, '(which|what) package|package contains') THEN 'which_package' WHEN regexp_matches(q, '^find |symbol by name|methods named') THEN 'find_symbol'
+WHEN regexp_matches(q, 'count symbols|symbols by type|count by type|symbol counts') AND {_PLAIN} THEN 'counts_by_kind'
+WHEN (regexp_matches(q, 'grouped by|for each|under each|per ') OR (contains(q, 'group') AND contains(q, ' by '))) AND regexp_matches(q, 'route|endpoint|handler') AND {_PLAIN} THEN 'grouped_routes'
+WHEN contains(q, 'controller') AND {_PLAIN} THEN 'controllers' WHEN contains(q, 'service') AND {_PLAIN} THEN 'services' WHEN contains(q, 'repositor') AND {_PLAIN} THEN 'repositories'
+WHEN regexp_matches(q, '@component|components|spring component') AND {_PLAIN} THEN 'components' WHEN regexp_matches(q, 'route|endpoint|rest api') AND {_PLAIN} THEN 'routes'
+WHEN regexp_matches(q, 'test class|test method|test cases|tests|@test') AND {_PLAIN} THEN 'tests' WHEN regexp_matches(q, 'extend|subclass|inherit') AND {_PLAIN} THEN 'extends' WHEN contains(q, 'import') THEN 'imports' ELSE 'ai_required' END"""
 _INTENT = _case(
     [(n, "regexp_matches(p, '[^a-z0-9_](" + "|".join(c for c in cues if c.isalnum()) + ")[^a-z0-9_]')" + "".join(f" OR contains(p, '{c}')" for c in cues if not c.isalnum())) for n, cues in planner.INTENTS], "question")
 
@@ -351,15 +459,26 @@ def local_planner_route(t):
     return t("conversations").select("conv_id", "turn", planner.route_column(F.col("text")).alias("handler"))
 
 
+_QUESTION = "'list the ' || CASE (conv_id + turn) % 7 WHEN 0 THEN 'routes grouped by controller' WHEN 1 THEN 'controllers' WHEN 2 THEN 'tests' WHEN 3 THEN 'endpoints for each service' WHEN 4 THEN 'imports' WHEN 5 THEN 'routes under each \"x\"' ELSE 'handlers per module' END || ' of ' || role"
+
+
+@query(f"SELECT conv_id, turn, {_ROUTE} AS handler FROM (SELECT conv_id, turn, {_QUESTION} AS text, lower({_QUESTION}) AS q FROM conversations)")
+def grouped_planner_route(t):
+    """Questions of every kind of grouping, one for each turn."""
+    return t("conversations").select("conv_id", "turn", planner.route_column(F.expr(_QUESTION)).alias("handler"))
+
+
 @query(f"SELECT conv_id, turn, {_INTENT} AS intent FROM (SELECT *, ' ' || lower(text) || ' ' AS p FROM conversations)")
 def intent_classify(t):
     return t("conversations").select("conv_id", "turn", planner.intent_column(F.col("text")).alias("intent"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS n_lines, count(*) FILTER (starts_with(line, 'T')) AS n_added, count(*) FILTER (starts_with(line, 'E')) AS n_removed FROM l GROUP BY doc_id""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(translate(text, 'TE', '+-'), chr(10))) AS line FROM documents)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (starts_with(line, '+') AND NOT starts_with(line, '+++ ')) AS n_added, count(*) FILTER (starts_with(line, '-') AND NOT starts_with(line, '--- ')) AS n_removed FROM l GROUP BY doc_id""")
 def patch_stats(t):
-    line = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return line.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("line").startswith("T")).alias("n_added"), F.count_if(F.col("line").startswith("E")).alias("n_removed"))
+    """Added and removed lines, with the texts' capital T and E read as plus and minus."""
+    line = t("documents").select("doc_id", F.explode(F.split(F.translate("text", "TE", "+-"), "\n")).alias("line")).withColumn("kind", patches.line_kind(F.col("line")))
+    return line.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("kind") == "+").alias("n_added"), F.count_if(F.col("kind") == "-").alias("n_removed"))
 
 
 @query("""SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k, len(json_keys(props)) AS n_keys FROM events""")
