@@ -72,8 +72,8 @@ def cosine(a: Column, b: Column) -> Column:
     """Dot product over the shorter of two arrays; norms over each whole one; zero for an empty or zero side."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
     dot = total(F.filter(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), lambda x: x.isNotNull()))
-    norm = lambda v: F.sqrt(total(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
-    return F.when((norm(a) > 0) & (norm(b) > 0), dot / (norm(a) * norm(b))).otherwise(0.0)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))
 
 
 def normalize_annotation(c: Column) -> Column:

@@ -90,12 +90,18 @@ def budget_packed(items: DataFrame, group: list[str], order: list[str], cost: st
     return ranked.mapInArrow(run, ranked.schema)
 
 
-def k_hops(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """(node, depth): nodes within k steps of the seeds and their least depth; each step is an equi join and an anti join."""
+def k_hops(edges: DataFrame, seeds: DataFrame, k: int, stage=None) -> DataFrame:
+    """(node, depth): nodes within k steps of the seeds and their least depth; each step is an equi join and an anti join.
+
+    `stage` writes a table and reads it back (as Store.stage does with a name): the edges, so that a step doesn't make them again,
+    and each step's front, so that the plan doesn't grow with k.
+    """
+    keep = stage or (lambda name, df: df)
+    edges = keep("hop-edges", edges.select(F.col("src").alias("node"), "dst"))
     seen = front = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     for d in range(1, k + 1):
-        front = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct()
-        front = front.join(seen, "node", "left_anti").withColumn("depth", F.lit(d))
+        front = front.join(edges, "node").select(F.col("dst").alias("node")).distinct()
+        front = keep(f"hop-{d}", front.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(front)
     return seen
 

@@ -35,3 +35,14 @@ def test_engine(spark, tmp_path):
     assert "### app/api.py:" in e.markdown("change load")
     e.register("tests", lambda own, question: own.table("files").select("path"))
     assert "path" in e.ask("show tests")[1].columns
+
+
+def test_commands(spark, tmp_path):
+    from cairn.__main__ import parser, run
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("class PayService:\n    def pay(self):\n        pass\n")
+    say = lambda *words: run(spark, parser().parse_args([str(tmp_path / "home"), *words]))
+    assert '"indexed": 1' in say("index", str(tmp_path / "src"))
+    assert "symbols: 2" in say("status") and "PayService" in say("ask", "list all services") and "# Context Chunks" in say("ask", "explain", "pay")
+    assert say("enqueue", str(tmp_path / "src"), "a.py") == "1" and '"processed": 1' in say("drain", str(tmp_path / "src")) and "lexical_top_k" in say("settings")
