@@ -104,6 +104,7 @@ def in_order(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterato
         step = max(1, int(batch.num_rows * limit / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        pa.default_memory_pool().release_unused()
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

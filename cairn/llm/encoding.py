@@ -2,8 +2,8 @@
 
 Neither vocabulary's pre-tokens cross a single space between two other characters: the word-level one drops white space, the
 byte-level one gives the space to what follows it. So a text whose only white space is single spaces and line feeds inside it
-is cut at its spaces, each distinct piece is encoded by the tokenizers library once and remembered, and the ids are gathered with
-numpy. Any other text is encoded whole by the library.
+is cut at its spaces, each distinct piece is encoded by the tokenizers library once and remembered while it is used often, and the ids are
+gathered with numpy. Any other text is encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ _PROBES = ["a", "word", "Étude", "größe", "Zzyzx", "peña", "thisrehawhing"]
 
 
 class Encoder:
-    def __init__(self, path: str, bound: int = 800_000):
+    def __init__(self, path: str, bound: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -74,10 +74,28 @@ class Encoder:
 
     def _forget(self) -> None:
         #: ids of the piece at place p: table[begin[p] : begin[p] + size[p]]; a size of -1 marks a piece whose text can't be cut
-        self.new, count = [], [0]
-        self.places, self.starts = _Places(self.new, False, count), _Places(self.new, True, count)
+        self.new, self.count = [], [0]
+        self.places, self.starts = _Places(self.new, False, self.count), _Places(self.new, True, self.count)
         self.used, self.filled = 0, 0
-        self.table, self.begin, self.size = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.table, self.begin, self.size, self.uses = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Keeps the pieces used most, half the bound at most; most pieces occur once."""
+        uses, n = self.uses[: self.used], self.used
+        least = max(2, int(np.partition(uses, n - self.bound // 2)[n - self.bound // 2]) + 1)
+        kept = np.flatnonzero(uses >= least)
+        new = np.full(n, -1, np.int64)
+        new[kept] = np.arange(len(kept))
+        for old in (self.places, self.starts):
+            some = [(x, int(new[p])) for x, p in old.items() if new[p] >= 0]
+            old.clear()
+            old.update(some)
+        size = self.size[kept]
+        n_ids = size.clip(0)
+        ends = np.cumsum(n_ids)
+        self.table = self.table[np.repeat(self.begin[kept] - (ends - n_ids), n_ids) + np.arange(int(n_ids.sum()))]
+        self.begin, self.size, self.uses = ends - n_ids, size, uses[kept] // 2
+        self.used, self.filled, self.count[0] = len(kept), len(self.table), len(kept)
 
     def _drops(self) -> bool:
         """Whether white space leaves no trace in the ids."""
@@ -133,6 +151,7 @@ class Encoder:
         kept = size.clip(0)
         self.begin = _appended(self.begin, self.used, self.filled + np.cumsum(kept) - kept)
         self.size = _appended(self.size, self.used, size)
+        self.uses = _appended(self.uses, self.used, np.zeros(len(size), np.int64))
         self.table = _appended(self.table, self.filled, ids)
         self.used, self.filled = self.used + len(new), self.filled + len(ids)
         new.clear()
@@ -142,7 +161,7 @@ class Encoder:
         if not texts:
             return np.empty(0, "<u4"), np.zeros(1, np.int64)
         if self.used > self.bound:
-            self._forget()
+            self._shrink()
         collecting = gc.isenabled()
         gc.disable()  # many small tuples, no cycles
         try:
@@ -166,6 +185,7 @@ class Encoder:
             place = np.insert(place, np.array(at[:-1]) - np.arange(len(first)), begun)
         if self.new:
             self._learn()
+        self.uses[: self.used] += np.bincount(place, minlength=self.used)
         size = self.size[place]
         whole = np.minimum.reduceat(size, at[:-1]) < 0
         whole[odd] = True
