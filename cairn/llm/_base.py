@@ -40,10 +40,18 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """df written to the shared folder and read back, which cuts its lineage; and the path, for `discard`."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    """df written to the shared folder and read back, which cuts its lineage; and the path, for `discard`.
+
+    Once it is written nothing needs the shuffle files behind it, so Spark is told to remove them at the end of the write.
+    """
+    spark, path, key = df.sparkSession, scratch(df.sparkSession, label), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def small(df: DataFrame, limit: int = 2_000_000) -> DataFrame:
@@ -52,7 +60,7 @@ def small(df: DataFrame, limit: int = 2_000_000) -> DataFrame:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets go of plans that nothing refers to any more, so that Spark removes their shuffle files and broadcast tables now.
+    """Lets go of plans that nothing refers to any more, so that Spark removes their broadcast tables now.
 
     Spark does so when the driver collects garbage, which a driver with little to do may put off for long.
     """
