@@ -122,7 +122,8 @@ def mixed_pairs(members: DataFrame, estimate: float, threshold: int = 80, rows:
 
     Members (bucket, id, comp, low, n_shingles). A pair is given by the bucket of the first band that its documents share, so
     once in all. Members may carry the size n of their bucket: one of more than `block` is cut into blocks by hash and compared
-    block against block, so no group is larger than about two blocks.
+    block against block, so no group is larger than about two blocks. A member is copied once for each block of its bucket: rows grow
+    with the square of a bucket's members over `block`, where it still mixes components after the stars' links.
     """
     blocks = F.ceil((F.col("n") if "n" in members.columns else F.lit(1)) / block).cast("int")
     members = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))

@@ -282,7 +282,9 @@ def _joined(spans: list[Span]) -> str:
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, counts and digest of the plain spans, all spans, and the number that only the transducers show.
 
-    Null texts count as empty and have no span; every row of docs (doc_id, text, ...) gives a row, repeated ones too.
+    Null texts count as empty and have no span; every row of docs (doc_id, text, ...) gives a row, repeated ones and those without a
+    doc_id too. Very long texts are searched whole, in time that grows with their length. An empty table gives no rows. Other
+    columns are ignored.
     """
 
     def run(batches):
@@ -316,7 +318,10 @@ def masked(text: str) -> str:
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """docs with its personal data masked in text and n_chars (if it has that column) counted anew; null texts stay null."""
+    """docs with its personal data masked in text and n_chars (if it has that column) counted anew; null texts stay null.
+
+    Every row stays, with its other columns as they are.
+    """
     columns = docs.columns
 
     def run(batches):

@@ -166,8 +166,9 @@ def read_token_files(spark, uri: str, starts: list[tuple[str, int]]) -> DataFram
 def token_files(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """Encodes docs (doc_id, text, ...) into token files in the shared folder and returns what the files hold.
 
-    Null and empty texts are one end id. Rows order by doc_id, null first, then by text; repeated rows are written each. An
-    empty table writes no file and gives no rows. Other columns are ignored. The driver holds one row a file.
+    Null and empty texts are one end id; very long ones are written whole, into one file. Rows order by doc_id, null first, then by
+    text; repeated rows are written each, and rows of one doc_id by one task, since their order is one. An empty table writes no file
+    and gives no rows. Other columns are ignored. The driver holds one row a file.
     """
     spark, uri = docs.sparkSession, scratch(docs.sparkSession, "tokens")
     made = sorted((r.part, r.seq, r.name, r.n_ids) for r in write_token_files(docs, uri, path, end_id).collect())

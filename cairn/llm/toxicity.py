@@ -142,8 +142,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs (doc_id, text, ...), learned from labels (doc_id, toxic, ...).
 
     Null and empty texts have no term and score the bias alone. Without labels, or with one class only, every score is that
-    class (0 without labels). Repeated rows score alike; a null doc_id counts as the empty text in the fold. Only texts are
-    inputs of a score.
+    class (0 without labels). Repeated rows score alike; a null doc_id counts as the empty text in the fold. Very long texts are scored
+    whole, an empty table gives no rows, other columns are ignored. Only texts are inputs of a score.
     """
     machine = learned(docs, labels, **how)
 
