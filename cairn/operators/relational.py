@@ -166,3 +166,17 @@ def settled(queue: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:
     """The queue after a batch: done paths are processed, failed ones pending again."""
     marks = done.select("path", F.lit("done").alias("_s")).unionByName(failed.select("path", F.lit("pending").alias("_s")))
     return queue.join(marks, "path", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
+
+
+def framed(lines: DataFrame, part: str, at: str, value: str, before: int, after: int) -> DataFrame:
+    """Each line with the values from `before` lines back to `after` lines on, in order."""
+    w = Window.partitionBy(part).orderBy(at).rowsBetween(-before, after)
+    return lines.withColumn("frame", F.collect_list(value).over(w))
+
+
+def unique(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that more than one row has, or that have a null: none where they are a key."""
+    some = F.lit(False)
+    for k in keys:
+        some = some | F.col(k).isNull()
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | some)

@@ -188,6 +188,8 @@ def test_pieces(spark):
     assert {(r.start, r.end) for r in R.block_ends(lines, "p", "n", F.col("d")).collect()} == {(1, 5), (3, 4)}
     code = spark.createDataFrame([("f", 1, "@A"), ("f", 2, ""), ("f", 3, "@B"), ("f", 4, "class X")], "p string, n int, t string")
     assert [r.next for r in R.next_marked(code, "p", "n", (F.col("t") != "") & ~F.col("t").startswith("@")).orderBy("n").collect()] == [4, 4, 4, None]
+    assert [r.frame for r in R.framed(code, "p", "n", "t", 1, 2).orderBy("n").collect()] == [["@A", "", "@B"], ["@A", "", "@B", "class X"], ["", "@B", "class X"], ["@B", "class X"]]
+    assert R.unique(rows, ["k"]).count() == 0 and {r.k for r in R.unique(rows.unionAll(rows.limit(1)), ["k"]).collect()} == {"a"}
     v = {r.chunk_id: r.vector for r in E.bag_of_tokens(spark.createDataFrame([("x", "a b a"), ("y", "--"), ("z", None)], "chunk_id string, content string")).collect()}
     assert sum(x * x for x in v["x"]) == pytest.approx(1) and sorted(v["x"])[-2:] == pytest.approx([1 / 5**0.5, 2 / 5**0.5]) and not any(v["y"]) and not any(v["z"])
     tokens = spark.createDataFrame([("MfaController setupMfa formatDate image 2FA",)], "t string").select(T.alias_tokens(F.col("t")).alias("a")).first().a
