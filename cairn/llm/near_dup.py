@@ -5,7 +5,8 @@ i + fraction, in round t + j every element goes to bin j; a bin keeps its least
 are filled. So each of the t coordinates is always filled, and the share of equal coordinates concentrates about the Jaccard
 similarity as fully random sampling without replacement would.
 
-Documents with equal shingle sets are one class first. Per band, each class is paired with the smallest class of its bucket;
+Documents with equal shingle sets are one class first. Per band, each class is paired with the centre of its bucket, the class that
+meets most others in all its buckets: of an original and its copies that is the original, which each copy is nearest to. Then
 each class verifies its most frequent such partner, components are formed, and only pairs that still lie in different
 components go on: first the other partners, then every pair inside buckets that still mix components whose sketches agree
 in at least `estimate` of the coordinates. A bucket whose members all have one component costs one row, however many
@@ -174,8 +175,11 @@ def near_duplicates(
     each = known.groupBy("key", "doc_id", "h").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"))
     classes = keep(each.groupBy("key").agg(F.min(F.struct("doc_id", "h", "id", "copies", "n_shingles")).alias("c")).select("key", "c.*"), "classes")
     buckets = bucketed(rows_.select("id", "low").join(small(classes.select("id")), "id", "left_semi"), bands, rows)
-    least = keep(buckets.groupBy("bucket").agg(F.min("id").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least")
-    shared = keep(buckets.join(small(least), "bucket"), "shared")  # only buckets that classes share go on
+    crowded = keep(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "crowded")
+    places = keep(buckets.join(small(crowded), "bucket"), "places")  # only buckets that classes share go on
+    degree = places.groupBy("id").agg(F.sum("n").alias("degree"))
+    centre = places.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("c"))
+    shared = keep(places.drop("n").join(centre.select("bucket", (-F.col("c.minus")).alias("v")), "bucket"), "shared")
     sizes = classes.select("id", "n_shingles")
 
     def sized(pairs: DataFrame) -> DataFrame:
