@@ -228,3 +228,16 @@ def components(edges: DataFrame, rounds: int = 40) -> tuple[DataFrame, str]:
             discard(spark, at)
             return labels, path
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Texts of `counts` words each, from byte spans of words in order, joined by single spaces."""
+    last = np.zeros(len(starts) + 1, bool)
+    last[np.cumsum(counts)[counts > 0] - 1] = True
+    sizes = ends - starts + ~last[:-1]
+    after = np.concatenate(([0], np.cumsum(sizes)))
+    take = np.arange(after[-1]) + np.repeat(starts - after[:-1], sizes)
+    out = data[np.minimum(take, max(0, len(data) - 1))] if len(data) else np.empty(0, np.uint8)
+    out[(after[1:] - 1)[~last[:-1]]] = 32
+    offsets = after[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(out))])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, lm, near_dup, packing, pii, quality, token_counts, token_files, toxicity, warc
+from . import collocations, decontaminate, lm, near_dup, packing, pii, quality, substring_dedup, token_counts, token_files, toxicity, variants, warc
 from ._base import table
 from .encoding import public_path
 
@@ -51,8 +52,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_token_counts, op3_lm_scores, op4_near_duplicates, op5_quality_rules, op6_toxicity, op7_decontamination, op8_warc, op9_token_files, op10_packing)}
+    return {f.__name__: f for f in (op1_pii, op2_token_counts, op3_lm_scores, op4_near_duplicates, op5_quality_rules, op6_toxicity, op7_decontamination, op8_warc, op9_token_files, op10_packing, op11_spelling_variants, op12_substring_dedup, op13_collocations)}
 
 
 _WARC = """
