@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import _LOWER, _powers, MIX_A, U64, content, distinct, grams, in_order, joined_words, mixed, stored
+from ._base import _LOWER, _powers, MIX_A, U64, content, grams, in_order, joined_words, mixed, stored
 
 SHARDS, LONGEST = 8, 4
-_BITS, _PARTS = 27, 64  # a bitmap of 2 ** 27 bits, made in 64 parts
+#: Exact: the product of two 19-digit numbers fits a decimal of 38 digits, and div doesn't round.
+SCORE = "cast(cast(2000000 as decimal(19,0)) * cast({a} as decimal(19,0)) div cast({parts} as decimal(19,0)) as long)"
+_PARTS = 64  # of a bitmap
 _HOLD = 2_000_000  # words that a task counts at a time
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -62,33 +64,30 @@ class Words:
 
 
 class Bitmap:
-    """Which hashes may be frequent: a bit for each value of their highest bits."""
+    """Which hashes may be frequent: one of 2 ** bits bits for each value of their highest bits."""
 
-    def __init__(self, parts: list[tuple[int, bytes]]):
-        size = (1 << _BITS) // 8 // _PARTS
-        self.bits = np.zeros((1 << _BITS) // 8, np.uint8)
-        for part, bits in parts:
-            self.bits[part * size : (part + 1) * size] = np.frombuffer(bits, np.uint8)
+    def __init__(self, bits: int, parts: list[tuple[int, bytes]]):
+        self.shift, size = U64(64 - bits), (1 << bits) // 8 // _PARTS
+        self.bits = np.zeros((1 << bits) // 8, np.uint8)
+        for part, found in parts:
+            self.bits[part * size : (part + 1) * size] = np.frombuffer(found, np.uint8)
 
     def has(self, x: np.ndarray) -> np.ndarray:
-        bit = x >> U64(64 - _BITS)
+        bit = x >> self.shift
         return (self.bits[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _part(key: tuple, table: pa.Table) -> pa.Table:
-    """The hashes of one part as bits."""
-    size = (1 << _BITS) // _PARTS
-    bits = np.zeros(size, bool)
-    bits[((np.asarray(table.column("h")).astype(np.int64).view(U64) >> U64(64 - _BITS)) & U64(size - 1)).astype(np.int64)] = True
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
+def _bitmap(slots: DataFrame, bits: int) -> Bitmap:
+    """The bitmap of a column of distinct bits, made in parts where they are; only the bits, of fixed size, reach the driver."""
+    size = (1 << bits) // _PARTS
 
+    def part(key: tuple, table: pa.Table) -> pa.Table:
+        found = np.zeros(size, bool)
+        found[np.asarray(table.column("slot")) % size] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(found, bitorder="little").tobytes()])})
 
-def _bitmap(hashes: DataFrame) -> Bitmap:
-    """The bitmap of a column of hashes, each part made where its hashes are; only the bits, of fixed size, reach the driver."""
-    slot = F.shiftrightunsigned("h", 64 - _BITS)
-    part = F.shiftrightunsigned("h", 64 - (_PARTS.bit_length() - 1)).cast("int").alias("part")
-    made = hashes.groupBy(slot.alias("slot")).agg(F.first("h").alias("h")).select(part, "h").groupBy("part").applyInArrow(_part, "part int, bits binary")
-    return Bitmap([(r.part, r.bits) for r in made.collect()])
+    made = slots.select(F.expr(f"cast(slot div {size} as int)").alias("part"), "slot").groupBy("part").applyInArrow(part, "part int, bits binary")
+    return Bitmap(bits, [(r.part, r.bits) for r in made.collect()])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]]]:
@@ -175,7 +174,7 @@ def _exact(lengths: dict[int, object]):
     return run
 
 
-def phrase_counts(docs: DataFrame, support: int = 30) -> DataFrame:
+def phrase_counts(docs: DataFrame, support: int = 30, bits: int = 27) -> DataFrame:
     """(lang, phrase, f): exact counts of all phrases of one to LONGEST words with at least `support` occurrences; phrase null: all words."""
     spark, shard_bits = docs.sparkSession, (SHARDS - 1).bit_length()
     local = -(-support // SHARDS)
@@ -183,7 +182,8 @@ def phrase_counts(docs: DataFrame, support: int = 30) -> DataFrame:
 
     def mined(lengths, parts):
         found = rows.mapInArrow(_mining(lengths, parts, shard_bits), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(f"c >= {local}")
-        return spark.sparkContext.broadcast(_bitmap(found.select(F.expr(f"shiftleft(shiftrightunsigned(key, {shard_bits}), {shard_bits})").alias("h"))))
+        slots = found.select(F.shiftrightunsigned("key", 64 - bits).alias("slot")).distinct()
+        return spark.sparkContext.broadcast(_bitmap(slots, bits))
 
     words = mined((1,), None)
     pairs = mined((2,), (1, words))
@@ -192,13 +192,13 @@ def phrase_counts(docs: DataFrame, support: int = 30) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(_exact(passing), "lang string, phrase string, c long").groupBy("lang", "phrase").agg(F.sum("c").alias("f")).filter(f"f >= {support} or phrase is null")
 
 
-def collocations(docs: DataFrame, support: int = 30, top: int = 2000, inside: int = 80) -> DataFrame:
+def collocations(docs: DataFrame, support: int = 30, top: int = 2000, inside: int = 80, bits: int = 27) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases of two to LONGEST words, by the worst of their cuts.
 
     A null lang is `und`, a null or empty text has no words; ties go to the lowest cut, then to the phrase least in UTF-8 bytes; repeated rows
     count as often as they stand; an empty table, or one without frequent phrases, gives no rows; other columns aren't read.
     """
-    counted, _ = stored(phrase_counts(docs, support), "phrases")
+    counted, _ = stored(phrase_counts(docs, support, bits), "phrases")
     known = counted.filter("phrase is not null")
     found = known.filter("instr(phrase, ' ') > 0").select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
     longer = found.filter("size(words) > 2").select("lang", "a", F.explode(F.expr("flatten(transform(sequence(2, size(words) - 1), m -> transform(sequence(1, size(words) - m + 1), k -> array_join(slice(words, k, m), ' '))))")).alias("phrase"))
@@ -207,7 +207,7 @@ def collocations(docs: DataFrame, support: int = 30, top: int = 2000, inside: in
     cuts = left.withColumn("k", F.explode(F.expr("sequence(1, size(words) - 1)")))
     cuts = cuts.select("lang", "phrase", "a", "k", F.expr("array_join(slice(words, 1, k), ' ')").alias("front"), F.expr("array_join(slice(words, k + 1, size(words) - k), ' ')").alias("back"))
     scored = cuts.join(known.select("lang", F.col("phrase").alias("front"), F.col("f").alias("l")), ["lang", "front"]).join(known.select("lang", F.col("phrase").alias("back"), F.col("f").alias("r")), ["lang", "back"])
-    scored = scored.withColumn("score", F.expr("cast(cast(2000000 as decimal(19,0)) * cast(a as decimal(19,0)) div cast(l + r as decimal(19,0)) as long)"))
+    scored = scored.withColumn("score", F.expr(SCORE.format(a="a", parts="l + r")))
     worst = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     best = worst.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase"))).filter(f"rank <= {top}")
     total = counted.filter("phrase is null").select("lang", F.col("f").alias("n"))

@@ -138,8 +138,13 @@ class Acceptors:
             self._replaced[q] = found
         return found
 
-    def deleted(self, p: int, q: int) -> list[tuple[int, int]]:
-        """Ranks of a string of p and one of q that remains of it without one symbol, which the next one doesn't repeat."""
+    def deleted(self, p: int, q: int, sealed: bool) -> list[tuple[int, int]]:
+        """Ranks of a string of p and one of q that remains of it without one symbol, which the next one doesn't repeat.
+
+        The last symbol of sealed strings stays.
+        """
+        if sealed and not q:
+            return []
         found, at, there = [], 0, {}
         for symbol, state in self.arcs[q]:
             there[symbol] = at, state
@@ -148,7 +153,7 @@ class Acceptors:
         for symbol, state in self.arcs[p]:
             if symbol in there:
                 off, other = there[symbol]
-                found += [(at + i, off + j) for i, j in self.deleted(state, other)]
+                found += [(at + i, off + j) for i, j in self.deleted(state, other, sealed)]
                 skip, upto = off, off + self.sizes[other]
                 found += [(at + i, j) for i, j in self.same(state, q) if not skip <= j < upto]
             else:
@@ -171,7 +176,7 @@ def partition_pairs(words: list[str], most: int, lo: int, hi: int) -> Iterator[t
     for i, j in machine.replaced(a):
         yield whole[i], whole[j]
     if b >= 0:
-        for i, j in machine.deleted(a, b):
+        for i, j in machine.deleted(a, b, back > 0):
             yield whole[i], short[j]
 
 
