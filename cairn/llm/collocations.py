@@ -165,7 +165,7 @@ def _exact(lengths: dict[int, object]):
             texts.append(batch.column(1).cast(pa.large_binary()))
             langs += batch.column(0).to_pylist()
             size += batch.nbytes
-            if size >= 8 << 20:
+            if size >= 2 << 20:
                 yield from counted()
                 texts, langs, size = [], [], 0
         if langs:
