@@ -3,7 +3,7 @@
 Tasks make up `SHARDS` shards of the documents. A phrase with f occurrences has at least f / SHARDS of them in some shard, so what reaches
 ceil(support / SHARDS) in no shard is not frequent. A shard is mined level by level, since no phrase is more frequent than its parts: words, then
 pairs of locally frequent words somewhere, then phrases of three and four words all of whose pairs are locally frequent somewhere. Mining counts
-64-bit hashes, added up over many texts before they leave a task; the union of what is locally frequent becomes a bitmap of a fixed number of
+40 bits of hashes, added up over many texts before they leave a task; the union of what is locally frequent becomes a bitmap of a fixed number of
 bits, whatever the corpus' size. A bitmap only ever lets more pass, so a crowded one costs time but loses nothing: the last
 pass counts every occurrence of what passes, by the phrase itself.
 """
@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from ._base import _LOWER, _powers, MIX_A, U64, content, grams, in_order, joined_words, mixed, stored
 
-SHARDS, LONGEST = 8, 4
+SHARDS, LONGEST = 4, 4
 #: Exact: the product of two 19-digit numbers fits a decimal of 38 digits, and div doesn't round.
 SCORE = "cast(cast(2000000 as decimal(19,0)) * cast({a} as decimal(19,0)) div cast({parts} as decimal(19,0)) as long)"
 _PARTS = 64  # of a bitmap
-_HOLD = 2_000_000  # words that a task counts at a time
+_KEY = 40  # bits of a hash that mining counts by
+_HOLD = 4_000_000  # phrases that a task counts at a time
+_TEXT = 8 << 20  # bytes of text whose phrases are counted exactly at a time
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _INSIDE = ~_BREAK
@@ -36,7 +38,7 @@ class Words:
 
     def __init__(self, texts: pa.Array, langs: list[str]):
         data, at = content(texts)
-        self.data = _LOWER[data]
+        self.langs, self.data = langs, _LOWER[data]
         inside = np.zeros(len(data) + 1, bool)
         inside[:-1] = _INSIDE[data]
         before = np.zeros(len(data) + 1, bool)
@@ -51,16 +53,28 @@ class Words:
         np.cumsum((self.data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
         self.text = np.searchsorted(at, self.starts, "right") - 1
         self.piece = np.cumsum(_BREAK[data])[self.starts] + self.text if len(data) else np.empty(0, np.int64)
-        seeds = {x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in set(langs)}
-        self.lang = np.array([seeds[x] for x in langs], U64)[self.text] if langs else np.empty(0, U64)
         self.hashes = mixed((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U64) * MIX_A)
 
+    @classmethod
+    def merged(cls, some: list[Words]) -> Words:
+        """The words of all of them, one after the other."""
+        out, size, texts, pieces = cls.__new__(cls), 0, 0, 0
+        for x in some:
+            x.starts, x.ends, x.text, x.piece = x.starts + size, x.ends + size, x.text + texts, x.piece + pieces
+            size, texts, pieces = size + len(x.data), texts + len(x.langs), int(x.piece[-1]) + 1 if len(x.piece) else pieces
+        for name in ("data", "starts", "ends", "text", "piece", "hashes"):
+            setattr(out, name, np.concatenate([getattr(x, name) for x in some]))
+        out.langs = [lang for x in some for lang in x.langs]
+        return out
+
     def phrases(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the n-word phrases that begin at each word, and whether one lies inside a piece."""
         if len(self.hashes) < n:
             return np.empty(0, U64), np.empty(0, bool)
         x = grams(self.hashes, n)
-        return mixed(x + self.lang[: len(x)] * U64(2 * n + 1)), self.piece[: len(x)] == self.piece[n - 1 :]
+        seeds = {x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in set(self.langs)}
+        lang = np.array([seeds[x] for x in self.langs], U64)[self.text[: len(x)]]
+        return mixed(x + lang * U64(2 * n + 1)), self.piece[: len(x)] == self.piece[n - 1 :]
 
 
 class Bitmap:
@@ -100,9 +114,11 @@ def _mining(lengths: tuple[int, ...], parts, shard_bits: int):
     """Counts of the phrases of these lengths whose parts (of length `parts[0]`) are in a bitmap, as (key, c); a key is hash and shard."""
 
     def counted(held: list[np.ndarray], shard: int) -> pa.RecordBatch:
-        x = np.sort(np.concatenate(held)) if held else np.empty(0, U64)
-        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
-        keys = (x[first] >> U64(shard_bits) << U64(shard_bits)) | U64(shard)
+        x = np.concatenate(held)
+        held.clear()
+        x.sort()
+        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        keys = (x[first] << U64(shard_bits)) | U64(shard)
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.diff(np.concatenate((first, [len(x)]))).astype(np.int64))], ["key", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,11 +142,11 @@ def _mining(lengths: tuple[int, ...], parts, shard_bits: int):
                 if parts and len(x):
                     for k in range(n - parts[0] + 1):
                         inside = inside & known[k : k + len(x)]
-                held.append(x[inside])
+                held.append(x[inside] >> U64(64 - _KEY))
                 size += len(held[-1])
             if size >= _HOLD:
                 yield counted(held, shard)
-                held, size = [], 0
+                size = 0
         if size:
             yield counted(held, shard)
 
@@ -141,13 +157,10 @@ def _exact(lengths: dict[int, object]):
     """Counts of all phrases in the bitmaps, as (lang, phrase, c), and of all words, as (lang, null, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, langs, size = [], [], 0
-
-        def counted():
-            words = Words(pa.concat_arrays(texts), langs)
+        def counted(words: Words):
             total: dict[str, int] = {}
             for k, n in zip(*np.unique(words.text, return_counts=True)):
-                total[langs[k]] = total.get(langs[k], 0) + int(n)
+                total[words.langs[k]] = total.get(words.langs[k], 0) + int(n)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.nulls(len(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["lang", "phrase", "c"])
             for n, bitmap in lengths.items():
                 x, inside = words.phrases(n)
@@ -158,18 +171,18 @@ def _exact(lengths: dict[int, object]):
                 _, first, counts = np.unique(x[at], return_index=True, return_counts=True)
                 spans = (at[first][:, None] + np.arange(n)).ravel()
                 phrases = joined_words(words.data, words.starts[spans], words.ends[spans], np.full(len(first), n))
-                names = pa.array(langs, pa.string()).take(pa.array(words.text[at[first]]))
+                names = pa.array(words.langs, pa.string()).take(pa.array(words.text[at[first]]))
                 yield pa.RecordBatch.from_arrays([names, phrases, pa.array(counts.astype(np.int64))], ["lang", "phrase", "c"])
 
-        for batch in in_order(batches):
-            texts.append(batch.column(1).cast(pa.large_binary()))
-            langs += batch.column(0).to_pylist()
-            size += batch.nbytes
-            if size >= 2 << 20:
-                yield from counted()
-                texts, langs, size = [], [], 0
-        if langs:
-            yield from counted()
+        held, size = [], 0
+        for words, _ in _chunks(batches):
+            held.append(words)
+            size += len(words.data)
+            if size >= _TEXT:
+                merged, held, size = Words.merged(held), [], 0
+                yield from counted(merged)
+        if held:
+            yield from counted(Words.merged(held))
 
     return run
 
@@ -182,7 +195,7 @@ def phrase_counts(docs: DataFrame, support: int = 30, bits: int = 27) -> DataFra
 
     def mined(lengths, parts):
         found = rows.mapInArrow(_mining(lengths, parts, shard_bits), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(f"c >= {local}")
-        slots = found.select(F.shiftrightunsigned("key", 64 - bits).alias("slot")).distinct()
+        slots = found.select(F.shiftrightunsigned("key", shard_bits + _KEY - bits).alias("slot")).distinct()
         return spark.sparkContext.broadcast(_bitmap(slots, bits))
 
     words = mined((1,), None)
