@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import _LOWER, _powers, MIX_A, U64, content, grams, in_order, joined_words, mixed, stored
+from ._base import _LOWER, _powers, MIX_A, U64, content, discard, grams, in_order, joined_words, mixed, stored
 
 SHARDS, LONGEST = 4, 4
 #: Exact: the product of two 19-digit numbers fits a decimal of 38 digits, and div doesn't round.
@@ -195,8 +195,10 @@ def phrase_counts(docs: DataFrame, support: int = 30, bits: int = 27) -> DataFra
 
     def mined(lengths, parts):
         found = rows.mapInArrow(_mining(lengths, parts, shard_bits), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(f"c >= {local}")
-        slots = found.select(F.shiftrightunsigned("key", shard_bits + _KEY - bits).alias("slot")).distinct()
-        return spark.sparkContext.broadcast(_bitmap(slots, bits))
+        slots, path = stored(found.select(F.shiftrightunsigned("key", shard_bits + _KEY - bits).alias("slot")).distinct(), "frequent")
+        bitmap = spark.sparkContext.broadcast(_bitmap(slots, bits))
+        discard(spark, path)
+        return bitmap
 
     words = mined((1,), None)
     pairs = mined((2,), (1, words))
