@@ -182,16 +182,14 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words.astype(np.int64)), pa.array((n_words - n_kept).astype(np.int64)), joined_words(data, starts[kept], ends[kept], n_kept)], ["doc_id", "n_words", "n_removed", "kept"])
 
 
-def without_repeats(docs: DataFrame, limit: int = 2_000_000) -> DataFrame:
+def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept: each document's words that no earlier window covers, joined by single spaces; one row a row.
 
     Windows are judged on the input. Documents are in order of doc_id, null first, then of a hash of the text; repeated rows are one document and
     get the same result. Null and empty texts, and those of fewer than WINDOW words, have nothing removed; an empty table gives no rows;
-    other columns aren't read. Spans are broadcast up to `limit` numbers, which are counted; beyond it documents are joined by a shuffle.
+    other columns aren't read. Spans are a stored table, so Spark knows its size when it chooses how to join it.
     """
     found = factors(docs)
     spans, _ = stored(found.groupBy("doc", "tie").agg(F.flatten(F.collect_list(F.array("start", "n"))).alias("spans")), "spans")
-    total = spans.agg(F.sum(F.size("spans") + 4)).first()[0] or 0
-    spans = F.broadcast(spans) if total <= limit else spans
     joined = _identified(docs, F.col("doc_id").cast("long").alias("doc_id")).join(spans, ["doc", "tie"], "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
