@@ -135,11 +135,11 @@ class Encoder:
                     asked.append(before + x), at.append(k)
             elif (words := x.split()) == [x]:
                 core = x.rstrip(string.punctuation)
-                if core.isalpha():
+                if core.isalpha() and (not lower or core.isascii() or core.lower().isalpha()):  # a mark from lower-casing joins what follows
                     joined.append((k, (places[core.lower() if lower and core.isascii() else core], starts[x[len(core) :]])))
                 else:
                     asked.append(before + x), at.append(k)
-            elif len(words) == x.count("\n") + 1:
+            elif words and "\n".join(words) == x:
                 lines.append((k, (places[words[0]], *(p for y in words[1:] for p in (starts["\n"], starts[y])))))
         for k, ids in zip(at, self._library(asked), strict=True):
             made[k] = ids
@@ -179,7 +179,7 @@ class Encoder:
             pieces += words
             at.append(len(pieces) + len(first))
         place = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
-        odd = [i for i, x in enumerate(first) if not x.isalpha() and len(x.split()) != x.count("\n") + 1]
+        odd = [i for i, x in enumerate(first) if not x or not x.isalpha() and "\n".join(x.split()) != x]
         if first:
             begun = np.fromiter(map(self.starts.__getitem__, first), np.int64, len(first))
             place = np.insert(place, np.array(at[:-1]) - np.arange(len(first)), begun)

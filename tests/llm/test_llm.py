@@ -173,6 +173,19 @@ def test_encoder_equals_the_library(texts, name):
             assert np.frombuffer(x, "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_the_library_on_odd_white_space(name):
+    """Tabs, line ends, no-break, wide and invisible spaces beside each other, marks from lower-casing, special tokens."""
+    from tokenizers import Tokenizer
+
+    library, own, rng = Tokenizer.from_file(public_path(name)), Encoder(public_path(name), bound=5000), np.random.default_rng(17)
+    parts = [*" \n\n", *"   \t\r\x0b\x0c\x1c\x85\xa0\u2003\u3000\u200b\u2028", "a", "b", "word", "GELDİ", "İ", "é", "ẞ", "Σ", "ı̇", "\u0301", ".", ",", "'s", "1", "_", "<|endoftext|>", "[UNK]", "中", "😀", "ﬁ", "µ"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 9))) for _ in range(30_000)] + ["a \tb", "col1 \tcol2", "mot \xa0: x", "a \u3000b", "GELDİ."]
+    got = own.encode(texts)
+    want = [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert not [t for t, a, b in zip(texts, got, want, strict=True) if np.frombuffer(a, "<u4").tolist() != b]
+
+
 def test_token_counts(docs, texts, empty):
     path = public_path("byte_bpe_50k.json")
     n = sorted(len(x) // 4 for x in Encoder(path).encode([*texts, "no id here", texts[3]]))
@@ -188,6 +201,16 @@ def test_token_counts(docs, texts, empty):
     assert token_counts.token_counts(empty, path).count() == 0
 
 
+def test_lm_totals_pass_32_bits():
+    """Two chunks with three thousand million of one word each."""
+    big, one = np.array([3_000_000_000], np.uint32), np.array([5], np.uint64)
+    rows = [(0, chunk, 1, lm._delta(one), lm.planes(big), lm.planes(np.array([1], np.uint32)), None, 0) for chunk in (0, 1)]
+    group = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), lm._COUNTS, strict=True)], schema=lm._COUNTS)
+    out = lm._totals(group).to_pylist()
+    assert [lm.unplanes(r["early"], np.uint64).tolist() for r in out if r["chunk"] >= 0] == [[6_000_000_000]] * 2
+    assert np.frombuffer(out[-1]["own"], np.int64).tolist() == [6_000_000_000, 2, 1, 1]
+
+
 def test_lm_scores(spark, docs, texts, empty):
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id here"), (3, texts[3])]
     tokens = [(i, [w.encode().lower() for w in split(t)] + [None]) for i, t in rows]
