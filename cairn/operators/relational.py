@@ -27,6 +27,18 @@ def claim(queue: DataFrame, n: int) -> DataFrame:
     return queue.filter("status = 'pending'").orderBy(F.desc("priority"), "created_at", "path").limit(n)
 
 
+def claimed(queue: DataFrame, batch: DataFrame) -> DataFrame:
+    """The queue with the paths of a batch under work from now on."""
+    marked = queue.join(batch.select("path").withColumn("_c", F.lit(True)), "path", "left")
+    return marked.withColumns({"status": F.when(F.col("_c"), "processing").otherwise(F.col("status")), "claimed_at": F.when(F.col("_c"), F.current_timestamp()).otherwise(F.col("claimed_at"))}).drop("_c")
+
+
+def reclaimed(queue: DataFrame, before: Column) -> DataFrame:
+    """The queue with rows pending again that were claimed before a time and never settled."""
+    stuck = (F.col("status") == "processing") & (F.col("claimed_at").isNull() | (F.col("claimed_at") <= before))
+    return queue.withColumn("status", F.when(stuck, "pending").otherwise(F.col("status")))
+
+
 def changed(scanned: DataFrame, stored: DataFrame, key: str, hash_: str) -> DataFrame:
     """Hash gate: scanned rows whose hash is new or another."""
     old = stored.select(key, F.col(hash_).alias("_old"))

@@ -21,8 +21,8 @@ from cairn.sources import files as sources
 
 TABLES = ("files", "symbols", "edges", "chunks", "embeddings")
 #: What the tables were made by; another number here makes the next index a full one.
-VERSIONS = {"schema": 2, "parser": 1, "tagger": 1, "chunker": 1, "embedding": 1}
-QUEUE = "path string, event_type string, priority int, created_at timestamp, status string, processed_at timestamp"
+VERSIONS = {"schema": 3, "parser": 1, "tagger": 1, "chunker": 1, "embedding": 1}
+QUEUE = "path string, event_type string, priority int, created_at timestamp, status string, processed_at timestamp, claimed_at timestamp"
 # Priorities of changes, the most rows of an answer, tags and edges behind handlers, types that a summary counts.
 USER, GIT, HASH_SCAN = 30, 20, 10
 LIMITS = {"where_is": 50, "which_package": 20, "find_symbol": 20}
@@ -79,8 +79,8 @@ class Engine:
     """Tables live under `home`; a handler is a function of (engine, question) to a DataFrame."""
 
     def __init__(self, spark: SparkSession, home: str, settings: dict | None = None, embedder: E.Embedder | None = None):
-        self.spark, self.store, self.handlers = spark, Store(spark, home), {}
         self.settings = sources.merged_settings(sources.DEFAULTS, settings or {})
+        self.spark, self.store, self.handlers = spark, Store(spark, home, self.settings["indexing"]["buckets"]), {}
         self.embedder = embedder or E.embedder(self.settings["embedding"]["provider"])
         self.resolvers: list[Callable[[prompts.Prompt, DataFrame, DataFrame], list[DataFrame]]] = [H.resolved]
 
@@ -94,52 +94,61 @@ class Engine:
     def index(self, root: str, force: bool = False) -> dict[str, int]:
         """Brings the index in line with the tree: new and changed files are parsed, unchanged ones are left, lost ones marked as
         deleted with all that hangs on them. Everything is made anew with `force` or where a part is stale. Returns counts."""
-        found = self.store.stage("scanned", sources.scan(self.spark, root))
+        mark = self.store.staged()
+        found, scanned = self.store.counted("scanned", sources.scan(self.spark, root))
         known = self.store.has("files")
         force = force or not known or bool(self.stale())
         live = self.table("files") if known else found.filter("false")
         new = found if force else R.changed(found, live, "path", "file_hash")
         gone = R.without(live.select("path"), found.select("path"), "path")
         counts = self._apply(root, new, gone, anew=force)
-        return {"scanned": found.count(), **counts}
+        self.store.release(mark)
+        return {"scanned": scanned, **counts}
 
     def reindex(self, root: str, changed: list[str], gone: list[str]) -> dict[str, int]:
         """Parses the changed files again, whatever their hash, and marks gone ones, and changed ones that aren't there, as deleted."""
+        mark = self.store.staged()
         new = self.store.stage("scanned", sources.scan(self.spark, root, paths=changed))
         lost = self.spark.createDataFrame([(x,) for x in [*changed, *gone]], "path string")
-        return self._apply(root, new, R.without(lost, new.select("path"), "path"), anew=False)
+        counts = self._apply(root, new, R.without(lost, new.select("path"), "path"), anew=False)
+        self.store.release(mark)
+        return counts
 
     def _apply(self, root: str, new: DataFrame, gone: DataFrame, anew: bool) -> dict[str, int]:
+        """Writes the buckets that new and lost files lie in; all of them with `anew`. Each stage counts itself as it is written."""
         known = self.store.has("files")
-        new = self.store.stage("new_files", new)
-        gone = self.store.stage("gone", gone.distinct())
-        symbols = self.store.stage("new_symbols", code.tagged(code.symbols(new)))
+        new, n_new = self.store.counted("new_files", new)
+        gone, n_gone = self.store.counted("gone", gone.distinct())
+        symbols, n_symbols = self.store.counted("new_symbols", code.tagged(code.symbols(new)))
         edges = code.edges(symbols)
-        chunks = self.store.stage("new_chunks", code.chunks(new, symbols, most=self.settings["embedding"]["max_chunk_tokens"]))
+        chunks, n_chunks = self.store.counted("new_chunks", code.chunks(new, symbols, most=self.settings["embedding"]["max_chunk_tokens"]))
         touched = new.select("path").unionByName(gone).distinct()
+        hit = None if anew else self.store.buckets_of(touched)
 
         def kept(name: str, now: DataFrame) -> DataFrame:
-            return R.without(self.store.read(name), touched, "path").unionByName(now, allowMissingColumns=True) if known else now
+            return R.without(self.store.read(name, hit), touched, "path").unionByName(now, allowMissingColumns=True) if known else now
 
         indexed = new.withColumns({"indexed_at": F.current_timestamp(), "is_deleted": F.lit(False)})
         if known:
-            dead = self.store.read("files").join(gone, "path", "left_semi").withColumns({"is_deleted": F.lit(True), "text": F.lit(None).cast("string")})
-            indexed = indexed.unionByName(dead)
+            dead = self.store.read("files", hit).join(gone, "path", "left_semi").withColumns({"is_deleted": F.lit(True), "text": F.lit(None).cast("string")})
+            indexed = indexed.unionByName(dead, allowMissingColumns=True)
         all_chunks = self.store.stage("chunks", kept("chunks", chunks))
-        vectors = self._vectors(all_chunks, reuse=known and not anew)
+        vectors = self._vectors(all_chunks, hit, reuse=known and not anew)
         tables = {"files": kept("files", indexed), "symbols": kept("symbols", symbols), "edges": kept("edges", edges), "chunks": all_chunks, "embeddings": vectors}
         now = datetime.now(UTC).isoformat()
-        self.store.commit(tables, versions=VERSIONS, root=root, branch=sources.git_branch(root), **{"full_index_at" if anew else "incremental_index_at": now})
-        return {"indexed": new.count(), "deleted": gone.count(), "symbols": symbols.count(), "chunks": chunks.count()}
+        if hit != []:
+            self.store.commit(tables, hit, versions=VERSIONS, root=root, branch=sources.git_branch(root), **{"full_index_at" if anew else "incremental_index_at": now})
+        return {"indexed": n_new, "deleted": n_gone, "symbols": n_symbols, "chunks": n_chunks}
 
-    def _vectors(self, chunks: DataFrame, reuse: bool) -> DataFrame:
+    def _vectors(self, chunks: DataFrame, hit: list[int] | None, reuse: bool) -> DataFrame:
         """A vector for each chunk: the one at hand where its content is the same, else a new one; none without a chunk."""
-        rows = chunks.select("chunk_id", "content_hash", "content")
+        rows = chunks.select("chunk_id", "path", "content_hash", "content")
+        columns = ["chunk_id", "path", "content_hash", "vector"]
         if not reuse:
-            return self.embedder(rows).join(rows.drop("content"), "chunk_id").select("chunk_id", "content_hash", "vector")
-        old = self.store.read("embeddings").join(rows.select("chunk_id", "content_hash"), ["chunk_id", "content_hash"], "left_semi")
+            return self.embedder(rows.select("chunk_id", "content")).join(rows.drop("content"), "chunk_id").select(*columns)
+        old = self.store.read("embeddings", hit).join(rows.select("chunk_id", "content_hash"), ["chunk_id", "content_hash"], "left_semi").select(*columns)
         fresh = self.store.stage("fresh", rows.join(old.select("chunk_id"), "chunk_id", "left_anti"))
-        return old.unionByName(self.embedder(fresh).join(fresh.drop("content"), "chunk_id").select("chunk_id", "content_hash", "vector"))
+        return old.unionByName(self.embedder(fresh.select("chunk_id", "content")).join(fresh.drop("content"), "chunk_id").select(*columns))
 
     def table(self, name: str) -> DataFrame:
         """A table; of files those that aren't deleted."""
@@ -154,13 +163,23 @@ class Engine:
     def enqueue(self, root: str, paths: list[str], event_type: str = "modified", priority: int = USER) -> int:
         """Adds changes below root of files that an index holds; returns how many. One row a path: latest event, greatest priority."""
         inside = [p for p in map(lambda x: sources.below(root, x), paths) if p]
-        given = self.spark.createDataFrame([(p,) for p in dict.fromkeys(inside)], "path string").filter(T.detect_language(F.col("path")).isNotNull() & ~T.ignored(F.col("path")))
+        given = self.spark.createDataFrame([(p,) for p in dict.fromkeys(inside)], "path string")
         now = given.select("path", F.lit(event_type).alias("event_type"), F.lit(priority).alias("priority"), F.current_timestamp().alias("created_at"), F.lit(1).cast("long").alias("id"))
-        old = self._queue()
-        open_ = old.filter("status <> 'done'").select("path", "event_type", "priority", "created_at", F.lit(0).cast("long").alias("id"))
-        fresh = R.queue_compacted(open_.join(now.select("path"), "path", "left_semi").unionByName(now)).withColumn("processed_at", F.lit(None).cast("timestamp"))
-        self.store.commit({"queue": R.without(old, now.select("path"), "path").unionByName(fresh)})
-        return given.count()
+        return self.enqueue_rows(now)
+
+    def enqueue_rows(self, events: DataFrame) -> int:
+        """Adds events (path below root, event_type, priority, created_at, id), of which only the buckets they lie in are written."""
+        mark = self.store.staged()
+        now, n = self.store.counted("events", R.queue_compacted(events.filter(T.detect_language(F.col("path")).isNotNull() & ~T.ignored(F.col("path")))))
+        if n:
+            hit = self.store.buckets_of(now) if self.store.has("queue") else None
+            old = self.store.read("queue", hit) if hit else self._queue()
+            like = lambda rows, id_: rows.select("path", "event_type", "priority", "created_at", F.lit(id_).cast("long").alias("id"))
+            open_ = like(old.filter("status <> 'done'"), 0)
+            fresh = R.queue_compacted(open_.join(now.select("path"), "path", "left_semi").unionByName(like(now, 1))).withColumns({c: F.lit(None).cast("timestamp") for c in ("processed_at", "claimed_at")})
+            self.store.commit({"queue": R.without(old, now.select("path"), "path").unionByName(fresh)}, hit)
+        self.store.release(mark)
+        return n
 
     def pending(self) -> int:
         return self._queue().filter("status in ('pending', 'processing')").count()
@@ -170,14 +189,18 @@ class Engine:
         self.store.commit({"queue": self._queue().filter(F.lit(False) if all_ else F.col("status") != "done")})
 
     def drain(self, root: str, limit: int | None = None) -> dict[str, int]:
-        """One micro-batch: the next changes are claimed and indexed; they are done, or pending again where that fails."""
-        batch = R.claim(self._queue(), limit or self.settings["indexing"]["batch_files"]).collect()
+        """One micro-batch: the next changes are claimed and indexed; they are done, or pending again where that fails.
+
+        What a drain that died has claimed is claimed again `reclaim_s` seconds later. Only buckets of the batch are written.
+        """
+        stuck = F.current_timestamp() - F.make_interval(secs=F.lit(self.settings["indexing"]["reclaim_s"]))
+        batch = R.claim(R.reclaimed(self._queue(), stuck), limit or self.settings["indexing"]["batch_files"]).collect()
         if not batch:
             return {"processed": 0, "failed": 0}
         none = self.spark.createDataFrame([], "path string")
         claimed = self.spark.createDataFrame([(r.path,) for r in batch], "path string")
-        busy = self._queue().join(claimed.withColumn("_c", F.lit(True)), "path", "left")
-        self.store.commit({"queue": busy.withColumn("status", F.when(F.col("_c"), "processing").otherwise(F.col("status"))).drop("_c")})
+        hit = self.store.buckets_of(claimed)
+        self.store.commit({"queue": R.claimed(R.reclaimed(self.store.read("queue", hit), stuck), claimed)}, hit)
         gone = [r.path for r in batch if r.event_type == "deleted"]
         try:
             self.reindex(root, [r.path for r in batch if r.event_type != "deleted"], gone)
@@ -185,8 +208,8 @@ class Engine:
         except Exception as error:  # the batch goes back, whatever went wrong with it
             self.store.commit({}, last_error=str(error)[:500])
             done, failed = none, claimed
-        queue = R.settled(self._queue(), done, failed)
-        self.store.commit({"queue": queue.withColumn("processed_at", F.when(F.col("status") == "done", F.coalesce("processed_at", F.current_timestamp())))})
+        queue = R.settled(self.store.read("queue", hit), done, failed)
+        self.store.commit({"queue": queue.withColumn("processed_at", F.when(F.col("status") == "done", F.coalesce("processed_at", F.current_timestamp())))}, hit)
         return {"processed": 0 if failed is claimed else len(batch), "failed": len(batch) if failed is claimed else 0}
 
     def hash_scan(self, root: str, limit: int | None = None) -> int:
@@ -256,6 +279,10 @@ class Engine:
 
     # Context
 
+    def release(self) -> None:
+        """Deletes the stages behind what `context` and `ranked` gave; call it once those are read."""
+        self.store.release()
+
     def ranked(self, prompt: prompts.Prompt, changed: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
         """The best candidates for a prompt, most likely first, and its dependency context (role, names)."""
         chunks, edges, symbols, how = self.table("chunks"), self.table("edges"), self.table("symbols"), self.settings["retrieval"]
@@ -278,7 +305,7 @@ class Engine:
         return fit.orderBy("minus", "ordinal").drop("g", "minus")
 
     def context(self, prompt: str, budget: int | None = None, changed: list[str] | None = None) -> DataFrame:
-        """The best chunks that fit the budget, best first."""
+        """The best chunks that fit the budget, best first; they lie in stages of their own until `release`."""
         return self._packed(self.ranked(prompts.Prompt.read(prompt), changed)[0], budget)
 
     def retrieve(self, prompt: str, budget: int | None = None, root: str | None = None, full_diff: bool = False, intent: str | None = None) -> Answer:
@@ -293,7 +320,7 @@ class Engine:
     def _answer(self, read: prompts.Prompt, rows: list[dict], around: dict, confidence: float, reason: str, diff: str) -> Answer:
         tokens = sum(max(1, len(r["content"]) // 4) if r["content"] else 0 for r in rows)
         whole = self.table("files").agg(F.expr("coalesce(sum(size_bytes), 0) div 4").alias("n")).first().n
-        saved = 0.0 if whole <= 0 else max(0.0, min(100.0, round((1 - tokens / whole) * 100, 1)))
+        saved = 0.0 if whole <= 0 else round(max(0.0, min(100.0, (1 - tokens / whole) * 100)), 1)
         warnings = [] if rows else ["No chunk matched; the tree may not be indexed yet."]
         if confidence < 0.4:
             warnings.append("Low confidence: context may be missing. Try a more exact prompt.")

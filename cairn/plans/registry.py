@@ -197,7 +197,7 @@ def repo_tokens(t):
     return t("documents").agg(F.count("*").alias("n_files"), F.count_if(F.col("lang") == "en").alias("n_en"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("size_bytes"), F.expr("coalesce(sum(n_chars), 0) div 4").alias("repo_tokens"), F.sum(T.context_tokens(F.col("text"))).alias("context_tokens"))
 
 
-@query("""SELECT doc_id, greatest(0.0, least(100.0, round_even((1 - (length(text) // 4) / 5000.0::DOUBLE) * 100, 1))) AS reduction FROM documents""")
+@query("""SELECT doc_id, CAST(format('{:.1f}', greatest(0.0, least(100.0, (1 - (length(text) // 4) / 5000.0::DOUBLE) * 100))::DOUBLE) AS DOUBLE) AS reduction FROM documents""")
 def token_reduction(t):
     return t("documents").select("doc_id", T.reduction(F.lit(5000.0), F.expr("length(text) div 4").cast("double")).alias("reduction"))
 
@@ -222,8 +222,8 @@ def group_by_owner(t):
 
 
 @query("""WITH s AS (SELECT doc_id, n_chars, source, lang, (CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'und') AS INT) + CAST(contains(lower(text), 'scum') AS INT) + CAST(contains(lower(text), 'de la') AS INT)) / 4.0::DOUBLE AS coverage FROM documents)
-SELECT doc_id, coverage, round_even(0.35::DOUBLE + CASE WHEN n_chars / 500.0::DOUBLE >= 8 THEN 0.25::DOUBLE WHEN n_chars / 500.0::DOUBLE >= 4 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END
-  + CASE WHEN source = 'src1' THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN lang = 'en' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + 0.1::DOUBLE * coverage, 2) AS confidence FROM s""")
+SELECT doc_id, coverage, CAST(format('{:.2f}', 0.35::DOUBLE + CASE WHEN n_chars / 500.0::DOUBLE >= 8 THEN 0.25::DOUBLE WHEN n_chars / 500.0::DOUBLE >= 4 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END
+  + CASE WHEN source = 'src1' THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN lang = 'en' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + 0.1::DOUBLE * coverage) AS DOUBLE) AS confidence FROM s""")
 def coverage_confidence(t):
     """Each document as a result of its own: its length for the top score, its source for the exact symbol, its language for the file."""
     low = F.lower("text")

@@ -16,7 +16,7 @@ from cairn.functions import text as T
 # What marks the root of a repository, and the defaults of the settings.
 ROOT_MARKS = [".git", "pom.xml", "build.gradle", "settings.gradle", "package.json", "pyproject.toml", "go.mod"]
 DEFAULTS = {
-    "indexing": {"debounce_ms": 2500, "batch_files": 10}, "hash_scan": {"every_s": 600, "files": 200},
+    "indexing": {"debounce_ms": 2500, "batch_files": 10, "stream_files": 1000, "reclaim_s": 600, "buckets": 64}, "hash_scan": {"every_s": 600, "files": 200},
     "embedding": {"provider": "bag_of_tokens", "max_chunk_tokens": 800},
     "retrieval": {"max_context_tokens": 25_000, "lexical_top_k": 20, "vector_top_k": 30, "symbol_top_k": 20, "rerank_top_k": 12, "include_git_diff": True},
     "verifier": {"max_attempts": 3, "min_confidence": 0.75},
@@ -31,6 +31,24 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("language", T.detect_language(F.col("path"))).filter(F.col("language").isNotNull() & ~T.ignored(F.col("path")))
 
 
+def named(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """As `listing`, of given paths below root; each is looked up where its row is, and the tree isn't listed."""
+    top = root if "://" in root else "file://" + os.path.abspath(root.removeprefix("file:"))
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            store, at = fs.FileSystem.from_uri(top)
+            found = [(p, x) for p in batch.column(0).to_pylist() if (x := store.get_file_info(f"{at}/{p}")).type == fs.FileType.File]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{top}/{p}" for p, _ in found], pa.string()), pa.array([p for p, _ in found], pa.string()), pa.array([x.size for _, x in found], pa.int64()), pa.array([x.mtime for _, x in found], pa.timestamp("us", "UTC"))], ["address", "path", "size_bytes", "last_modified_at"])
+
+    given = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string")
+    rows = given.mapInArrow(run, "address string, path string, size_bytes long, last_modified_at timestamp")
+    rows = rows.withColumn("last_modified_at", F.date_trunc("millisecond", "last_modified_at"))  # as in a listing
+    return rows.withColumn("language", T.detect_language(F.col("path"))).filter(F.col("language").isNotNull() & ~T.ignored(F.col("path")))
+
+
 def with_content(files: DataFrame) -> DataFrame:
     """Adds the bytes at `address`, read where the row is; files that can't be read go."""
     schema = files.schema
@@ -60,12 +78,10 @@ def with_content(files: DataFrame) -> DataFrame:
 def scan(spark: SparkSession, root: str, content: bool = True, paths: list[str] | None = None) -> DataFrame:
     """path (below root), language, size_bytes, file_hash, last_modified_at and text of supported files outside ignored folders.
 
-    Texts decode as UTF-8 with replacement. The listing is filtered first, to `paths` too if they are given, so ignored files are
-    never opened. Without content only the listing is read.
+    Texts decode as UTF-8 with replacement. The listing is filtered first, so ignored files are never opened; with `paths` only they
+    are looked up. Without content only the listing is read.
     """
-    found = listing(spark, root)
-    if paths is not None:
-        found = found.filter(F.col("path").isin(paths))
+    found = listing(spark, root) if paths is None else named(spark, root, paths)
     if not content:
         return found.drop("address").select("path", "language", "size_bytes", "last_modified_at")
     rows = with_content(found.repartition("path"))

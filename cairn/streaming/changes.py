@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +25,12 @@ def debounced(events: DataFrame, gap: str = "2500 milliseconds", late: str = "1
 
 
 def drain(events: DataFrame, table: str, checkpoint: str):
-    """Keeps the queue under `table`, one version a micro-batch, so that a repeated batch writes the same version again."""
+    """Keeps the queue under `table`, one version a micro-batch, so that a repeated batch writes the same version again.
+
+    The version before the last goes: only the last batch can repeat, and it reads the one before.
+    """
     spark = events.sparkSession
+    store, top = fs.FileSystem.from_uri(table if "://" in table else f"file://{table}")
 
     def merge(batch: DataFrame, number: int) -> None:
         new = batch.select("id", "path", "event_type", "priority", "created_at")
@@ -31,6 +38,8 @@ def drain(events: DataFrame, table: str, checkpoint: str):
             old = spark.read.parquet(f"{table}/v{number - 1}").select(F.lit(-1).cast("long").alias("id"), "path", "event_type", "priority", "created_at")
             new = old.unionByName(new)
         R.queue_compacted(new).write.mode("overwrite").parquet(f"{table}/v{number}")
+        with contextlib.suppress(FileNotFoundError):
+            store.delete_dir(f"{top}/v{number - 2}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -52,11 +61,8 @@ def follow(events: DataFrame, engine: Engine, root: str, checkpoint: str, every:
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        latest = R.queue_compacted(batch.select("id", "path", "event_type", "priority", "created_at"))
-        for kind, priority in sorted((r.event_type, r.priority) for r in latest.select("event_type", "priority").distinct().collect()):
-            some = latest.filter((F.col("event_type") == kind) & (F.col("priority") == priority))
-            engine.enqueue(root, [r.path for r in some.select("path").collect()], kind, priority)
-        while engine.drain(root)["processed"]:
+        engine.enqueue_rows(batch.select("id", "path", "event_type", "priority", "created_at"))
+        while engine.drain(root, engine.settings["indexing"]["stream_files"])["processed"]:
             pass
 
     writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -75,7 +75,7 @@ def test_words_vectors_graph_and_confidence(indexed):
     e, _ = indexed
     a = e.retrieve("which code calls fetch_order")
     assert a.chunks[0]["symbol"] == "fetch_order" and a.chunks[0]["score"] >= 5 + 2 + 6 and "read_order" in a.dependencies["callers"] and "load" in a.dependencies["callees"]
-    assert a.confidence >= 0.6 and "exact symbol match" in a.confidence_reason and a.reduction <= 100 and not a.warnings
+    assert a.confidence >= 0.6 and "a symbol has a word's name" in a.confidence_reason and a.reduction <= 100 and not a.warnings
     assert {c["source"] for c in a.chunks} >= {"symbol", "graph"}
     none = e.retrieve("zzqx.py", budget=10)
     assert none.warnings and any("zzqx.py" in w for w in none.warnings)
@@ -208,5 +208,5 @@ def test_scores_of_every_term(spark):
     assert {k: round(r.score, 6) for k, r in got.items()} == {"1": 5 + 2 + 6 + 3 + 3 + 4, "2": 1 + 0.5 + 2.5, "3": 2.5 + 0.4 + 3 + 1.5, "4": 1.1}
     assert "exact symbol match" in got["1"].reasons and "file path match" in got["1"].reasons and got["4"].reasons == []
     sure = H.confidence(H.scored(rows, p).filter("chunk_id = '1'"), p).first()
-    assert sure.confidence == 0.95 and sure.coverage == 0.5 and sure.reason.startswith("context is likely sufficient (strong top match")
+    assert sure.confidence == 0.95 and sure.coverage == 0.5 and sure.reason.startswith("good: best score 8 or more")
     assert H.confidence(H.scored(rows.filter("false"), p), p).first().confidence == 0.1
