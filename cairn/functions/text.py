@@ -30,7 +30,8 @@ def ascii_lower(c: Column) -> Column:
 
 def contains_like(c: Column, term: Column) -> Column:
     """c LIKE '%term%' with ASCII case folded, % and _ of the term live, and no escape character."""
-    return F.call_function("like", ascii_lower(c), F.concat(F.lit("%"), ascii_lower(term), F.lit("%")), F.lit("\x01"))
+    pattern = F.regexp_replace(F.concat(F.lit("%"), ascii_lower(term), F.lit("%")), "%+", "%")
+    return F.call_function("like", ascii_lower(c), pattern, F.lit("\x01"))
 
 
 def detect_language(path: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+from bisect import bisect_right
 from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -201,14 +203,23 @@ def chunks(files: DataFrame, found: DataFrame, header: int = 6, most: int = 800)
     return out.withColumns({"chunk_id": T.chunk_id(F.col("path"), F.col("symbol"), F.col("start_line"), F.col("index")), "content_hash": F.sha2("content", 256)})
 
 
-def split_tokens(lines, most: int):
-    """Greedy fold: a new part starts where the next line would pass `most` tokens; one long line stays whole."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+def _parts(lines: pa.Array, most: pa.Array) -> pa.Array:
+    """Parts of each list of lines: sums of lengths once, then a binary search for the end of each part."""
+    out = []
+    for row, n in zip(lines.to_pylist(), most.to_pylist()):
+        if row is None:
+            out.append(None)
+            continue
+        sums, found, at = [0, *accumulate(len(x) + 1 for x in row)], [], 0
+        while at < len(row):
+            # the last end whose text, of sums[end] - sums[at] - 1 code points, is within the tokens
+            end = max(at + 1, bisect_right(sums, sums[at] + 4 * n + 4, at + 1) - 1)
+            found.append({"i": len(found), "text": "\n".join(row[at:end])})
+            at = end
+        out.append(found or [{"i": 0, "text": ""}])
+    return pa.array(out, pa.list_(pa.struct([("i", pa.int32()), ("text", pa.string())])))
 
-    def step(s, x):
-        both = F.when(s.open.isNull(), x).otherwise(F.concat(s.open, F.lit("\n"), x))
-        full = s.open.isNotNull() & (F.floor(F.length(both) / 4) > most)
-        return F.struct(F.when(full, F.concat(s.done, F.array(s.open))).otherwise(s.done).alias("done"), F.when(full, x).otherwise(both).alias("open"))
 
-    parts = F.aggregate(lines, start, step, lambda s: F.concat(s.done, F.array(F.coalesce(s.open, F.lit("")))))
-    return F.transform(parts, lambda x, i: F.struct(i.cast("int").alias("i"), x.alias("text")))
+def split_tokens(lines, most: int):
+    """Greedy parts: a new one starts where the next line would pass `most` tokens; one long line stays whole."""
+    return F.arrow_udf(_parts, "array<struct<i: int, text: string>>")(lines, F.lit(most))

@@ -15,13 +15,14 @@ from cairn.operators import code
 from cairn.operators import embedding as E
 from cairn.operators import relational as R
 from cairn.operators import retrieval as H
+from cairn.operators import search as S
 from cairn.plans import planner, prompts, verifier
 from cairn.plans.store import Store
 from cairn.sources import files as sources
 
 TABLES = ("files", "symbols", "edges", "chunks", "embeddings")
 #: What the tables were made by; another number here makes the next index a full one.
-VERSIONS = {"schema": 3, "parser": 1, "tagger": 1, "chunker": 1, "embedding": 1}
+VERSIONS = {"schema": 3, "parser": 1, "tagger": 1, "chunker": 1, "embedding": 1, "postings": 1}
 QUEUE = "path string, event_type string, priority int, created_at timestamp, status string, processed_at timestamp, claimed_at timestamp"
 # Priorities of changes, the most rows of an answer, tags and edges behind handlers, types that a summary counts.
 USER, GIT, HASH_SCAN = 30, 20, 10
@@ -134,10 +135,10 @@ class Engine:
             indexed = indexed.unionByName(dead, allowMissingColumns=True)
         all_chunks = self.store.stage("chunks", kept("chunks", chunks))
         vectors = self._vectors(all_chunks, hit, reuse=known and not anew)
-        tables = {"files": kept("files", indexed), "symbols": kept("symbols", symbols), "edges": kept("edges", edges), "chunks": all_chunks, "embeddings": vectors}
+        tables = {"files": kept("files", indexed), "symbols": kept("symbols", symbols), "edges": kept("edges", edges), "chunks": all_chunks, "embeddings": vectors, "postings": kept("postings", S.postings(chunks, "path"))}
         now = datetime.now(UTC).isoformat()
         if hit != []:
-            self.store.commit(tables, hit, versions=VERSIONS, root=root, branch=sources.git_branch(root), **{"full_index_at" if anew else "incremental_index_at": now})
+            self.store.commit(tables, hit, {"postings": "gram", "chunks": "chunk_id"}, versions=VERSIONS, root=root, branch=sources.git_branch(root), **{"full_index_at" if anew else "incremental_index_at": now})
         return {"indexed": n_new, "deleted": n_gone, "symbols": n_symbols, "chunks": n_chunks}
 
     def _vectors(self, chunks: DataFrame, hit: list[int] | None, reuse: bool) -> DataFrame:
@@ -290,7 +291,7 @@ class Engine:
         found = self.store.stage("hits", H.union(parts)) if parts else None
         if found is None or not found.limit(1).count():  # no resolver knows: words and vectors
             query = self.embedder(self.spark.createDataFrame([("q", prompt.text)], "chunk_id string, content string"))
-            words = H.word_hits(chunks, prompt.keywords, how["lexical_top_k"])
+            words = H.word_hits(chunks, prompt.keywords, how["lexical_top_k"], postings=self.store.read("postings"))
             found = self.store.stage("hits", words.unionByName(H.vector_hits(chunks, self.table("embeddings"), query, how["vector_top_k"])))
         names = self.store.stage("seeds", H.seeds(found, chunks, how["symbol_top_k"]))
         graph = H.graph_hits(chunks, symbols, edges, names, 2 if prompt.intent == "architecture_explanation" else 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from cairn.operators import code
 from cairn.operators import embedding as E
 from cairn.operators import relational as R
 from cairn.operators import retrieval as H
+from cairn.operators import search as S
+from cairn.operators import vectors as V
 from cairn.plans import planner, prompts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -380,24 +383,79 @@ def keyword_extract(t):
     return words.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT doc_id, k, word, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY k) AS ends FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(1, len(string_split(text, ' ')) + 1)) AS k FROM documents)),
+p(doc_id, part, first, begun) AS (SELECT doc_id, 0, CAST(1 AS BIGINT), CAST(0 AS HUGEINT) FROM w WHERE k = 1
+  UNION ALL SELECT doc_id, part + 1, k, ends - length(word) - 1 FROM (SELECT p.doc_id, p.part, w.k, w.ends, w.word, row_number() OVER (PARTITION BY p.doc_id ORDER BY w.k) AS rn FROM p JOIN w ON w.doc_id = p.doc_id AND w.k > p.first AND (w.ends - p.begun - 1) // 4 > 200) WHERE rn = 1),
+s AS (SELECT doc_id, part, first, lead(first) OVER (PARTITION BY doc_id ORDER BY part) AS next FROM p),
+t AS (SELECT s.doc_id, s.part, string_agg(word, chr(10) ORDER BY k) AS x FROM s JOIN w ON w.doc_id = s.doc_id AND w.k >= first AND (next IS NULL OR w.k < next) GROUP BY ALL)
+SELECT doc_id, CAST(part AS INT) AS part, CAST(length(x) AS INT) AS n_chars, sha256(x) AS hash FROM t""")
 def token_split(t):
-    """Documents cut at their spaces into parts of 200 tokens; a fold, so tests hold it against a loop."""
-    parts = t("documents").select("doc_id", F.posexplode(code.split_tokens(F.split("text", " "), 200)).alias("i", "part"))
-    return parts.select("doc_id", F.col("i").alias("part"), F.length("part.text").alias("n_chars"), F.sha2("part.text", 256).alias("hash"))
+    """Documents cut at their spaces into parts of 200 tokens."""
+    parts = t("documents").select("doc_id", F.explode(code.split_tokens(F.split("text", " "), 200)).alias("part"))
+    return parts.select("doc_id", F.col("part.i").alias("part"), F.length("part.text").alias("n_chars"), F.sha2("part.text", 256).alias("hash"))
+
 
+_TWO = "[A-Za-z0-9_]{4,} [A-Za-z0-9_]{4,}"
 
-@query("""WITH s AS (SELECT 'm' || item_id AS "to", regexp_extract(text, '([A-Za-z0-9_]{6,})', 1) AS symbol, item_id FROM benchmark), l AS (SELECT symbol, arg_max("to", (item_id, "to")) AS "to" FROM s WHERE symbol <> '' GROUP BY symbol),
-w AS (SELECT 'd' || doc_id AS "from", source, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS word FROM documents UNION ALL SELECT 'm' || item_id, 'bench', unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]+'))) FROM benchmark)
-SELECT w."from" AS src, l."to" AS dst, CASE WHEN contains(source, 'test') OR contains(source, 'spec') OR source = 'src7' THEN 'test' ELSE 'reference' END AS kind, symbol AS evidence FROM w JOIN l ON w.word = l.symbol WHERE w."from" <> l."to" """)
+
+@query(f"""WITH s AS (SELECT 'm' || item_id AS "to", item_id, CASE WHEN item_id % 3 = 0 THEN regexp_extract(text, '{_TWO}') ELSE regexp_extract(text, '[A-Za-z0-9_]{{6,}}') END AS symbol FROM benchmark),
+l AS (SELECT symbol, arg_max("to", (item_id, "to")) AS "to" FROM s WHERE symbol <> '' GROUP BY symbol),
+c AS (SELECT 'd' || doc_id AS "from", source, text FROM documents UNION ALL SELECT 'm' || item_id, 'bench', text FROM benchmark),
+w AS (SELECT "from", source, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS word FROM c),
+m AS (SELECT "from", source, "to", symbol FROM w JOIN l ON word = symbol
+  UNION ALL SELECT "from", source, "to", symbol FROM c JOIN l ON contains(symbol, ' ') AND contains(text, symbol) AND regexp_matches(text, '(^|[^A-Za-z0-9_])' || symbol || '($|[^A-Za-z0-9_])'))
+SELECT "from" AS src, "to" AS dst, CASE WHEN source = 'src7' THEN 'test' ELSE 'reference' END AS kind, symbol AS evidence FROM m WHERE "from" <> "to" """)
 def chunk_graph_edges(t):
-    """Documents and benchmark items as chunks, each item's first long word as its symbol; source 7 as tests."""
+    """Documents and benchmark items as chunks, each item's first long word, or first two words, as its symbol; source 7 as tests."""
     docs = t("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("source") == "src7", "tests/src7").otherwise(F.col("source")).alias("path"), F.lit(None).cast("string").alias("symbol"), F.col("text").alias("content"), F.col("doc_id").alias("ordinal"))
-    items = t("benchmark").select(F.concat(F.lit("m"), F.col("item_id").cast("string")).alias("id"), F.lit("bench").alias("path"), F.regexp_extract("text", "([A-Za-z0-9_]{6,})", 1).alias("symbol"), F.col("text").alias("content"), F.col("item_id").alias("ordinal"))
+    symbol = F.when(F.col("item_id") % 3 == 0, F.regexp_extract("text", _TWO, 0)).otherwise(F.regexp_extract("text", "[A-Za-z0-9_]{6,}", 0))
+    items = t("benchmark").select(F.concat(F.lit("m"), F.col("item_id").cast("string")).alias("id"), F.lit("bench").alias("path"), symbol.alias("symbol"), F.col("text").alias("content"), F.col("item_id").alias("ordinal"))
     found = H.mention_edges(docs.unionByName(items)).filter("type <> 'route'")
     return found.select(F.col("from").alias("src"), F.col("to").alias("dst"), F.col("type").alias("kind"), "evidence")
 
 
+@query("""WITH c AS (SELECT doc_id, 'm' || doc_id % 70 || CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '.java' END AS leaf, source FROM documents),
+files AS (SELECT leaf, arg_max(doc_id, (doc_id, CAST(doc_id AS VARCHAR))) AS "to" FROM c GROUP BY leaf), names AS (SELECT source, max(doc_id) AS "to" FROM c GROUP BY source),
+i AS (SELECT doc_id, 'pkg.m' || doc_id % 90 AS name, 'm' || doc_id % 90 AS tail FROM c UNION ALL SELECT doc_id, 'src' || doc_id % 23, 'src' || doc_id % 23 FROM c),
+t AS (SELECT i.doc_id, name, coalesce(s."to", ts."to", py."to", jv."to") AS "to" FROM i LEFT JOIN names s ON s.source = tail LEFT JOIN files ts ON ts.leaf = tail || '.ts' LEFT JOIN files py ON py.leaf = tail || '.py' LEFT JOIN files jv ON jv.leaf = tail || '.java')
+SELECT CAST(doc_id AS VARCHAR) AS src, CAST("to" AS VARCHAR) AS dst, name AS evidence FROM t WHERE "to" IS NOT NULL AND "to" <> doc_id""")
+def import_edges(t):
+    """Documents as modules, each of which imports two others by name: as files, or by the last symbol of a name."""
+    n = F.col("doc_id")
+    path = F.concat(F.lit("lib/m"), (n % 70).cast("string"), F.when(n % 3 == 0, ".py").when(n % 3 == 1, ".ts").otherwise(".java"))
+    content = F.concat(F.lit("import pkg.m"), (n % 90).cast("string"), F.lit("\nimport src"), (n % 23).cast("string"), F.lit("\n"))
+    chunks = t("documents").select(n.cast("string").alias("id"), path.alias("path"), F.col("source").alias("symbol"), content.alias("content"), n.alias("ordinal"))
+    return H.import_edges(chunks)[0].select(F.col("from").alias("src"), F.col("to").alias("dst"), "evidence")
+
+
+_TERMS = ("Idi_T%", "ía")
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}' AS term, doc_id FROM documents WHERE {_L.format('text')} LIKE {_L.format(repr('%' + x + '%'))}" for x in _TERMS))
+def find_by_postings(t):
+    """Terms with wildcards, and one too short for them, through an inverted index of trigrams; the rows are a scan's."""
+    chunks = t("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    posted = S.postings(chunks)
+    return reduce(DataFrame.unionByName, [S.like(chunks, posted, x).select(F.lit(x).alias("term"), F.col("chunk_id").alias("doc_id")) for x in _TERMS])
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id AS id, list_cosine_similarity(q.e, v.e) AS near FROM v q, v WHERE q.vec_id % 50 = 0)
+SELECT query, CAST(rank AS INT) AS rank, id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY near DESC, id DESC) AS rank FROM s) WHERE rank <= 10""")
+def vector_all_lists(t):
+    """Every fiftieth vector against all, by inverted lists that are all probed: the exact search."""
+    e = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    at = V.centroids(e, 32)
+    return V.nearest(V.listed(e, at), e.filter("id % 50 = 0"), at, 10).select("query", "rank", "id")
+
+
+@query()
+def vector_lists(t):
+    """As vector_all_lists with 20 of 32 lists probed: these vectors hardly form clusters. Tests measure how many true neighbours it finds."""
+    e = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    at = V.centroids(e, 32)
+    return V.nearest(V.listed(e, at), e.filter("id % 50 = 0"), at, 10, probes=20).select("query", "rank", "id")
+
+
 @query("""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark),
 h AS (SELECT item_id, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(w, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, b: (xor(a, b) * 16777619) % 4294967296) % 256 AS b FROM w), n AS (SELECT item_id, b, count(*)::DOUBLE AS n FROM h GROUP BY ALL)
 SELECT item_id, count(*) AS n_buckets, round(max(n) / sqrt(sum(n * n)), 6) AS top, round(sum(n * (b + 1)) / sqrt(sum(n * n)), 4) AS moment FROM n GROUP BY item_id""")

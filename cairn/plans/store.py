@@ -85,16 +85,19 @@ class Store:
         with contextlib.suppress(FileNotFoundError):
             self._fs.delete_dir(f"{self._top}/{at}")
 
-    def commit(self, tables: dict[str, DataFrame], buckets: list[int] | None = None, **state) -> None:
+    def commit(self, tables: dict[str, DataFrame], buckets: list[int] | None = None, order: dict[str, str] | None = None, **state) -> None:
         """Writes tables, or the given buckets of them, and moves a new manifest into place.
 
-        The given rows replace all rows of those buckets, and must lie in them. Large buckets become several files.
+        The given rows replace all rows of those buckets, and must lie in them. Large buckets become several files, in the `order` of a
+        column for tables that have one, so that readers skip what lies outside of a filter on it.
         """
         now = self._manifest()
         number, replaced = now["commit"] + 1, []
         for name, df in tables.items():
             at = f"{name}/c{number}-{uuid.uuid4().hex[:8]}"
-            df.withColumn("bucket", self.bucket()).hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(f"{self.home}/{at}")
+            dealt = df.withColumn("bucket", self.bucket()).hint("rebalance", F.col("bucket"))
+            dealt = dealt.sortWithinPartitions("bucket", order[name]) if name in (order or {}) else dealt
+            dealt.write.partitionBy("bucket").parquet(f"{self.home}/{at}")
             made = [x.base_name.removeprefix("bucket=") for x in self._fs.get_file_info(fs.FileSelector(f"{self._top}/{at}")) if x.base_name.startswith("bucket=")]
             table = now["tables"].setdefault(name, {"folders": {}, "schema": None})
             hit = [b for b in table["folders"] if buckets is None or int(b) in buckets]
