@@ -4,7 +4,9 @@ Every stretch of w characters of an item is a window, whatever its start. A regi
 least w + 1 - q * (e + 1) of its q-grams, all on diagonals that differ by at most e. So q-grams that a text shares with an item
 are put in overlapping bands of diagonals, windows that hold enough of a band's q-grams are kept, and a banded alignment of all of
 them at once decides. Counting of a text starts only where enough of its q-grams belong to any item, which the lemma needs as well,
-and goes on in slices of bounded size. Items of fewer characters than a q-gram are searched for directly, as whole words.
+and goes on in slices of bounded size. Items of less than SHORT characters have indexes of their own with q-grams so short that the
+lemma leaves enough of them at all their edits. Items of fewer characters than Q are searched for directly, as whole words. Of windows that
+an item repeats only the first is indexed, so a long run of one letter is as short as a window.
 
 Items are dealt into blocks of bounded size by hash; a task for each block writes its index to the shared folder. Workers read
 the indexes from there and hold a few at a time, so neither the driver nor a plan ever carries items.
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from ._base import U64, in_order, mixed, put, scratch, take
 
 Q, WINDOW, EDIT_SHARE, BLOCK_BYTES, RESIDENT, ROWS = 10, 100, 0.07, 4 << 20, 4, 1 << 20
+SHORT, SHORT_Q = 60, 6
 _BASE = U64(0x100000001B3)
 
 
@@ -56,6 +59,20 @@ def qgrams(x: np.ndarray, q: int) -> np.ndarray:
     return mixed(h)
 
 
+def _unrepeated(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """The stretches of an item that its windows of `size` characters cover, each distinct window once."""
+    if len(x) <= size:
+        return [x]
+    h = qgrams(x, size)
+    _, first = np.unique(h, return_index=True)
+    if len(first) == len(h):
+        return [x]
+    edge = np.zeros(len(x) + 1, np.int64)
+    np.add.at(edge, first, 1), np.add.at(edge, first + size, -1)
+    held = np.diff(np.concatenate(([0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0])))
+    return [x[a:b] for a, b in zip(np.flatnonzero(held == 1).tolist(), np.flatnonzero(held == -1).tolist(), strict=True)]
+
+
 @dataclass(frozen=True)
 class Index:
     """Items, one after the other in codes from their starts on, and their q-grams: those of key i begin at the places
@@ -81,11 +98,12 @@ class Index:
         for item, text in items:
             x = _codes(text)
             if len(x) >= q:
-                ids.append(item), codes.append(x)
+                for part in _unrepeated(x, size):
+                    ids.append(item), codes.append(part)
             elif len(x):
                 brief.append((item, x))
         sizes = np.array([min(len(x), size) for x in codes], np.int64)
-        edits = np.array([min(int(n * share), (n + 1) // q - 2 if n >= 2 * q else 0) for n in sizes.tolist()], np.int64).clip(0)
+        edits = np.array([min(int(n * share), n // q - 1) for n in sizes.tolist()], np.int64).clip(0)
         starts = np.concatenate(([0], np.cumsum([len(x) for x in codes], dtype=np.int64))).astype(np.int64)
         grams = [qgrams(x, q) for x in codes]
         all_ = np.concatenate(grams) if grams else np.empty(0, U64)
@@ -165,9 +183,13 @@ class Index:
         rows = np.repeat(self.first[key] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         place = self.place[rows].astype(np.int64)
         item = np.searchsorted(self.starts, place, "right") - 1
+        at = np.repeat(at, n)
+        if out:  # an item is found once
+            left = ~np.isin(self.items[item], np.fromiter(out, np.int64, len(out)))
+            place, item, at = place[left], item[left], at[left]
         place -= self.starts[item]
         base = int(np.diff(self.starts).max())
-        diagonal = np.repeat(at, n) - place + base
+        diagonal = at - place + base
         step = int(self.edits.max()) + 1
         for shift in (0, step):  # bands of 2 * step diagonals, the second set half a band on
             group = item * (1 << 40) + (diagonal + shift) // (2 * step)
@@ -241,15 +263,21 @@ def aligned(a: np.ndarray, starts: np.ndarray, size: int, x: np.ndarray, low: in
 
 
 def write_indexes(benchmark: DataFrame, uri: str, limit: int = BLOCK_BYTES, **how) -> list[str]:
-    """Writes the indexes of blocks of about `limit` bytes of items each under uri; returns their names, one a block."""
+    """Writes the indexes of blocks of about `limit` bytes of items each under uri, one of long and one of short items a block; returns their names."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // limit))
 
     def run(group: pa.Table) -> pa.Table:
-        name, attempt = f"block-{group.column('block')[0].as_py():07d}.npz", str(TaskContext.get().taskAttemptId())
-        put(uri, name, Index.packed(list(zip(group.column("item_id").to_pylist(), group.column("text").to_pylist(), strict=True)), **how), attempt)
-        return pa.table([pa.array([name])], names=["name"])
+        block, attempt = group.column("block")[0].as_py(), str(TaskContext.get().taskAttemptId())
+        items = list(zip(group.column("item_id").to_pylist(), group.column("text").to_pylist(), strict=True))
+        short = [Q <= len(_codes(text)) < SHORT for _, text in items]
+        names = []
+        for kind, q, some in (("long", Q, [x for x, s in zip(items, short, strict=True) if not s]), ("short", SHORT_Q, [x for x, s in zip(items, short, strict=True) if s])):
+            if some:
+                names.append(f"{kind}-{block:07d}.npz")
+                put(uri, names[-1], Index.packed(some, q, **how), attempt)
+        return pa.table([pa.array(names, pa.string())], names=["name"])
 
     dealt = rows.filter("item_id is not null").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     return sorted(r.name for r in dealt.groupBy("block").applyInArrow(run, "name string").collect())
@@ -289,7 +317,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, schema, emit: Callable[[pa.Rec
 def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """doc_id, contaminated, n_items and item_ids (joined by commas) for every row of docs (doc_id, text, ...).
 
-    Null and empty texts, items and tables are clean; items without an item_id are left out. Items shorter than q characters count
+    Null and empty texts, items and tables are clean; items without an item_id are left out. Items shorter than Q characters count
     where they stand as whole words. Very long texts are searched whole, in slices. Repeated rows and rows without a doc_id are
     judged each. Other columns of docs and of benchmark (item_id, text, ...) are ignored.
     """

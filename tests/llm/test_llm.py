@@ -524,6 +524,35 @@ def test_decontamination_equals_brute_force_over_all_windows():
     assert seen == {True, False}
 
 
+def test_decontamination_edits_at_every_length(spark):
+    """int(0.07 n) substitutions in an item of every length from 10 to 120 are found, one more than that isn't."""
+    rng = np.random.default_rng(23)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    items, texts = [], []
+    for n in range(10, 121):
+        item = rng.choice(letters, n).tolist()
+        size = min(n, decontaminate.WINDOW)
+        for extra, want in ((0, True), (1, False)):
+            x = list(item)
+            for k in np.linspace(0, size - 1, int(0.07 * size) + extra + 2)[1:-1].astype(int) if extra == 0 else np.arange(0, n, max(1, size // (int(0.07 * size) + 2)))[: n]:
+                x[k] = "x"
+            texts.append((len(texts), f"{'ab ' * int(rng.integers(0, 5))}{''.join(x)} cd", n, want))
+        items.append((n, "".join(item)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.contamination(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string"), bench).collect()}
+    assert [(n, want) for i, _, n, want in texts if (got[i] == str(n)) != want] == []
+
+
+def test_decontamination_of_repetitive_items_is_quick():
+    import time
+
+    codes = lambda x: np.frombuffer(decontaminate.folded(x), "<u4")
+    index = decontaminate.Index.of([(1, "a" * 100_000), (2, "ab" * 30_000 + "c" * 50_000)])
+    begun = time.time()
+    assert index.found(codes("a" * 100_000)) == [1] and index.found(codes("x " + "ba" * 2000)) == [2] and index.found(codes("d" * 50 + "c" * 99 + "e")) == [2] and index.found(codes("b" * 100_000)) == []
+    assert time.time() - begun < 5 and len(index.codes) < 1000
+
+
 def test_decontamination_counts_long_runs_in_slices(monkeypatch):
     codes = lambda x: np.frombuffer(decontaminate.folded(x), "<u4")
     rng = np.random.default_rng(17)
