@@ -209,10 +209,10 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a worker and path."""
+def encoder(path: str, bound: int = 500_000) -> Encoder:
+    """One encoder a worker and path; the first caller's bound holds."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, bound)
     return _ENCODERS[path]
 
 

@@ -112,18 +112,27 @@ def _sent(docs: DataFrame, ranges: int, tokens: int) -> DataFrame:
     return docs.mapInArrow(run, _SENT)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Counts as byte planes, of four bytes each where they fit and eight where they don't; the first byte says which."""
+    wide = len(x) and int(x.max()) >> 32
+    return (b"\x08" if wide else b"\x04") + planes(x.astype(U64 if wide else np.uint32))
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return unplanes(data[1:], U64 if data[0] == 8 else np.uint32).astype(np.int64)
+
+
 def _totals(group: pa.Table) -> pa.Table:
     """For one range and kind: every chunk's keys with the counts of all chunks; and, as chunk -1, the tokens and distinct words."""
     keys = [_undelta(x.as_py()) for x in group.column("keys")]
-    early, late = ([unplanes(x.as_py(), np.uint32) for x in group.column(name)] for name in ("early", "late"))
     all_, back = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = [np.bincount(back, weights=np.concatenate(x), minlength=len(all_)).astype(np.int64) for x in (early, late)]
+    sums = [np.bincount(back, weights=np.concatenate([unplanes(x.as_py(), np.uint32) for x in group.column(name)]), minlength=len(all_)).astype(np.int64) for name in ("early", "late")]
     kind, r = group.column("kind")[0].as_py(), group.column("range")[0].as_py()
     out, at = [], 0
     for chunk, k, mark in zip(group.column("chunk").to_pylist(), keys, group.column("mark").to_pylist(), strict=True):
         mine = back[at : at + len(k)]
         at += len(k)
-        out.append((r, chunk, kind, None, planes(sums[0][mine].astype(U64)), planes(sums[1][mine].astype(U64)), None, mark))
+        out.append((r, chunk, kind, None, _packed(sums[0][mine]), _packed(sums[1][mine]), None, mark))
     if kind == 1:
         stats = np.array([sums[0].sum(), sums[1].sum(), (sums[0] > 0).sum(), ((sums[0] + sums[1]) > 0).sum()], np.int64)
         out.append((r, -1, 0, None, None, None, stats.tobytes(), 0))
@@ -169,7 +178,7 @@ def _met(group: pa.Table) -> pa.Table:
     def counts(kind: int) -> tuple[np.ndarray, np.ndarray]:
         rows = np.flatnonzero(kinds == kind)
         rows = rows[np.argsort(ranges[rows])]
-        return tuple(np.concatenate([unplanes(group.column(c)[int(i)].as_py(), U64) for i in rows]).astype(np.int64) for c in ("early", "late"))
+        return tuple(np.concatenate([_unpacked(group.column(c)[int(i)].as_py()) for i in rows]) for c in ("early", "late"))
 
     sizes = np.frombuffer(own["sizes"], np.uint32).astype(np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)))
@@ -180,7 +189,7 @@ def _met(group: pa.Table) -> pa.Table:
     h, w, hw = early[before[test]], early[word[test]], early2[bigram[test]]
     code = (_octave(h) << 20) | (_bin(hw / np.maximum(h, 1)) << 10) | _bin(w / 2.0**30)
     codes, weights = np.unique(code, return_counts=True)
-    row = (1, own["ids"], own["fold"], own["sizes"], own["word"], planes((early + late).astype(U64)), planes((early2 + late2)[bigram].astype(U64)), codes.astype(np.int64).tobytes(), weights.astype(np.int64).tobytes())
+    row = (1, own["ids"], own["fold"], own["sizes"], own["word"], _packed(early + late), _packed((early2 + late2)[bigram]), codes.astype(np.int64).tobytes(), weights.astype(np.int64).tobytes())
     return pa.table([pa.array([x], f.type) for x, f in zip(row, _CHUNK, strict=True)], schema=_CHUNK)
 
 
@@ -241,14 +250,14 @@ def lm_scores(docs: DataFrame, ranges: int | None = None, tokens: int = CHUNK) -
             for r in batch.to_pylist():
                 sizes = np.frombuffer(r["sizes"], np.uint32).astype(np.int64)
                 starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-                word, count = unplanes(r["word"], np.uint32).astype(np.int64), unplanes(r["counts"], U64).astype(np.int64)
+                word, count = unplanes(r["word"], np.uint32).astype(np.int64), _unpacked(r["counts"])
                 c = count[word]
                 end = c[starts[0] + sizes[0] - 1]
                 h = np.empty(len(c), np.int64)
                 h[1:] = c[:-1]
                 h[starts] = end
                 share = mix[_octave(h)]
-                p = share[:, 0] * unplanes(r["pairs"], U64) / np.maximum(h, 1) + share[:, 1] * c / max(n, 1) + share[:, 2] / (v + 1)
+                p = share[:, 0] * _unpacked(r["pairs"]) / np.maximum(h, 1) + share[:, 1] * c / max(n, 1) + share[:, 2] / (v + 1)
                 total = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -117,7 +117,7 @@ def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int = 1, blo
     """Writes the files under uri and returns their manifest (name, part, seq, n_docs, n_ids); evaluating it writes them."""
 
     def run(batches):
-        codec, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        codec, end = encoder(path, 1_000_000), np.array([end_id], "<u4").tobytes()
         task = TaskContext.get()
         part, attempt = task.partitionId(), str(task.taskAttemptId())
         doc_ids, ids, size, made = [], [], 0, []
