@@ -17,6 +17,7 @@ that cross the network is then chunks times ranges.
 
 from __future__ import annotations
 
+import ctypes
 import math
 
 import numpy as np
@@ -34,6 +35,13 @@ FINE = 8  # bins an octave
 BUCKETS = 32
 
 
+def _trimmed() -> None:
+    """Gives freed memory back to the system, which allocators else keep for the next chunk or group."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _chunks(batches, tokens: int):
     """(chunk id, doc ids, fold, token hashes, starts) for runs of whole documents of about `tokens` tokens.
 
@@ -59,6 +67,7 @@ def _chunks(batches, tokens: int):
         if sum(map(len, h)) >= tokens:
             yield whole()
             ids, fold, h, n = [], [], [], [0]
+            _trimmed()
     if ids:
         yield whole()
 
@@ -133,6 +142,8 @@ def _totals(group: pa.Table) -> pa.Table:
         mine = back[at : at + len(k)]
         at += len(k)
         out.append((r, chunk, kind, None, _packed(sums[0][mine]), _packed(sums[1][mine]), None, mark))
+    del back, keys
+    _trimmed()
     if kind == 1:
         stats = np.array([sums[0].sum(), sums[1].sum(), (sums[0] > 0).sum(), ((sums[0] + sums[1]) > 0).sum()], np.int64)
         out.append((r, -1, 0, None, None, None, stats.tobytes(), 0))
@@ -189,6 +200,7 @@ def _met(group: pa.Table) -> pa.Table:
     h, w, hw = early[before[test]], early[word[test]], early2[bigram[test]]
     code = (_octave(h) << 20) | (_bin(hw / np.maximum(h, 1)) << 10) | _bin(w / 2.0**30)
     codes, weights = np.unique(code, return_counts=True)
+    _trimmed()
     row = (1, own["ids"], own["fold"], own["sizes"], own["word"], _packed(early + late), _packed((early2 + late2)[bigram]), codes.astype(np.int64).tobytes(), weights.astype(np.int64).tobytes())
     return pa.table([pa.array([x], f.type) for x, f in zip(row, _CHUNK, strict=True)], schema=_CHUNK)
 
