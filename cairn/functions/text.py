@@ -15,7 +15,7 @@ LANGUAGES = {
 # Folders that a scan passes by.
 IGNORED_DIRS = [
     "node_modules", "target", "build", "dist", "out", ".git", ".idea", ".vscode", ".vs", "coverage", ".gradle", ".mvn", "bin", "obj",
-    "__pycache__", ".pytest_cache", ".tmp", ".mypy_cache", ".venv", "venv", ".next", ".nuxt", ".cache", "vendor", ".brain", "generated", "gen",
+    "__pycache__", ".pytest_cache", ".tmp", ".mypy_cache", ".venv", "venv", ".next", ".nuxt", ".cache", "vendor", "generated", "gen",
 ]
 # Folders that hold one layer of a feature.
 LAYER_DIRS = [
