@@ -117,7 +117,8 @@ def fit(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, bits: int = 18, feat
 def learned(docs: DataFrame, labels: DataFrame, sample: int = 30_000, bits: int = 18, **how) -> Machine:
     """A machine from at most `sample` labelled documents whose crc32(doc_id) mod 5 isn't 0; the driver holds that sample only.
 
-    Several labels of one document count as their largest, of several texts the one with the least terms counts; null labels don't.
+    Several labels of one document count as their largest, of several texts the one whose hashed terms come first as bytes (an empty one before
+    all); null labels don't.
     """
     y = labels.filter("doc_id is not null and toxic is not null").filter(remainder5() != 0).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(remainder5() != 0)
