@@ -80,26 +80,44 @@ def merged(candidates: DataFrame, weights: dict[str, float]) -> DataFrame:
     return by.agg(F.min("ordinal").alias("ordinal"), F.min_by("source", F.struct(-F.col("_w"), "ordinal")).alias("source"), F.max("base").alias("base"), reasons.alias("reasons"))
 
 
-def budget_packed(items: DataFrame, group: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
+def budget_packed(items: DataFrame, group: list[str], order: list[str], cost: str, budget: int, salts: int = 16) -> DataFrame:
     """Greedy packing with skips over each group's rows in order: the first always goes in, later ones if they fit.
 
-    A group's rows stream through one task in order, and only a sum is held for it.
+    `order` is to be total within a group; costs are whole numbers, null and negative ones count as nothing.
+
+    What is left of a budget only falls, so of the rows of one cost a packing takes the first ones, budget / cost at most, and of
+    those over the budget the first at most. Rows are cut to that by cost before a group meets in one task, in `salts` parts of a
+    cost first, so a task sees about budget * ln(budget) rows of a group however many it has. Rows that cost nothing fit unless the
+    first row bursts the budget; they don't go through that task, but for the first.
     """
-    ranked = items.repartition(*group).sortWithinPartitions(*group, *order)
+    free, over = F.lit(0), F.lit(budget + 1)
+    kind = F.least(F.greatest(F.coalesce(F.col(cost).cast("long"), free), free), over)
+    most = F.when((F.col("_kind") > 0) & (F.col("_kind") <= budget), F.floor(F.lit(budget) / F.col("_kind"))).otherwise(1)
+    rows = items.withColumns({"_kind": kind, "_salt": F.pmod(F.xxhash64(*order), F.lit(salts))})
+
+    def cut(df: DataFrame, *by: str) -> DataFrame:
+        return df.withColumn("_n", F.row_number().over(Window.partitionBy(*group, *by).orderBy(*order))).filter(F.col("_n") <= most)
+
+    few = cut(cut(rows, "_kind", "_salt"), "_kind").drop("_salt", "_n")
 
     def run(batches):
         last, used = None, 0
         for batch in batches:
             keys = list(zip(*(batch.column(batch.schema.get_field_index(g)).to_pylist() for g in group), strict=True))
             took = []
-            for key, n in zip(keys, batch.column(batch.schema.get_field_index(cost)).to_pylist(), strict=True):
+            for key, n in zip(keys, batch.column(batch.schema.get_field_index("_kind")).to_pylist(), strict=True):
                 fits = key != last or used + n <= budget
                 used = (0 if key != last else used) + (n if fits else 0)
                 last = key
                 took.append(fits)
             yield batch.filter(pa.array(took, pa.bool_()))
 
-    return ranked.mapInArrow(run, ranked.schema)
+    ranked = few.repartition(*group).sortWithinPartitions(*group, *order)
+    packed = ranked.mapInArrow(run, ranked.schema)
+    burst = packed.filter(F.col("_kind") > budget).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)])
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)])
+    nothing = rows.filter("_kind = 0").join(burst, same, "left_anti")
+    return packed.filter("_kind > 0").select(*items.columns).unionByName(nothing.select(*items.columns))
 
 
 def k_hops(edges: DataFrame, seeds: DataFrame, k: int, stage=None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Retrieval operators, grouped routes, the incremental index, the queue and the verifier over small trees and tables."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +211,29 @@ def test_scores_of_every_term(spark):
     sure = H.confidence(H.scored(rows, p).filter("chunk_id = '1'"), p).first()
     assert sure.confidence == 0.95 and sure.coverage == 0.5 and sure.reason.startswith("good: best score 8 or more")
     assert H.confidence(H.scored(rows.filter("false"), p), p).first().confidence == 0.1
+
+
+def test_budget_pack_equals_the_fold(spark):
+    """Groups of one row to a third of all rows, zeros, nulls, first rows over the budget, null groups, a clashing column."""
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["hot", "hot", "a", "b", None]), i, rnd.choice([0, None, 1, 1, 2, 3, 7, 20, 60, 99, 100, 101, 500]), f"t{i}") for i in range(3000)]
+    rows += [("burst", -3, 500, "x"), ("burst", -2, 0, "y"), ("burst", -1, 1, "z"), ("zeros", -2, 0, "p"), ("zeros", -1, None, "q"), ("one", -1, 7, "r"), ("late", -2, 99, "s"), ("late", -1, 500, "t")]
+    rows += [("hot", 10_000 + i, 1, "u") for i in range(1500)]
+    got = R.budget_packed(spark.createDataFrame(rows, "g string, at int, n int, kept string").repartition(7), ["g"], ["at"], "n", 100)
+    used, want = {}, set()
+    for g, at, n, text in sorted(rows, key=lambda r: r[1]):
+        n = n or 0
+        if g not in used or used[g] + n <= 100:
+            used[g] = used.get(g, 0) + n
+            want.add((g, at, n, text))
+    assert got.columns == ["g", "at", "n", "kept"] and {(r.g, r.at, r.n or 0, r.kept) for r in got.collect()} == want and got.count() == len(want)
+    assert R.budget_packed(spark.createDataFrame([], "g string, at int, n int"), ["g"], ["at"], "n", 100).count() == 0
+
+
+def test_budget_pack_cuts_before_a_group_meets(spark):
+    """200,000 rows of one group: the task that packs it sees at most budget / cost rows of each cost, and one over the budget."""
+    items = spark.range(200_000).select(F.lit("g").alias("g"), "id", (F.col("id") % 50).alias("n"))
+    got = [r.n for r in R.budget_packed(items, ["g"], ["id"], "n", 40).collect()]
+    assert got.count(0) == 4000 and sorted(x for x in got if x) == [1, 1, 1, 2, 2, 3, 4, 5, 6, 7, 8]
+    plan = R.budget_packed(items, ["g"], ["id"], "n", 40)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("row_number")
