@@ -8,6 +8,7 @@ import subprocess
 from copy import deepcopy
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,30 +24,94 @@ DEFAULTS = {
 }
 
 
+def _top(root: str) -> str:
+    return (root if "://" in root else "file://" + os.path.abspath(root.removeprefix("file:"))).rstrip("/")
+
+
+def _store(address: str):
+    """The file system of an address and the place there; names aren't escaped in addresses."""
+    from pyarrow import fs
+
+    scheme, _, rest = address.partition("://")
+    if scheme == "file":
+        return fs.LocalFileSystem(), rest
+    host, _, below_ = rest.partition("/")
+    store, at = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return store, f"{at.rstrip('/')}/{below_}"
+
+
+def _unfolded(rows: DataFrame, deep: bool) -> DataFrame:
+    """Rows (address, path, size_bytes, last_modified_at, folder) with what is in each folder in its place; all below it if `deep`.
+
+    Ignored folders aren't entered, nor are links to folders, which may lead back. A folder that vanishes meanwhile is empty; the
+    root, whose path is empty, has to be there.
+    """
+    schema, skip = rows.schema, frozenset(T.IGNORED_DIRS)
+
+    def run(batches):
+        from pyarrow import fs
+
+        def packed(found):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_()), strict=True)], schema.names)
+
+        for batch in batches:
+            yield batch.filter(pa.compute.invert(batch.column(4)))
+            todo, found = batch.filter(batch.column(4)).select([0, 1]).to_pylist(), []
+            while todo:
+                at = todo.pop()
+                store, place = _store(at["address"])
+                for x in store.get_file_info(fs.FileSelector(place, allow_not_found=at["path"] != "")):
+                    one = {"address": f"{at['address']}/{x.base_name}", "path": f"{at['path']}/{x.base_name}".lstrip("/")}
+                    folder = x.type == fs.FileType.Directory
+                    if folder and (x.base_name in skip or (store.type_name == "local" and os.path.islink(x.path))):
+                        continue
+                    if folder and deep:
+                        todo.append(one)
+                    elif folder or x.type == fs.FileType.File:
+                        found.append((*one.values(), 0 if folder else x.size, None if folder else x.mtime, folder))
+                    if len(found) == 10_000:
+                        yield packed(found)
+                        found = []
+            if found:
+                yield packed(found)
+
+    return rows.mapInArrow(run, schema)
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """address, path (below root), language, size_bytes and last_modified_at of supported files outside ignored folders; no content is read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).drop("content")
-    below = F.regexp_replace("path", "^(?:file:)?/*" + root.removeprefix("file:").strip("/").replace(".", r"\.") + "/", "")
-    rows = rows.select(F.col("path").alias("address"), below.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified_at"))
+    """address, path (below root), language, size_bytes and last_modified_at of supported files outside ignored folders; no content is read.
+
+    Empty files and names with a leading underscore count, which Spark's own readers pass by. Two levels of folders are listed one after
+    the other and spread, then each task walks what lies below its folders.
+    """
+    rows = spark.createDataFrame([(_top(root), "", 0, None, True)], "address string, path string, size_bytes long, last_modified_at timestamp, folder boolean")
+    for deep in (False, False, True):
+        rows = _unfolded(rows, deep)
+        rows = rows if deep else rows.repartition("path")
+    return _supported(rows.drop("folder"))
+
+
+def _supported(rows: DataFrame) -> DataFrame:
+    """Times as exact as a stored snapshot's, and languages; other files go."""
+    rows = rows.withColumn("last_modified_at", F.date_trunc("millisecond", "last_modified_at"))
     return rows.withColumn("language", T.detect_language(F.col("path"))).filter(F.col("language").isNotNull() & ~T.ignored(F.col("path")))
 
 
 def named(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     """As `listing`, of given paths below root; each is looked up where its row is, and the tree isn't listed."""
-    top = root if "://" in root else "file://" + os.path.abspath(root.removeprefix("file:"))
+    top = _top(root)
 
     def run(batches):
         from pyarrow import fs
 
         for batch in batches:
-            store, at = fs.FileSystem.from_uri(top)
+            store, at = _store(top)
             found = [(p, x) for p in batch.column(0).to_pylist() if (x := store.get_file_info(f"{at}/{p}")).type == fs.FileType.File]
             yield pa.RecordBatch.from_arrays([pa.array([f"{top}/{p}" for p, _ in found], pa.string()), pa.array([p for p, _ in found], pa.string()), pa.array([x.size for _, x in found], pa.int64()), pa.array([x.mtime for _, x in found], pa.timestamp("us", "UTC"))], ["address", "path", "size_bytes", "last_modified_at"])
 
     given = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string")
     rows = given.mapInArrow(run, "address string, path string, size_bytes long, last_modified_at timestamp")
-    rows = rows.withColumn("last_modified_at", F.date_trunc("millisecond", "last_modified_at"))  # as in a listing
-    return rows.withColumn("language", T.detect_language(F.col("path"))).filter(F.col("language").isNotNull() & ~T.ignored(F.col("path")))
+    return _supported(rows)
 
 
 def with_content(files: DataFrame) -> DataFrame:
@@ -54,13 +119,11 @@ def with_content(files: DataFrame) -> DataFrame:
     schema = files.schema
 
     def run(batches):
-        from pyarrow import fs
-
         for batch in batches:
             at, data, kept = batch.schema.get_field_index("address"), [], []
             for i, address in enumerate(batch.column(at).to_pylist()):
                 try:
-                    store, path = fs.FileSystem.from_uri(address if "://" in address else "file://" + "/" + address.removeprefix("file:").lstrip("/"))
+                    store, path = _store(address)
                     with store.open_input_stream(path) as f:
                         data.append(f.read())
                     kept.append(i)

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from cairn.operators import code
 from cairn.plans import planner
 from cairn.sources import files
@@ -75,3 +77,23 @@ def test_change_stream(spark, tmp_path):
     changes.drain(changes.source(spark, str(landing), 1), str(tmp_path / "queue"), str(tmp_path / "cp")).awaitTermination(90)
     got = {(r.path, r.event_type, r.priority) for r in spark.read.parquet(str(tmp_path / "queue/v2")).collect()}
     assert got == {("a", "deleted", 30), ("b", "created", 10)}
+
+
+def test_scan_sees_every_supported_file(spark, tmp_path):
+    """Empty files, names with underscores, spaces and signs, deep folders; ignored folders aren't entered and links don't lead back."""
+    given = {"pkg/__init__.py": "", "_top.py": "t = 1\n", "a b#1%20?.py": "s = 1\n", "_private/x.py": "x = 1\n", ".hidden/h.py": "h = 1\n", "a/b/c/d/e/deep.py": "d = 1\n", "é.py": "e = 1\n"}
+    passed = {"node_modules/n.py": "n", "a/b/c/target/t.py": "t", "note.bin": "", "build/b.py": ""}
+    for path, text in (given | passed).items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    (tmp_path / "a" / "loop").symlink_to(tmp_path, target_is_directory=True)
+    (tmp_path / "a" / "b" / "c" / "target").chmod(0)
+    found = files.scan(spark, str(tmp_path))
+    assert {r.path: r.text for r in found.collect()} == given
+    (tmp_path / "a" / "b" / "c" / "target").chmod(0o755)
+    whole, some = files.scan(spark, str(tmp_path), content=False), files.scan(spark, str(tmp_path), paths=[*given, "none.py", "a"])
+    assert whole.columns == ["path", "language", "size_bytes", "last_modified_at"] and sorted(whole.collect()) == sorted(some.select(whole.columns).collect())
+    (tmp_path / "empty").mkdir()
+    assert files.scan(spark, str(tmp_path / "empty")).count() == 0
+    with pytest.raises(Exception, match="none"):
+        files.scan(spark, str(tmp_path / "none")).count()
