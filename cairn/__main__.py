@@ -1,4 +1,4 @@
-"""python -m cairn HOME COMMAND ...: index, status, ask, context, enqueue, drain and settings from a shell."""
+"""python -m cairn HOME COMMAND ...: index, status, ask, context, enqueue, drain, watch, commits and settings from a shell."""
 
 from __future__ import annotations
 
@@ -11,10 +11,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("home", help="folder of the index's tables")
     p.add_argument("--settings", help="JSON file of settings")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in {"index": ["root"], "status": [], "ask": ["question"], "context": ["prompt"], "enqueue": ["root", "paths"], "drain": ["root"], "refresh": ["root"], "scan": ["root"], "settings": []}.items():
+    for name, args in {"index": ["root"], "status": [], "ask": ["question"], "context": ["prompt"], "enqueue": ["root", "paths"], "drain": ["root"], "refresh": ["root"], "scan": ["root"], "watch": ["root"], "commits": ["root"], "settings": []}.items():
         one = sub.add_parser(name)
         for a in args:
             one.add_argument(a, nargs="+" if a in ("paths", "question", "prompt") else None)
+        if name in ("watch", "commits"):
+            one.add_argument("--every", help='as "10 seconds": runs until stopped; else once')
     return p
 
 
@@ -43,6 +45,13 @@ def run(spark, args: argparse.Namespace) -> str:
             return json.dumps(engine.git_refresh(args.root))
         case "scan":
             return str(engine.hash_scan(args.root))
+        case "watch" | "commits":
+            from cairn.streaming import changes
+
+            at = f"{args.home.rstrip('/')}-streams/{args.command}"
+            query = changes.follow_tree(engine, args.root, f"{at}/snapshots", f"{at}/checkpoint", args.every) if args.command == "watch" else changes.follow_git(engine, args.root, f"{at}/checkpoint", args.every)
+            query.awaitTermination()
+            return f"{engine.pending()} pending"
         case _:
             return json.dumps(settings, indent=2)
 

@@ -17,6 +17,7 @@ from cairn.operators import retrieval as H
 from cairn.operators import search as S
 from cairn.operators import vectors as V
 from cairn.plans import planner, prompts
+from cairn.streaming import trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -549,3 +550,21 @@ def json_columns(t):
 def ordered_distinct(t):
     w = Window.partitionBy(F.lower(F.trim("source"))).orderBy("doc_id")
     return t("documents").withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("doc_id", "lang")
+
+
+@query("""WITH o AS (SELECT o_custkey, max(o_totalprice) AS top, count(*) FILTER (o_orderstatus = 'F') AS n_f FROM orders GROUP BY o_custkey),
+old AS (SELECT 'c/' || c_custkey AS path, c_nationkey::BIGINT AS size, c_acctbal AS mt FROM customer),
+new AS (SELECT CASE WHEN top > 460000 THEN 'moved/' ELSE 'c/' END || c_custkey AS path, c_nationkey + CASE WHEN n_f > 5 THEN 1::BIGINT ELSE 0 END AS size, c_acctbal AS mt FROM customer JOIN o ON c_custkey = o_custkey),
+b AS (SELECT coalesce(n.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'created' WHEN n.path IS NULL THEN 'deleted' WHEN n.size IS DISTINCT FROM o.size OR n.mt IS DISTINCT FROM o.mt THEN 'modified' END AS event_type,
+  coalesce(n.size, o.size) AS size, coalesce(n.mt, o.mt) AS mt FROM old o FULL JOIN new n ON o.path = n.path),
+m AS (SELECT min(path) FILTER (event_type = 'created') AS path, min(path) FILTER (event_type = 'deleted') AS moved_from FROM b WHERE event_type IN ('created', 'deleted') GROUP BY size, mt
+  HAVING count(*) FILTER (event_type = 'created') = 1 AND count(*) FILTER (event_type = 'deleted') = 1)
+SELECT b.path, CASE WHEN m.path IS NULL THEN event_type ELSE 'renamed' END AS event_type, moved_from FROM b LEFT JOIN m ON b.path = m.path WHERE event_type IS NOT NULL""")
+def snapshot_changes(t):
+    """Customers as a tree before and after their orders: those with dear ones have moved, those without any are gone."""
+    o = t("orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("top"), F.count_if(F.col("o_orderstatus") == "F").alias("n_f"))
+    size, key = F.col("c_nationkey").cast("long"), F.col("c_custkey").cast("string")
+    snap = lambda rows, folder, n: rows.select(F.concat(folder, key).alias("path"), n.alias("size_bytes"), F.col("c_acctbal").alias("last_modified_at"))
+    now = t("customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
+    new = snap(now, F.when(F.col("top") > 460000, "moved/").otherwise("c/"), size + F.when(F.col("n_f") > 5, 1).otherwise(0))
+    return trees.compared(snap(t("customer"), F.lit("c/"), size), new)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from cairn.operators import relational as R
 from cairn.plans.engine import Engine
+from cairn.sources import git_stream
+from cairn.streaming import trees
 
 EVENT = "id long, path string, event_type string, priority int, created_at timestamp"
 
@@ -54,16 +56,31 @@ def moved(old: str, new: str, first_id: int, priority: int) -> list[tuple[int, s
     return [(first_id, old, "deleted", priority), (first_id + 1, new, "renamed", priority)]
 
 
-def follow(events: DataFrame, engine: Engine, root: str, checkpoint: str, every: str | None = None):
-    """Keeps an index up to date: each micro-batch goes into the queue, one row a path, and the queue is drained.
-
-    With `every` (as "10 seconds") it runs until stopped, else over what has landed. A repeated batch indexes the same files again.
-    """
+def _indexed(engine: Engine, root: str):
+    """What a stream does with a batch of events: into the queue, one row a path, and the queue is drained."""
 
     def run(batch: DataFrame, number: int) -> None:
         engine.enqueue_rows(batch.select("id", "path", "event_type", "priority", "created_at"))
         while engine.drain(root, engine.settings["indexing"]["stream_files"])["processed"]:
             pass
 
-    writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return run
+
+
+def follow(events: DataFrame, engine: Engine, root: str, checkpoint: str, every: str | None = None):
+    """Keeps an index up to date with a stream of events.
+
+    With `every` (as "10 seconds") it runs until stopped, else over what has landed. A repeated batch indexes the same files again.
+    """
+    writer = events.writeStream.foreachBatch(_indexed(engine, root)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def follow_git(engine: Engine, root: str, checkpoint: str, every: str | None = None, **options):
+    """Keeps an index up to date with the commits of a repository; options as of `git_stream.GitChanges`."""
+    return follow(git_stream.commits(engine.spark, root, **options), engine, root, checkpoint, every)
+
+
+def follow_tree(engine: Engine, root: str, home: str, checkpoint: str, every: str | None = None):
+    """Keeps an index up to date with a tree, by snapshots below `home`; files that it holds already pass its hash gate."""
+    return trees.watch(engine.spark, root, home, _indexed(engine, root), checkpoint, every)

@@ -6,8 +6,9 @@ import subprocess
 
 import pytest
 
+from cairn.plans import engine
 from cairn.sources import git_stream
-from cairn.streaming import trees
+from cairn.streaming import changes, trees
 
 
 @pytest.fixture
@@ -86,3 +87,23 @@ def test_watched_tree_over_restarts_and_repeats(spark, tmp_path):
     assert rest == [(2, "n.py", "deleted")]
     shutil.rmtree(home)
     assert [x[1:] for x in go()] == [("b.py", "created"), ("m.py", "created")]
+
+
+def test_an_index_follows_commits_and_a_tree(spark, repo, tmp_path):
+    root, run = repo
+    (root / "a.py").write_text("def one():\n    pass\n"), (root / "__init__.py").write_text("")
+    run("add", "."), run("commit", "-m", "one")
+    e = engine.Engine(spark, str(tmp_path / "home"))
+    e.index(str(root))
+    first = run("rev-parse", "HEAD").stdout.decode().strip()
+    names = lambda: {r["name"] for r in e.table("symbols").collect()}
+    run("mv", "a.py", "m.py"), (root / "b.py").write_text("def two():\n    pass\n")
+    run("add", "."), run("commit", "-m", "two")
+    changes.follow_git(e, str(root), str(tmp_path / "git-at"), since=first).awaitTermination()
+    assert names() == {"one", "two"} and {r.path for r in e.table("files").collect()} == {"m.py", "b.py", "__init__.py"} and e.pending() == 0
+    (root / "b.py").unlink(), (root / "c.py").write_text("def three():\n    pass\n")
+    changes.follow_tree(e, str(root), str(tmp_path / "snapshots"), str(tmp_path / "tree-at")).awaitTermination()
+    assert "three" in names() and e.pending() == 0
+    (root / "c.py").unlink()
+    changes.follow_tree(e, str(root), str(tmp_path / "snapshots"), str(tmp_path / "tree-at")).awaitTermination()
+    assert "three" not in names()
