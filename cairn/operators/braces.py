@@ -1,8 +1,8 @@
-"""Symbols of languages with braces (Java, TypeScript, JavaScript): one pass over blocks, then each head is classified.
+"""Symbols of Java: one pass over blocks, then each head is classified.
 
 Comments and strings are blanked first, so that braces and names in them don't count. A head is the text before a `{` or `;`
-outside round brackets; its annotations are cut out of it. A source that doesn't balance gives the symbols found so far, and
-its open blocks end at the last line.
+outside round brackets; its annotations are cut out of it. In a source whose brackets don't balance the pass takes its bearings
+anew from each line that can only begin a member or a type, so that a lost bracket costs the method it is lost in.
 """
 
 from __future__ import annotations
@@ -15,20 +15,14 @@ _NOISE = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[
 _STRING = re.compile(r"[\"'`]([^\"'`\n]*)[\"'`]")
 _ANNOTATION = re.compile(r"@(?!interface\b)([A-Za-z_][\w.]*)")
 _CALL = re.compile(r"(?<![\w@])([A-Za-z_$][\w$]*)\s*\(")
-_NOT_CALLS = {"if", "for", "while", "switch", "catch", "return", "new", "synchronized", "try", "throw", "super", "this", "function", "await", "typeof", "constructor", "assert", "else", "do", "in", "of", "import"}
+NOT_CALLS = {"if", "for", "while", "switch", "catch", "return", "new", "synchronized", "try", "throw", "super", "this", "function", "await", "typeof", "constructor", "assert", "else", "do", "in", "of", "import"}
 _TYPE = re.compile(r"\b(class|interface|@interface|enum|record)\s+([A-Za-z_$][\w$]*)([^=]*)$", re.S)
-_VERB = "get|post|put|delete|patch|head|options"
 
 _JAVA_METHOD = re.compile(r"(?P<before>(?:[\w.<>\[\],?&]+\s+)*)(?P<name>[A-Za-z_$][\w$]*)\s*\((?P<args>.*)\)\s*(?:throws\s[\w.,\s]+)?$", re.S)
 _JAVA_FIELD = re.compile(r"(?P<before>(?:[\w.<>\[\],?&]+\s+)+)(?P<name>[A-Za-z_$][\w$]*)\s*(?:\[\s*\])*\s*(?:=.*)?$", re.S)
-_JAVA_IMPORT = re.compile(r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", re.M)
-_JAVA_PACKAGE = re.compile(r"^\s*package\s+([\w.]+)\s*;", re.M)
-
-_TS_FUNCTION = re.compile(r"(?:^|\n)\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>[A-Za-z_$][\w$]*)\s*(?:<[^(]*>)?\s*\(.*$", re.S)
-_TS_ARROW = re.compile(r"(?:^|\n)\s*(?:export\s+)?(?:const|let|var)\s+(?P<name>[A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b.*|(?:\([^=]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>.*)$", re.S)
-_TS_METHOD = re.compile(r"(?:^|\n)[ \t]*(?P<before>(?:(?:public|private|protected|static|async|get|set|override|abstract|readonly)\s+)*)\*?(?P<name>#?[A-Za-z_$][\w$]*)\s*(?:<[^(\n]*>)?\s*\((?P<args>[^\n]*(?:\n[^\n]*)*)\)\s*(?::[^{;]+)?$")
-_TS_IMPORT = re.compile(r"\bimport\s+(?:[^;\"']*?\sfrom\s+)?[\"']([^\"']+)[\"']|\brequire\(\s*[\"']([^\"']+)[\"']\s*\)")
-_TS_ROUTE = re.compile(rf"\b(?:app|router|\w*[rR]outer)\s*\.\s*({_VERB})\s*\(")
+_JAVA_LINE = re.compile(r"^[ \t]*(?:(?:(?:public|protected|private|static|final|abstract|sealed)[ \t]+)*(?P<type>class|interface|enum|record)[ \t]+\w|(?:public|protected|private|static)[ \t]+[\w<]|(?!(?:return|throw|new|else)\b)[\w.]+(?:<[^;(){}=\n]*>)?(?:\[\])*[ \t]+(?P<name>\w+)[ \t]*\([^(){};]*\)\s*(?:throws\s[\w.,\s]+)?\{)", re.M)
+_JAVA_IMPORT = re.compile(r"^[ \t]*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", re.M)
+_JAVA_PACKAGE = re.compile(r"^[ \t]*package\s+([\w.]+)\s*;", re.M)
 
 
 @dataclass
@@ -51,13 +45,68 @@ def blanked(source: str) -> str:
 
 
 def _closing(text: str, at: int) -> int:
-    """Place after the bracket that closes the one at `at`; the end where none does."""
+    """Place after the bracket that closes the one at `at`; the end of its line where none does before a semicolon."""
     depth = 0
-    for m in re.compile(r"[()]").finditer(text, at):
+    for m in re.compile(r"[();]").finditer(text, at):
+        if m.group() == ";":
+            break
         depth += 1 if m.group() == "(" else -1
         if not depth:
             return m.end()
-    return len(text)
+    found = text.find("\n", at)
+    return len(text) if found < 0 else found
+
+
+def _balanced(text: str) -> bool:
+    open_ = []
+    for c in re.findall(r"[(){}]", text):
+        if c in "({":
+            open_.append(c)
+        elif not open_ or open_.pop() + c not in ("()", "{}"):
+            return False
+    return not open_
+
+
+class _Bearings:
+    """Lines of a source out of balance that can only begin a member or a type, and what they say about the blocks around them.
+
+    A block ends before such a line that is indented no deeper, but a type goes on where the line begins a member. A member outside
+    of all types belongs to the type that was opened last.
+    """
+
+    def __init__(self, text: str, marks: list[tuple[int, int, str, str]]):
+        self.text, self.marks, self.types = text, marks, []
+        self.lines = [] if _balanced(text) else [m for m in _JAVA_LINE.finditer(text) if m["name"] not in NOT_CALLS]
+        self.next = 0
+
+    def opened(self, block: Block) -> None:
+        if self.lines and _TYPE.search(block.head):
+            while self.types and self.indent(self.types[-1].start) >= self.indent(block.start):
+                self.types.pop()
+            self.types.append(block)
+
+    def take(self, until: int, stack: list[Block]) -> int | None:
+        """Where the head begins of the last such line before a place, its annotations included; None if there is none."""
+        begun = None
+        while self.next < len(self.lines) and self.lines[self.next].start() <= until:
+            line = self.lines[self.next]
+            self.next += 1
+            begun, own = line.start(), self.indent(line.start() + len(line.group()) - len(line.group().lstrip()))
+            i = bisect_left(self.marks, (begun,))
+            while i and not self.text[self.marks[i - 1][1] : begun].strip():
+                i -= 1
+                begun = self.marks[i][0]
+            while stack and self.indent(stack[-1].start) >= own and (line["type"] or not _TYPE.search(stack[-1].head)):
+                closed = stack.pop()
+                closed.end = closed.opened + len(self.text[closed.opened : begun].rstrip())
+            if not stack and not line["type"]:
+                stack += self.types[-1:]
+        return begun
+
+    def indent(self, at: int) -> int:
+        """Columns of white space before what stands at a place, or before its line's first character."""
+        line = self.text[self.text.rfind("\n", 0, at) + 1 : at].expandtabs(4)
+        return len(line) - len(line.lstrip())
 
 
 def blocks(source: str) -> tuple[str, list[Block]]:
@@ -77,8 +126,12 @@ def blocks(source: str) -> tuple[str, list[Block]]:
     out: list[Block] = []
     stack: list[Block] = []
     begun, round_, mark = 0, 0, 0
+    bearings = _Bearings(text, marks)
     for m in re.compile(r"[(){};]").finditer(text):
         c = m.group()
+        if (taken := bearings.take(m.start(), stack)) is not None:
+            begun, round_ = max(begun, taken), 0
+            mark = min(mark, bisect_left(marks, (begun,)))
         if c in "()":
             round_ = max(0, round_ + (1 if c == "(" else -1))
         elif not round_:
@@ -95,6 +148,7 @@ def blocks(source: str) -> tuple[str, list[Block]]:
                 out.append(block)
                 if c == "{":
                     stack.append(block)
+                    bearings.opened(block)
             elif stack:
                 stack.pop().end = m.end()
             begun = m.end()
@@ -108,25 +162,32 @@ def _names(text: str) -> list[str]:
     return [n for x in text.split(",") if (n := x.strip())]
 
 
-def _parents(rest: str, word: str) -> list[str]:
+def parents(rest: str, word: str) -> list[str]:
     found = re.findall(rf"\b{word}\s+(.*?)(?=\bextends\b|\bimplements\b|\bpermits\b|$)", rest, re.S)
     return [n for part in found for n in _names(part)]
 
 
-def _text(args: str) -> str:
+def first_text(args: str) -> str:
     found = _STRING.search(args)
     return found.group(1) if found else ""
 
 
-def _joined(*parts: str) -> str:
+def route_path(*parts: str) -> str:
     return "/" + "/".join(p.strip("/") for p in parts if p.strip("/"))
 
 
-def _calls(text: str, block: Block) -> list[str]:
-    return [n for n in dict.fromkeys(_CALL.findall(text, block.opened, block.end)) if n not in _NOT_CALLS] if block.braced else []
+class Calls:
+    """The calls of a text, found once, for any stretch of it."""
+
+    def __init__(self, text: str):
+        found = [m for m in _CALL.finditer(text) if m[1] not in NOT_CALLS]
+        self.names, self.places = [m[1] for m in found], [m.start() for m in found]
 
+    def within(self, begun: int, end: int) -> list[str]:
+        return list(dict.fromkeys(self.names[bisect_left(self.places, begun) : bisect_left(self.places, end)]))
 
-class _Rows:
+
+class Rows:
     def __init__(self, path: str, source: str, package: str, imports: list[str]):
         self.path, self.source, self.package, self.imports, self.out = path, source, package, imports, []
         self.ends = [m.start() for m in re.finditer("\n", source)]
@@ -141,23 +202,23 @@ class _Rows:
         self.out.append((self.path, len(self.out), name, kind, parent, self.line(start), self.line(max(start, end - 1)), head, visibility, notes, list(bases), list(calls), route, decorator, self.package, self.imports, list(faces)))
 
 
-def _visibility(head: str, default: str) -> str:
+def visibility(head: str, default: str) -> str:
     return next((v for v in ("public", "protected", "private") if re.search(rf"\b{v}\b", head)), default)
 
 
 def java_symbols(path: str, source: str) -> list[tuple]:
     """Types, methods, constructors and fields; routes of the web mappings under the type's own mapping."""
     text, found = blocks(source)
-    package = _JAVA_PACKAGE.search(text)
-    rows = _Rows(path, source, package.group(1) if package else "", _JAVA_IMPORT.findall(text))
+    package, calls = _JAVA_PACKAGE.search(text), Calls(text)
+    rows = Rows(path, source, package.group(1) if package else "", _JAVA_IMPORT.findall(text))
     for b in found:
         owner = b.parent.type_name if b.parent else None
         kind = _TYPE.search(b.head) if b.braced and (b.parent is None or owner) else None
         if kind and "(" not in b.head[: kind.start()]:
             b.type_name = kind.group(2)
-            b.route_base = next((_text(args) for n, args in b.annotations if n == "RequestMapping"), "")
-            rows.add(b.type_name, kind.group(1).lstrip("@"), b, parent=owner, visibility=_visibility(b.head, "package"), bases=_parents(kind.group(3), "extends"), faces=_parents(kind.group(3), "implements"))
-        elif owner and (m := _JAVA_METHOD.fullmatch(b.head.strip())) and m["name"] not in _NOT_CALLS and (m["before"].strip() or m["name"] == owner):
+            b.route_base = next((first_text(args) for n, args in b.annotations if n == "RequestMapping"), "")
+            rows.add(b.type_name, kind.group(1).lstrip("@"), b, parent=owner, visibility=visibility(b.head, "package"), bases=parents(kind.group(3), "extends"), faces=parents(kind.group(3), "implements"))
+        elif owner and (m := _JAVA_METHOD.fullmatch(b.head.strip())) and m["name"] not in NOT_CALLS and (m["before"].strip() or m["name"] == owner):
             route = None
             for n, args in b.annotations:
                 verb = n.removesuffix("Mapping").upper() if re.fullmatch("(Get|Post|Put|Delete|Patch)Mapping", n) else None
@@ -165,64 +226,17 @@ def java_symbols(path: str, source: str) -> list[tuple]:
                     given = re.search(r"RequestMethod\.(\w+)|method\s*=\s*\{?\s*([A-Z]+)\b", args)
                     verb = next(g for g in given.groups() if g) if given else "GET"
                 if verb:
-                    route = (f"{verb} {_joined(b.parent.route_base, _text(args))}", n)
+                    route = (f"{verb} {route_path(b.parent.route_base, first_text(args))}", n)
                     break
             test = any(n in ("Test", "ParameterizedTest") for n, _ in b.annotations)
             what = "constructor" if m["name"] == owner and not _types(m["before"]) else "test" if test else "method"
-            rows.add(m["name"], what, b, parent=owner, visibility=_visibility(m["before"], "package"), calls=_calls(text, b), route=route[0] if route else None, decorator=route[1] if route else "")
+            rows.add(m["name"], what, b, parent=owner, visibility=visibility(m["before"], "package"), calls=calls.within(b.opened, b.end) if b.braced else [], route=route[0] if route else None, decorator=route[1] if route else "")
         elif owner and not b.braced and (m := _JAVA_FIELD.fullmatch(b.head.strip())) and _types(m["before"]):
             constant = {"static", "final"} <= set(m["before"].split())
-            rows.add(m["name"], "constant" if constant else "field", b, parent=owner, visibility=_visibility(m["before"], "package"))
+            rows.add(m["name"], "constant" if constant else "field", b, parent=owner, visibility=visibility(m["before"], "package"))
     return rows.out
 
 
 def _types(before: str) -> list[str]:
     """The words before a name that aren't modifiers."""
     return [w for w in before.split() if w not in {"public", "protected", "private", "static", "final", "abstract", "synchronized", "native", "default", "transient", "volatile", "strictfp", "return", "throw", "package", "import"}]
-
-
-def typescript_symbols(path: str, source: str) -> list[tuple]:
-    """Classes, interfaces, functions, arrow constants, class methods; routes of decorators under their controller, and of routers."""
-    text, found = blocks(source)
-    imports = list(dict.fromkeys(a or b for a, b in _TS_IMPORT.findall(source)))
-    rows = _Rows(path, source, "", imports)
-    for b in found:
-        owner = b.parent.type_name if b.parent else None
-        kind = _TYPE.search(b.head) if b.braced and b.parent is None else None
-        if kind:
-            b.type_name = kind.group(2)
-            b.route_base = next((_text(args) for n, args in b.annotations if n == "Controller"), "")
-            at = b.opened - len(b.head) + b.head.rfind("\n", 0, kind.start()) + 1
-            at += len(text[at : b.opened]) - len(text[at : b.opened].lstrip())
-            rows.add(b.type_name, kind.group(1), b, bases=_parents(kind.group(3), "extends"), faces=_parents(kind.group(3), "implements"), start=at if b.marked is None else min(at, b.marked), signature=text[at : b.opened])
-            continue
-        if owner is None:
-            m = _last(_TS_FUNCTION, b.head) or _last(_TS_ARROW, b.head)
-            if m and b.parent is None:
-                rows.add(m["name"], "function", b, calls=_calls(text, b), start=_content(b, m), signature=m.group())
-            continue
-        m = _last(_TS_METHOD, b.head) if b.braced else None
-        if m and m["name"] not in (_NOT_CALLS - {"constructor"}):
-            mapped = next(((n, args) for n, args in b.annotations if n.lower() in _VERB.split("|")), None)
-            route = f"{mapped[0].upper()} {_joined(b.parent.route_base, _text(mapped[1]))}" if mapped else None
-            hidden = "private" if m["name"].startswith("#") else _visibility(m["before"], "public")
-            rows.add(m["name"], "constructor" if m["name"] == "constructor" else "method", b, parent=owner, visibility=hidden, calls=_calls(text, b), route=route, decorator=mapped[0] if mapped else "", start=_content(b, m) if b.marked is None else min(b.marked, _content(b, m)), signature=m.group())
-    for m in _TS_ROUTE.finditer(text):
-        end = _closing(text, m.end() - 1)
-        given = re.compile(r"\s*[\"'`]([^\"'`\n]+)[\"'`]").match(source, m.end())
-        if given:
-            name = f"{m.group(1).upper()} {given.group(1)}"
-            at = Block(source[m.start() : given.end()], m.start(), None, given.end(), end, None, [], True)
-            rows.add(name, "route", at, calls=_calls(text, at), route=name, decorator=m.group().rstrip("( \t"))
-    return rows.out
-
-
-def _last(pattern: re.Pattern, head: str) -> re.Match | None:
-    """The match that starts latest: statements without a semicolon may stand before it."""
-    starts = [0, *(m.start() for m in re.finditer("\n", head))]
-    return next((m for at in reversed(starts) if (m := pattern.match(head, at))), None)
-
-
-def _content(b: Block, m: re.Match) -> int:
-    """Place in the source where a match within a head begins, white space left out."""
-    return b.opened - len(b.head) + m.start() + len(m.group()) - len(m.group().lstrip())

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
-from cairn.operators import braces
+from cairn.operators import braces, scripts
 
 SYMBOL = (
     "path string, ordinal int, name string, kind string, parent string, start_line int, end_line int, signature string, visibility string, "
@@ -94,7 +94,7 @@ def python_symbols(path: str, source: str) -> list[tuple]:
 
 Parser = Callable[[str, str], list[tuple]]
 Tagger = Callable[[], Column]
-PARSERS: dict[str, Parser] = {"python": python_symbols, "java": braces.java_symbols, "typescript": braces.typescript_symbols, "javascript": braces.typescript_symbols}
+PARSERS: dict[str, Parser] = {"python": python_symbols, "java": braces.java_symbols, "typescript": scripts.typescript_symbols, "javascript": scripts.typescript_symbols}
 
 
 def register_parser(language: str, parser: Parser) -> None:

@@ -22,7 +22,7 @@ from cairn.sources import files as sources
 
 TABLES = ("files", "symbols", "edges", "chunks", "embeddings")
 #: What the tables were made by; another number here makes the next index a full one.
-VERSIONS = {"schema": 3, "parser": 1, "tagger": 1, "chunker": 1, "embedding": 1, "postings": 1}
+VERSIONS = {"schema": 3, "parser": 2, "tagger": 1, "chunker": 1, "embedding": 1, "postings": 1}
 QUEUE = "path string, event_type string, priority int, created_at timestamp, status string, processed_at timestamp, claimed_at timestamp"
 # Priorities of changes, the most rows of an answer, tags and edges behind handlers, types that a summary counts.
 USER, GIT, HASH_SCAN = 30, 20, 10
