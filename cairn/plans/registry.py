@@ -17,7 +17,7 @@ from cairn.operators import retrieval as H
 from cairn.operators import search as S
 from cairn.operators import vectors as V
 from cairn.plans import planner, prompts
-from cairn.streaming import trees
+from cairn.streaming import delays, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -495,6 +495,15 @@ def debounce_sessions(t):
     return R.sessions(t("events"), "user_id", "ts", "1 hour")
 
 
+@query("""SELECT c.event_id AS change_id, CAST(c.user_id AS VARCHAR) AS path, c.ts AS changed_at, min(r.ts) AS ran_at, CAST(floor((epoch_us(min(r.ts)) - epoch_us(c.ts)) / 1000000) AS BIGINT) AS delay_s
+FROM events c LEFT JOIN (SELECT user_id, ts FROM events WHERE event_type = 'purchase') r ON r.user_id = c.user_id AND r.ts >= c.ts AND r.ts <= c.ts + INTERVAL 12 HOUR WHERE c.event_type = 'error' GROUP BY c.event_id, c.user_id, c.ts""")
+def change_delays(t):
+    """Each error as a change, each purchase as a run of its user: the join that `streaming.delays` makes of two streams."""
+    events = t("events").select("event_id", F.col("user_id").cast("string").alias("path"), "ts", "event_type")
+    changes = events.filter("event_type = 'error'").select(F.col("event_id").alias("change_id"), "path", F.col("ts").alias("changed_at"))
+    return delays.served(changes, events.filter("event_type = 'purchase'").select("path", F.col("ts").alias("ran_at")), 12 * 3600)
+
+
 def _case(pairs: list[tuple[str, str]], default: str) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in pairs) + f" ELSE '{default}' END"
 

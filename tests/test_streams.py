@@ -8,7 +8,7 @@ import pytest
 
 from cairn.plans import engine
 from cairn.sources import git_stream
-from cairn.streaming import changes, trees
+from cairn.streaming import changes, delays, trees
 
 
 @pytest.fixture
@@ -107,3 +107,47 @@ def test_an_index_follows_commits_and_a_tree(spark, repo, tmp_path):
     (root / "c.py").unlink()
     changes.follow_tree(e, str(root), str(tmp_path / "snapshots"), str(tmp_path / "tree-at")).awaitTermination()
     assert "three" not in names()
+
+
+def test_delays_of_changes(spark, tmp_path):
+    """Changes meet their first run over a restart; unserved ones come once their time is over; late ones are dropped and counted; state is bounded."""
+    for side in ("changes", "runs"):
+        (tmp_path / side).mkdir()
+    placed = iter(range(100))
+
+    def land(side, rows):
+        at = tmp_path / side / f"{next(placed):03}.json"
+        at.write_text("\n".join(rows))
+        os.utime(at, (1e9 + int(at.stem), 1e9 + int(at.stem)))
+
+    change = lambda i, path, at: f'{{"change_id": {i}, "path": "{path}", "changed_at": "2024-01-01T{at}Z"}}'
+    ran = lambda path, at: f'{{"path": "{path}", "ran_at": "2024-01-01T{at}Z"}}'
+    seen, state = [], []
+
+    def once():
+        read = lambda side, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / side))
+        rows = delays.served(read("changes", delays.CHANGE), read("runs", delays.RUN))
+        query = rows.writeStream.foreachBatch(lambda b, _: seen.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        state.append(query.lastProgress["stateOperators"])
+        return delays.late_rows(query)
+
+    land("changes", [change(1, "a", "10:00:00"), change(2, "b", "10:00:00"), change(3, "a", "10:04:00"), change(4, "c", "10:00:00")])
+    land("runs", [ran("a", "10:06:00"), ran("a", "10:05:00"), ran("b", "09:59:59"), ran("c", "11:00:01")])
+    assert once() == 0 and seen == []
+    for hour in (13, 15, 17):
+        land("changes", [change(hour, "d", f"{hour}:00:00")])
+        land("runs", [ran("d", f"{hour}:00:30")])
+        once()
+    land("changes", [change(99, "a", "10:01:00")])
+    assert once() == 1
+    got = {r.change_id: (r.path, r.delay_s) for r in seen}
+    assert len(got) == len(seen) and {i: got[i] for i in (1, 2, 3, 4)} == {1: ("a", 300), 2: ("b", None), 3: ("a", 60), 4: ("c", None)} and got[13] == ("d", 30) and 99 not in got
+    assert sum(o["numRowsTotal"] for o in state[-1]) <= 12
+
+
+def test_delays_of_a_batch(spark):
+    changes_ = spark.createDataFrame([(1, "a", "2024-01-01 10:00:00"), (1, "a", "2024-01-01 10:00:00"), (2, None, "2024-01-01 10:00:00"), (3, "b", None), (4, "a", "2024-01-01 10:00:01")], "change_id long, path string, at string").selectExpr("change_id", "path", "to_timestamp(at) changed_at", "'x' extra")
+    runs = spark.createDataFrame([("a", "2024-01-01 10:00:00"), ("a", "2024-01-01 11:00:01"), (None, "2024-01-01 10:00:00")], "path string, at string").selectExpr("path", "to_timestamp(at) ran_at", "'y' extra")
+    assert {(r.change_id, r.delay_s) for r in delays.served(changes_, runs).collect()} == {(1, 0), (2, None), (4, 3600)}
+    assert delays.served(changes_.limit(0), runs).count() == 0
