@@ -20,6 +20,26 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def answer_lines(name: str, rows: list[dict], warning: str | None = None, most: int = 500) -> list[str]:
+    """An answer as text: its warning, its name and count, then a line a row, named symbols with their place; grouped rows below their owner.
+
+    Of more than `most` rows the first are shown, and the count says so.
+    """
+    count, rows = (f"{len(rows)}" if len(rows) <= most else f"more than {most}, the first {most}"), rows[:most]
+    out, owner = [*([f"! {warning}", ""] if warning else []), f"{name}: {count}", ""], None
+    for r in rows:
+        if r.get("owner") and r["owner"] != owner:
+            owner = r["owner"]
+            out.append(owner + (f" [{r['owner_kind']}]" if r.get("owner_kind") else ""))
+        indent = "  " * bool(r.get("owner"))
+        if r.get("name") and "path" in r:
+            place = ":".join(str(r[c]) for c in ("path", "start_line") if r.get(c))
+            out.append(f"{indent}- {r['name']}" + (f" ({place})" if place else ""))
+        else:
+            out.append(f"{indent}- {json.dumps(r, default=str)}")
+    return out if rows else [*out, "(no results)"]
+
+
 def run(spark, args: argparse.Namespace) -> str:
     """What a command prints."""
     from cairn.plans.engine import Engine, page
@@ -34,7 +54,9 @@ def run(spark, args: argparse.Namespace) -> str:
             return "\n".join(f"{r['name']}: {r['n']}" for r in engine.status().collect())
         case "ask":
             name, rows = engine.ask(" ".join(args.question))
-            return page(engine.retrieve(" ".join(args.question))) if rows is None else "\n".join([f"{name}:", *(f"- {json.dumps(r.asDict(recursive=True), default=str)}" for r in rows.limit(500).collect()), *([w] if (w := engine.warning(name)) else [])])
+            if rows is None:
+                return page(engine.retrieve(" ".join(args.question)))
+            return "\n".join(answer_lines(name, [r.asDict(recursive=True) for r in rows.limit(501).collect()], engine.warning(name)))
         case "context":
             return page(engine.retrieve(" ".join(args.prompt)))
         case "enqueue":

@@ -94,3 +94,14 @@ def test_git(tmp_path):
     assert files.git_branch(root) == "main" and files.git_paths(root) == ["a.py", "b.py"] and "+x = 2" in files.git_diff(root) and "a.py" in files.git_diff(root, stat=True)
     run("add", "."), run("commit", "-m", "two")
     assert files.git_between(root, "HEAD~1", "HEAD") == ["a.py", "b.py"] and files.git_paths(str(tmp_path / "none")) == []
+
+
+def test_answer_lines():
+    from cairn.__main__ import answer_lines
+
+    rows = [{"name": "Pay", "path": "a.py", "start_line": 3}, {"name": "Bare", "path": "b.py", "start_line": None}, {"name": "No", "path": None}, {"kind": "class", "n": 2}]
+    assert answer_lines("services", rows) == ["services: 4", "", "- Pay (a.py:3)", "- Bare (b.py)", "- No", '- {"kind": "class", "n": 2}']
+    assert answer_lines("tests", [], "old") == ["! old", "", "tests: 0", "", "(no results)"]
+    grouped = [{"owner": o, "owner_kind": k, "name": n, "path": "c.py", "start_line": 1} for o, k, n in (("A", "class", "x"), ("A", "class", "y"), ("B", None, "z"))]
+    assert answer_lines("grouped_routes", grouped, most=2) == ["grouped_routes: more than 2, the first 2", "", "A [class]", "  - x (c.py:1)", "  - y (c.py:1)"]
+    assert answer_lines("grouped_routes", grouped)[-2:] == ["B", "  - z (c.py:1)"]
