@@ -56,19 +56,36 @@ def exact_else(df: DataFrame, exact: Column, partial: Column, limit: int, order:
     return ranked.join(F.broadcast(best), "_kind").orderBy(*order).limit(limit).drop("_kind")
 
 
-def enclosing(points: DataFrame, intervals: DataFrame, on: str, skip: Column | None = None, prefer: Column | None = None, width: int = 1000) -> DataFrame:
+def enclosing(points: DataFrame, intervals: DataFrame, on: str, own: str | None = None, key: Column | None = None, after: bool = False, prefer: Column | None = None) -> DataFrame:
     """For each point (id, on, at) the smallest interval (on, start, end, name) that holds it; ties go to the first start, then name.
 
-    Intervals that `skip` don't count; those with a greater `prefer` go first. Points meet intervals by key and by stretch of `width`
-    places, so a key with many of both is spread.
+    Places are whole numbers under 2 ** 62. Intervals with a greater `prefer` go first. With `own`, a column of points, only intervals with another
+    `key` count; with `after`, only those that begin before the point.
+
+    No pairs of points and intervals are made: an interval is cut into blocks of 2 ** k places, two of a size at most, a block keeps the
+    first interval (with `own` of two keys, as one of them is another), and a place asks the one block of each size that it lies in.
     """
-    place = lambda c: F.floor(F.col(c) / width)
-    spread = intervals.filter(F.col("start") <= F.col("end")).withColumn("_w", F.explode(F.sequence(place("start"), place("end"))))
-    inside = points.withColumn("_w", place("at")).join(spread, [on, "_w"]).filter((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end")))
-    if skip is not None:
-        inside = inside.filter(~skip)
-    order = F.struct(-(F.lit(0) if prefer is None else prefer), F.col("end") - F.col("start"), "start", "name")
-    return inside.groupBy("id").agg(F.min_by("name", order).alias("owner"))
+    order = F.struct(-(F.lit(0) if prefer is None else prefer), F.col("end") - F.col("start"), "start", "name").alias("_o")
+    begin = F.try_add(F.col("start").cast("long"), F.lit(1)) if after else F.col("start").cast("long")
+    rows = intervals.select(on, begin.alias("_a"), F.col("end").cast("long").alias("_b"), (F.lit(0) if own is None else key).alias("_key"), order).filter("_a <= _b and _key is not null")
+
+    def firsts(df: DataFrame, *by: str) -> DataFrame:
+        named = df.groupBy(*by, "_key").agg(F.min("_o").alias("_o"))
+        n = F.row_number().over(Window.partitionBy(*by).orderBy("_o"))
+        return named if own is None else named.withColumn("_n", n).filter("_n <= 2").drop("_n")
+
+    size = F.length(F.bin(F.col("_b") - F.col("_a") + 1)) - 1
+    cut = firsts(rows, on, "_a", "_b").withColumn("_k", F.explode(F.sequence(F.lit(0), size))).withColumns({"_l": F.expr("-shiftright(-_a, _k)"), "_r": F.expr("shiftright(_b + 1, _k)")}).filter("_l < _r")
+    blocks = cut.select(on, "_k", F.explode(F.expr("array_compact(array(if(_l % 2 <> 0, _l, null), if(_r % 2 <> 0, _r - 1, null)))")).alias("_p"), "_key", "_o")
+    sizes = rows.agg(F.max(size).alias("_most"))  # one row
+    asked = points.select(on, F.col("at").cast("long").alias("_at")).distinct().crossJoin(F.broadcast(sizes)).withColumn("_k", F.explode(F.expr("sequence(0, _most)"))).drop("_most")
+    met = asked.withColumn("_p", F.expr("shiftright(_at, _k)")).join(firsts(blocks, on, "_k", "_p"), [on, "_k", "_p"])
+    found = met.groupBy(on, "_at").agg(F.array_sort(F.collect_list(F.struct("_o", "_key"))).alias("_f"))  # two a size at most
+    other = F.lit(True) if own is None else F.col("_1._key") != F.col(own)
+    found = found.select(on, "_at", F.expr("_f[0]").alias("_1"), F.expr("get(filter(_f, x -> x._key <> _f[0]._key), 0)").alias("_2"))
+    inside = points.withColumn("_at", F.col("at").cast("long")).join(found, [on, "_at"])
+    best = F.when(other, F.col("_1._o")).when(F.lit(True) if own is None else F.col(own).isNotNull(), F.col("_2._o"))
+    return inside.withColumn("_o", best).filter("_o is not null").groupBy("id").agg(F.min("_o").alias("_o")).select("id", F.col("_o.name").alias("owner"))
 
 
 def merged(candidates: DataFrame, weights: dict[str, float]) -> DataFrame:

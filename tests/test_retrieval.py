@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -237,3 +238,35 @@ def test_budget_pack_cuts_before_a_group_meets(spark):
     assert got.count(0) == 4000 and sorted(x for x in got if x) == [1, 1, 1, 2, 2, 3, 4, 5, 6, 7, 8]
     plan = R.budget_packed(items, ["g"], ["id"], "n", 40)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("row_number")
+
+
+def test_enclosing_equals_brute_force(spark):
+    rng = random.Random(8)
+    spans = [(rng.choice("ab"), s, s + rng.choice([-1, 0, 1, 3, 8, 40, 3000]), rng.choice(["x", "y", "z", None]), rng.choice(["f", "g"]), rng.choice([0, 1])) for s in (rng.randint(-40, 40) for _ in range(250))] + [("a", None, 4, "x", "f", 1), (None, 0, 9, "x", "f", 1)]
+    points = [(i, rng.choice(["a", "b", "c", None]), rng.choice([None, *range(-45, 60), 2900]), rng.choice(["x", "y", "w", None])) for i in range(400)] + [(1, "a", 0, "w"), (1, "b", 5, "w")]
+    p = spark.createDataFrame(points, "id long, f string, at int, own string").repartition(3)
+    s = spark.createDataFrame(spans, "f string, start int, end int, n string, kind string, first int").repartition(2).select("f", "start", "end", F.struct("n", "kind").alias("name"), "first")
+
+    def brute(named, after):
+        best = {}
+        for i, f, at, own in points:
+            for g, a, b, n, kind, first in spans:
+                if f is not None and f == g and None not in (at, a) and a + after <= at <= b and (not named or (None not in (n, own) and n != own)):
+                    best.setdefault(i, []).append((-first, b - a, a, n is not None, n or "", kind))
+        return {i: (x[4] if x[3] else None, x[5]) for i, x in ((i, min(v)) for i, v in best.items())}
+
+    for named in (False, True):
+        for after in (False, True):
+            how = {"own": "own", "key": F.col("name.n")} if named else {}
+            got = {r.id: tuple(r.owner) for r in R.enclosing(p, s, "f", after=after, prefer=F.col("first"), **how).collect()}
+            assert got == brute(named, after), how
+    assert R.enclosing(p, s.filter("false"), "f").count() == 0
+
+
+def test_enclosing_of_one_crowded_key_makes_no_pairs(spark):
+    n = 60_000
+    points = spark.range(n).select("id", F.lit("a").alias("f"), (F.col("id") % 500 + 250).alias("at"))
+    spans = spark.range(n).select(F.lit("a").alias("f"), (F.col("id") % 499).alias("start"), (500 + F.col("id") % 487).alias("end"), F.col("id").alias("name"))
+    begun = time.monotonic()
+    assert R.enclosing(points, spans, "f").agg(F.count("owner")).first()[0] == n
+    assert time.monotonic() - begun < 25
