@@ -437,7 +437,8 @@ def find_by_postings(t):
     """Terms with wildcards, and one too short for them, through an inverted index of trigrams; the rows are a scan's."""
     chunks = t("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     posted = S.postings(chunks)
-    return reduce(DataFrame.unionByName, [S.like(chunks, posted, x).select(F.lit(x).alias("term"), F.col("chunk_id").alias("doc_id")) for x in _TERMS])
+    keep = lambda ids: ids.checkpoint() if ids.sparkSession.sparkContext.getCheckpointDir() else ids.localCheckpoint()
+    return reduce(DataFrame.unionByName, [S.like(chunks, posted, x, keep).select(F.lit(x).alias("term"), F.col("chunk_id").alias("doc_id")) for x in _TERMS])
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id AS id, list_cosine_similarity(q.e, v.e) AS near FROM v q, v WHERE q.vec_id % 50 = 0)

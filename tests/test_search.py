@@ -102,3 +102,37 @@ def test_token_parts_equal_a_loop(spark):
     for most in (0, 1, 10, 800):
         got = spark.createDataFrame([(r,) for r in rows], "lines array<string>").select("lines", code.split_tokens(F.col("lines"), most).alias("parts")).collect()
         assert all((r.parts is None) if r.lines is None else [p.text for p in r.parts] == loop(r.lines, most) and [p.i for p in r.parts] == list(range(len(r.parts))) for r in got)
+
+
+def test_postings_of_long_odd_texts(spark, monkeypatch):
+    monkeypatch.setattr(search, "ROWS", 7)
+    rows = [(1, "a😀bc😀"), (2, "ÀbÀb" * 50), (3, "ab"), (4, ""), (5, None), (6, "x\x00y\n%"), (7, "İSTANBUL Straße ΣΑΣ")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string").withColumn("path", F.lit("p")).coalesce(1)
+    got = search.postings(chunks, "path")
+    assert got.columns == ["gram", "chunk_id", "path"] and got.schema["chunk_id"].dataType.typeName() == "long"
+    lows = {r.chunk_id: r.low for r in chunks.select("chunk_id", F.lower("content").alias("low")).collect()}
+    ascii_ = lambda x: "".join(c.lower() if c < "\x80" else c for c in x)
+    want = sorted({(t[k : k + 3], i, "p") for i, x in rows for t in (ascii_(x or ""), lows[i] or "") for k in range(len(t) - 2)})
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_pieces_of_a_text_share_no_posting(monkeypatch):
+    whole = search._distinct([b"abcdefgabcdefg" * 9, "éab".encode()])
+    monkeypatch.setattr(search, "PIECE", 5)
+    assert sorted(search._distinct([b"abcdefgabcdefg" * 9, "éab".encode()])) == sorted(whole) and len(set(whole.tolist())) == len(whole)
+
+
+def test_postings_made_on_the_way_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    chunks = spark.range(3000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("some Text "), "id").alias("content"))
+    posted = search.postings(chunks).mapInArrow(noted, "gram string, chunk_id long")
+    n = posted.count()
+    before = made.value
+    found = search.like(chunks, posted, "me_tEX", keep=lambda ids: ids.localCheckpoint())
+    assert found.count() == 3000 and made.value - before == n
