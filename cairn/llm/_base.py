@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -95,6 +96,13 @@ def take(uri: str, name: str) -> bytes:
         return found.read()
 
 
+def trimmed() -> None:
+    """Gives freed memory back to the system, which allocators else keep for the next chunk or group."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def distinct(x: np.ndarray) -> np.ndarray:
     """Sorted distinct numbers."""
     x = np.sort(x)

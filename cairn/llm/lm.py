@@ -17,7 +17,6 @@ that cross the network is then chunks times ranges.
 
 from __future__ import annotations
 
-import ctypes
 import math
 
 import numpy as np
@@ -26,22 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import U64, discard, in_order, mixed, planes, stored, unplanes, word_hashes
+from ._base import U64, discard, in_order, mixed, planes, stored, trimmed, unplanes, word_hashes
 
 CHUNK = 1 << 18  # tokens
-RANGE_BYTES = 16 << 20  # of text, whose counts one range sums
+RANGE_BYTES = 8 << 20  # of text, whose counts one range sums
 END = U64(0x5BD1E995A4F1C3D7)  # stands for the end of a text, and as the context of its first word
 FINE = 8  # bins an octave
 BUCKETS = 32
 
 
-def _trimmed() -> None:
-    """Gives freed memory back to the system, which allocators else keep for the next chunk or group."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 def _chunks(batches, tokens: int):
     """(chunk id, doc ids, fold, token hashes, starts) for runs of whole documents of about `tokens` tokens.
 
@@ -67,7 +59,7 @@ def _chunks(batches, tokens: int):
         if sum(map(len, h)) >= tokens:
             yield whole()
             ids, fold, h, n = [], [], [], [0]
-            _trimmed()
+            trimmed()
     if ids:
         yield whole()
 
@@ -134,16 +126,29 @@ def _unpacked(data: bytes) -> np.ndarray:
 def _totals(group: pa.Table) -> pa.Table:
     """For one range and kind: every chunk's keys with the counts of all chunks; and, as chunk -1, the tokens and distinct words."""
     keys = [_undelta(x.as_py()) for x in group.column("keys")]
-    all_, back = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = [np.bincount(back, weights=np.concatenate([unplanes(x.as_py(), np.uint32) for x in group.column(name)]), minlength=len(all_)).astype(np.int64) for name in ("early", "late")]
+    size = list(map(len, keys))
+    x = np.concatenate(keys)
+    del keys
+    order = np.argsort(x, kind="stable")
+    x = x[order]
+    new = np.concatenate((np.ones(1, bool), x[1:] != x[:-1]))
+    del x
+    back = np.empty(len(order), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
+    distinct, sums = int(new.sum()), []
+    del order, new
+    cuts = np.concatenate(([0], np.cumsum(size))).tolist()
+    for name in ("early", "late"):
+        total = np.zeros(distinct, np.int64)
+        for a, b, counts in zip(cuts[:-1], cuts[1:], group.column(name), strict=True):
+            total[back[a:b]] += unplanes(counts.as_py(), np.uint32)  # a chunk has each key once
+        sums.append(total)
     kind, r = group.column("kind")[0].as_py(), group.column("range")[0].as_py()
-    out, at = [], 0
-    for chunk, k, mark in zip(group.column("chunk").to_pylist(), keys, group.column("mark").to_pylist(), strict=True):
-        mine = back[at : at + len(k)]
-        at += len(k)
-        out.append((r, chunk, kind, None, _packed(sums[0][mine]), _packed(sums[1][mine]), None, mark))
-    del back, keys
-    _trimmed()
+    out = []
+    for a, b, chunk, mark in zip(cuts[:-1], cuts[1:], group.column("chunk").to_pylist(), group.column("mark").to_pylist(), strict=True):
+        out.append((r, chunk, kind, None, _packed(sums[0][back[a:b]]), _packed(sums[1][back[a:b]]), None, mark))
+    del back
+    trimmed()
     if kind == 1:
         stats = np.array([sums[0].sum(), sums[1].sum(), (sums[0] > 0).sum(), ((sums[0] + sums[1]) > 0).sum()], np.int64)
         out.append((r, -1, 0, None, None, None, stats.tobytes(), 0))
@@ -200,7 +205,7 @@ def _met(group: pa.Table) -> pa.Table:
     h, w, hw = early[before[test]], early[word[test]], early2[bigram[test]]
     code = (_octave(h) << 20) | (_bin(hw / np.maximum(h, 1)) << 10) | _bin(w / 2.0**30)
     codes, weights = np.unique(code, return_counts=True)
-    _trimmed()
+    trimmed()
     row = (1, own["ids"], own["fold"], own["sizes"], own["word"], _packed(early + late), _packed((early2 + late2)[bigram]), codes.astype(np.int64).tobytes(), weights.astype(np.int64).tobytes())
     return pa.table([pa.array([x], f.type) for x, f in zip(row, _CHUNK, strict=True)], schema=_CHUNK)
 
@@ -259,7 +264,9 @@ def lm_scores(docs: DataFrame, ranges: int | None = None, tokens: int = CHUNK) -
     def score(batches):
         zero = math.log10(n + 0.5 * (v + 1))
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                trimmed()
+                r = batch.slice(i, 1).to_pylist()[0]  # a batch has many chunks
                 sizes = np.frombuffer(r["sizes"], np.uint32).astype(np.int64)
                 starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
                 word, count = unplanes(r["word"], np.uint32).astype(np.int64), _unpacked(r["counts"])
@@ -271,6 +278,7 @@ def lm_scores(docs: DataFrame, ranges: int | None = None, tokens: int = CHUNK) -
                 share = mix[_octave(h)]
                 p = share[:, 0] * _unpacked(r["pairs"]) / np.maximum(h, 1) + share[:, 1] * c / max(n, 1) + share[:, 2] / (v + 1)
                 total = lambda x: np.add.reduceat(x, starts)  # noqa: E731, B023
+                del h, share
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(r["ids"], pa.int64()), pa.array(np.frombuffer(r["fold"], np.int8) == 2), pa.array(sizes), pa.array(total((c > 0).astype(np.int64))),

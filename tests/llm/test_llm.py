@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -754,3 +755,24 @@ def test_pipeline_of_nulls_repeats_clashing_names_and_nothing(spark, tmp_path):
         table.write.parquet(f"{tmp_path}/b/{some}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
     assert corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{tmp_path}/a/documents.parquet"), f"{tmp_path}/b").count() == len(rows)
+
+
+def test_lm_totals_hold_little_beside_the_counts():
+    rng = np.random.default_rng(1)
+    pool = np.unique(rng.integers(0, 1 << 63, 400_000, dtype=np.uint64))
+    rows, want = [], {}
+    for chunk in range(40):
+        keys = np.sort(rng.choice(pool, 50_000, replace=False))
+        n = rng.integers(0, 9, len(keys)).astype(np.uint32)
+        rows.append((0, chunk, 2, lm._delta(keys), lm.planes(n), lm.planes(n), None, 5))
+        want[chunk] = (keys, n)
+    group = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), lm._COUNTS, strict=True)], schema=lm._COUNTS)
+    tracemalloc.start()
+    out = lm._totals(group).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    total = np.zeros(len(pool), np.int64)
+    for keys, n in want.values():
+        total[np.searchsorted(pool, keys)] += n
+    assert all((lm._unpacked(r["early"]) == total[np.searchsorted(pool, want[r["chunk"]][0])]).all() for r in out) and len(out) == 40
+    assert peak < 40 * 2_000_000, peak  # 40 bytes a key; 117 MB before
