@@ -18,15 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import _LOWER, _powers, MIX_A, U64, content, discard, grams, in_order, joined_words, mixed, stored
+from ._base import _LOWER, _powers, MIX_A, U64, content, discard, grams, in_order, joined_words, mixed, stored, trimmed
 
 SHARDS, LONGEST = 4, 4
 #: Exact: the product of two 19-digit numbers fits a decimal of 38 digits, and div doesn't round.
 SCORE = "cast(cast(2000000 as decimal(19,0)) * cast({a} as decimal(19,0)) div cast({parts} as decimal(19,0)) as long)"
 _PARTS = 64  # of a bitmap
 _KEY = 40  # bits of a hash that mining counts by
-_HOLD = 4_000_000  # phrases that a task counts at a time
-_TEXT = 8 << 20  # bytes of text whose phrases are counted exactly at a time
+_HOLD = 2_000_000  # phrases that a task counts at a time
+_TEXT = 4 << 20  # bytes of text whose phrases are counted exactly at a time
+_ROWS = 50_000  # rows that leave a task at a time
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _INSIDE = ~_BREAK
@@ -113,13 +114,18 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str
 def _mining(lengths: tuple[int, ...], parts, shard_bits: int):
     """Counts of the phrases of these lengths whose parts (of length `parts[0]`) are in a bitmap, as (key, c); a key is hash and shard."""
 
-    def counted(held: list[np.ndarray], shard: int) -> pa.RecordBatch:
+    def counted(held: list[np.ndarray], shard: int) -> Iterator[pa.RecordBatch]:
         x = np.concatenate(held)
         held.clear()
         x.sort()
         first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-        keys = (x[first] << U64(shard_bits)) | U64(shard)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.diff(np.concatenate((first, [len(x)]))).astype(np.int64))], ["key", "c"])
+        counts, x = np.diff(first, append=len(x)), x[first]
+        del first
+        for at in range(0, len(x), _ROWS):
+            keys = (x[at : at + _ROWS] << U64(shard_bits)) | U64(shard)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts[at : at + _ROWS].astype(np.int64))], ["key", "c"])
+        del x, counts
+        trimmed()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, shard = [], 0, None
@@ -145,10 +151,10 @@ def _mining(lengths: tuple[int, ...], parts, shard_bits: int):
                 held.append(x[inside] >> U64(64 - _KEY))
                 size += len(held[-1])
             if size >= _HOLD:
-                yield counted(held, shard)
+                yield from counted(held, shard)
                 size = 0
         if size:
-            yield counted(held, shard)
+            yield from counted(held, shard)
 
     return run
 
@@ -169,10 +175,14 @@ def _exact(lengths: dict[int, object]):
                 if not len(at):
                     continue
                 _, first, counts = np.unique(x[at], return_index=True, return_counts=True)
-                spans = (at[first][:, None] + np.arange(n)).ravel()
-                phrases = joined_words(words.data, words.starts[spans], words.ends[spans], np.full(len(first), n))
-                names = pa.array(words.langs, pa.string()).take(pa.array(words.text[at[first]]))
-                yield pa.RecordBatch.from_arrays([names, phrases, pa.array(counts.astype(np.int64))], ["lang", "phrase", "c"])
+                at = at[first]
+                del x, first
+                for a in range(0, len(at), _ROWS):
+                    some = at[a : a + _ROWS]
+                    spans = (some[:, None] + np.arange(n)).ravel()
+                    phrases = joined_words(words.data, words.starts[spans], words.ends[spans], np.full(len(some), n))
+                    names = pa.array(words.langs, pa.string()).take(pa.array(words.text[some]))
+                    yield pa.RecordBatch.from_arrays([names, phrases, pa.array(counts[a : a + _ROWS].astype(np.int64))], ["lang", "phrase", "c"])
 
         held, size = [], 0
         for words, _ in _chunks(batches):
@@ -181,6 +191,8 @@ def _exact(lengths: dict[int, object]):
             if size >= _TEXT:
                 merged, held, size = Words.merged(held), [], 0
                 yield from counted(merged)
+                del merged
+                trimmed()
         if held:
             yield from counted(Words.merged(held))
 

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,14 @@ def test_registered_queries_agree_with_their_digests(spark):
     got = queries.op12_substring_dedup(spark, sf)
     kept = {r.doc_id: r.kept for r in substring_dedup.without_repeats(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
     assert {r.doc_id: r.kept_sha256 for r in got.collect()} == {d: hashlib.sha256(k.encode()).hexdigest() for d, k in kept.items()}
+
+
+def test_collocations_leave_a_task_in_small_batches():
+    text = " ".join(f"w{i}" for i in range(300_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text]), pa.array([3])], ["lang", "text", "shard"])
+    made = list(collocations._mining((1,), None, 2)(iter([batch])))
+    assert sum(b.num_rows for b in made) == 300_000 and max(b.num_rows for b in made) <= 100_000
+    whole = collocations.Bitmap(9, [(i, b"\xff") for i in range(64)])
+    exact = list(collocations._exact({2: type("B", (), {"value": whole})})(iter([pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text])], ["lang", "text"])])))
+    found = [x for b in exact for x in b.column(1).to_pylist() if x]
+    assert found and len(found) == len(set(found)) == 299_999 and max(b.num_rows for b in exact) <= 100_000
