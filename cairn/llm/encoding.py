@@ -1,33 +1,23 @@
-"""Exact encoding with a public tokenizer file, remembered per word.
+"""Exact encoding with a public tokenizer file, remembered per unit.
 
 Neither vocabulary's pre-tokens cross a single space between two other characters: the word-level one drops white space, the
 byte-level one gives the space to what follows it. So a text whose only white space is single spaces and line feeds inside it
-is cut at its spaces, each distinct piece is encoded by the tokenizers library once and remembered while it is used often, and the ids are
-gathered with numpy. Any other text is encoded whole by the library.
+is cut before each space, round each line feed and behind the letters that a word begins with. The cuts are found with numpy in a
+whole chunk, Arrow tells its distinct units, each of these is encoded by the tokenizers library once and remembered while it is
+used often, and the ids are gathered with numpy. Any other text is encoded whole by the library.
 """
 
 from __future__ import annotations
 
 import gc
 import os
-import string
 from array import array
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 
-
-class _Places(dict):
-    """A place for each piece, in order of arrival over both tables; new ones are noted with whether they begin a text or a line."""
-
-    def __init__(self, new: list, begins: bool, count: list[int]):
-        self.new, self.begins, self.count = new, begins, count
-
-    def __missing__(self, piece: str) -> int:
-        self.new.append((piece, self.begins))
-        n = self[piece] = self.count[0]
-        self.count[0] = n + 1
-        return n
+from ._base import content
 
 
 def _appended(store: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
@@ -45,8 +35,40 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in printing else next(others)) for b in range(256)}
 
 
-_LETTERS = _byte_letters()
+_LETTERS = {b: x for b, x in _byte_letters().items() if b != 10}
 _PROBES = ["a", "word", "Étude", "größe", "Zzyzx", "peña", "thisrehawhing"]
+_ALPHA, _AFTER_C3, _BREAK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_ALPHA[[*range(65, 91), *range(97, 123), 0xC3]] = True
+_AFTER_C3[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True  # all letters but the signs of multiplication and division
+_BREAK[[10, 32]] = True
+
+
+def _cuts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places where units begin, and the last end; and which texts have white space at an end or beside other.
+
+    A unit is a line feed, or the letters a word begins with, or what is behind them up to the next white space; a space before
+    it is part of it. A word with characters beyond Latin-1's letters and ASCII is one unit.
+    """
+    letter, gap, start = _ALPHA[data], _BREAK[data], np.zeros(len(data) + 1, bool)
+    lead = np.flatnonzero(data == 0xC3)
+    good = _AFTER_C3[data[lead + 1]]
+    letter[lead[good] + 1], letter[lead[~good]] = True, False
+    start[:-1] = gap
+    start[1:] |= data == 10
+    start[at] = True
+    starts = np.flatnonzero(start)
+    behind = np.flatnonzero(letter[:-1] & ~letter[1:] & ~start[1:-1]) + 1
+    word = np.searchsorted(starts, behind, "right") - 1
+    cut = letter[starts[word] + (data[starts[word]] == 32)]
+    cut[1:] &= word[1:] != word[:-1]  # only behind the first letters
+    one = np.zeros(len(starts), bool)
+    one[np.searchsorted(starts, np.flatnonzero((data > 127) & ~letter), "right") - 1] = True
+    start[behind[cut & ~one[word]]] = True
+    odd = np.zeros(len(at) - 1, bool)
+    odd[np.searchsorted(at, np.flatnonzero(gap[:-1] & gap[1:]), "right") - 1] = True
+    full = np.flatnonzero(at[1:] > at[:-1])
+    odd[full] |= gap[at[full]] | gap[at[full + 1] - 1]
+    return np.flatnonzero(start), odd
 
 
 class Encoder:
@@ -56,46 +78,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bound = bound
-        self.before = "" if self._drops() else " "
-        self.space, self.model = _LETTERS[32] if self.before else "", self.tokenizer.model
+        self.drops, self.model = self._drops(), self.tokenizer.model
         try:
-            self.direct = [self._word(x) for x in _PROBES] == self._library([self.before + x for x in _PROBES])
+            probes = [x for word in _PROBES for x in (word, " " + word)]
+            ids, size = self._words([x.encode() for x in probes])
+            self.direct = [x.tobytes() for x in np.split(ids, np.cumsum(size)[:-1])] == self._library(probes)
         except Exception:  # noqa: BLE001  a model of another kind
             self.direct = False
         self._forget()
 
-    def _word(self, x: str) -> bytes:
-        """Ids of one run of Latin letters from the library's model itself, since it is one pre-token."""
-        if not self.before:  # this vocabulary has lower case only
-            x = x.lower()
-        if not x.isascii():
-            x = "".join([_LETTERS[b] for b in x.encode()])
-        return array("I", [t.id for t in self.model.tokenize(self.space + x)]).tobytes()
+    def _words(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs of Latin letters from the library's model itself, since each is one pre-token; and how many each has."""
+        text = b"\n".join(units)
+        if self.drops:  # this vocabulary has lower case only
+            text = text.replace(b" ", b"").decode().lower().encode()
+        words, tokenize = text.decode("latin-1").translate(_LETTERS).split("\n") if units else [], self.model.tokenize
+        ids, size = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        for k in range(0, len(words), 4096):
+            made = [[t.id for t in tokenize(x)] for x in words[k : k + 4096]]
+            ids.append(np.fromiter(chain.from_iterable(made), "<u4"))
+            size.append(np.fromiter(map(len, made), np.int64, len(made)))
+        return np.concatenate(ids), np.concatenate(size)
 
     def _forget(self) -> None:
-        #: ids of the piece at place p: table[begin[p] : begin[p] + size[p]]; a size of -1 marks a piece whose text can't be cut
-        self.new, self.count = [], [0]
-        self.places, self.starts = _Places(self.new, False, self.count), _Places(self.new, True, self.count)
+        #: ids of the unit at place p: table[begin[p] : begin[p] + size[p]]; a size of -1 marks a unit whose text can't be cut
+        self.places: dict[bytes, int] = {}
         self.used, self.filled = 0, 0
         self.table, self.begin, self.size, self.uses = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _shrink(self) -> None:
-        """Keeps the pieces used most, half the bound at most; most pieces occur once."""
+        """Keeps the units used most, half the bound at most; most units occur once."""
         uses, n = self.uses[: self.used], self.used
         least = max(2, int(np.partition(uses, n - self.bound // 2)[n - self.bound // 2]) + 1)
         kept = np.flatnonzero(uses >= least)
         new = np.full(n, -1, np.int64)
         new[kept] = np.arange(len(kept))
-        for old in (self.places, self.starts):
-            some = [(x, int(new[p])) for x, p in old.items() if new[p] >= 0]
-            old.clear()
-            old.update(some)
+        some = [(x, p) for x, p in zip(self.places, new[np.fromiter(self.places.values(), np.int64, n)].tolist(), strict=True) if p >= 0]
+        self.places = dict(some)
         size = self.size[kept]
         n_ids = size.clip(0)
         ends = np.cumsum(n_ids)
         self.table = self.table[np.repeat(self.begin[kept] - (ends - n_ids), n_ids) + np.arange(int(n_ids.sum()))]
         self.begin, self.size, self.uses = ends - n_ids, size, uses[kept] // 2
-        self.used, self.filled, self.count[0] = len(kept), len(self.table), len(kept)
+        self.used, self.filled = len(kept), len(self.table)
 
     def _drops(self) -> bool:
         """Whether white space leaves no trace in the ids."""
@@ -106,101 +131,72 @@ class Encoder:
         """Ids as little-endian 32-bit bytes."""
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids(self, place: int, made: list[bytes | None]) -> bytes:
-        """Ids of a place, old or just made."""
-        if place >= self.used:
-            return made[place - self.used]
-        return self.table[self.begin[place] : self.begin[place] + self.size[place]].tobytes()
-
-    def _learn(self) -> None:
-        """Fills the places of new pieces.
-
-        Punctuation behind letters is a pre-token of its own, so such a piece is learned by its parts; and so is a single line
-        feed between others.
-        """
-        places, starts, before, new = self.places, self.starts, self.before, self.new
-        lower = not before
-        asked, at, joined, lines, direct = [], [], [], [], self.direct
-        made: list[bytes | None] = []
-        for k, (x, begins) in enumerate(new):  # which grows
-            made.append(None)
-            if begins:
-                asked.append(x), at.append(k)
-            elif x.isalpha():
-                if lower and x.isascii() and not x.islower():  # this vocabulary has lower case only
-                    joined.append((k, (places[x.lower()],)))
-                elif direct and (x.isascii() or max(x) < "\u0100"):
-                    made[k] = self._word(x)
-                else:
-                    asked.append(before + x), at.append(k)
-            elif (words := x.split()) == [x]:
-                core = x.rstrip(string.punctuation)
-                if core.isalpha() and (not lower or core.isascii() or core.lower().isalpha()):  # a mark from lower-casing joins what follows
-                    joined.append((k, (places[core.lower() if lower and core.isascii() else core], starts[x[len(core) :]])))
-                else:
-                    asked.append(before + x), at.append(k)
-            elif words and "\n".join(words) == x:
-                lines.append((k, (places[words[0]], *(p for y in words[1:] for p in (starts["\n"], starts[y])))))
-        for k, ids in zip(at, self._library(asked), strict=True):
-            made[k] = ids
-        for some in (sorted(joined, key=lambda j: len(j[1])), lines):  # lower-case forms, then letters with punctuation, then lines
-            for k, parts in some:
-                made[k] = b"".join([self._ids(p, made) for p in parts])
-        size = np.array([-1 if x is None else len(x) // 4 for x in made], np.int64)
-        ids = np.frombuffer(b"".join([x for x in made if x]), "<u4")
-        kept = size.clip(0)
-        self.begin = _appended(self.begin, self.used, self.filled + np.cumsum(kept) - kept)
-        self.size = _appended(self.size, self.used, size)
-        self.uses = _appended(self.uses, self.used, np.zeros(len(size), np.int64))
+    def _learn(self, new: list[bytes]) -> None:
+        """Gives new units the next places and fills these."""
+        words, asked = [], []
+        for k, unit in enumerate(new):
+            if self.direct and (unit.isalpha() or unit[:1] == b" " and unit[1:].isalpha()):
+                words.append(k)
+                continue
+            x = unit.decode().removeprefix(" ")
+            if self.direct and x.isalpha() and max(x) < "\u0100":
+                words.append(k)
+            elif x == "\n" or x.split() == [x]:
+                asked.append(k)
+        ids, n = self._words([new[k] for k in words])
+        others = self._library([new[k].decode() for k in asked])
+        ids = np.concatenate((ids, np.frombuffer(b"".join(others), "<u4")))
+        n = np.concatenate((n, np.array([len(x) // 4 for x in others], np.int64)))
+        at = np.array(words + asked, np.int64)
+        begin, size = np.zeros(len(new), np.int64), np.full(len(new), -1, np.int64)
+        begin[at], size[at] = self.filled + np.cumsum(n) - n, n
+        self.begin, self.size = _appended(self.begin, self.used, begin), _appended(self.size, self.used, size)
+        self.uses = _appended(self.uses, self.used, np.zeros(len(new), np.int64))
         self.table = _appended(self.table, self.filled, ids)
+        self.places.update(zip(new, range(self.used, self.used + len(new)), strict=True))
         self.used, self.filled = self.used + len(new), self.filled + len(ids)
-        new.clear()
 
-    def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def flat(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids (u32) of all whole texts, and the n + 1 places where each text's ids begin; null is empty."""
-        if not texts:
-            return np.empty(0, "<u4"), np.zeros(1, np.int64)
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         if self.used > self.bound:
             self._shrink()
         collecting = gc.isenabled()
-        gc.disable()  # many small tuples, no cycles
+        gc.disable()  # many small lists, no cycles
         try:
             return self._flat(texts)
         finally:
             if collecting:
                 gc.enable()
 
-    def _flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        pieces, at, first = [], [0], []
-        for text in texts:
-            words = text.split(" ") if text else [""]
-            if self.before:
-                first.append(words.pop(0))
-            pieces += words
-            at.append(len(pieces) + len(first))
-        place = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
-        odd = [i for i, x in enumerate(first) if not x or not x.isalpha() and "\n".join(x.split()) != x]
-        if first:
-            begun = np.fromiter(map(self.starts.__getitem__, first), np.int64, len(first))
-            place = np.insert(place, np.array(at[:-1]) - np.arange(len(first)), begun)
-        if self.new:
-            self._learn()
-        self.uses[: self.used] += np.bincount(place, minlength=self.used)
+    def _flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, at = content(texts)
+        if not len(data):
+            return np.empty(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        cuts, whole = _cuts(data, at)
+        first = np.searchsorted(cuts, at)
+        units = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+        unit, code = units.dictionary.to_numpy(zero_copy_only=False).tolist(), units.indices.to_numpy()
+        place = np.fromiter(map(self.places.get, unit, repeat(-1)), np.int64, len(unit))
+        if len(new := np.flatnonzero(place < 0)):
+            place[new] = self.used + np.arange(len(new))
+            self._learn([unit[i] for i in new.tolist()])
+        self.uses[place] += np.bincount(code, minlength=len(unit))
         size = self.size[place]
-        whole = np.minimum.reduceat(size, at[:-1]) < 0
-        whole[odd] = True
-        n = size.clip(0)
+        if (size < 0).any():
+            whole[np.searchsorted(first, np.flatnonzero(size[code] < 0), "right") - 1] = True
+        n = size.clip(0)[code]
         ends = np.cumsum(n)
-        out = self.table[np.repeat(self.begin[place] - (ends - n), n) + np.arange(ends[-1])]
-        where = np.concatenate(([0], ends))[at]
-        whole = np.flatnonzero(whole).tolist()
-        if not whole:
+        out = self.table[np.repeat(self.begin[place][code] - (ends - n), n) + np.arange(ends[-1])]
+        where = np.concatenate(([0], ends))[first]
+        odd = np.flatnonzero(whole).tolist()
+        if not odd:
             return out, where
-        made = dict(zip(whole, self._library([texts[i] or "" for i in whole]), strict=True))
+        made = dict(zip(odd, self._library([texts[i].as_py() for i in odd]), strict=True))
         parts = [np.frombuffer(made[i], "<u4") if i in made else out[where[i] : where[i + 1]] for i in range(len(texts))]
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Ids of each whole text as bytes; null is empty."""
         ids, at = self.flat(texts)
         return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

@@ -30,9 +30,9 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
 
     def run(batches):
         codec, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        for batch in in_order(batches):
+        for batch in in_order(batches, 1 << 22):
             out = []
-            for k, x in zip(batch.column(0).to_pylist(), codec.encode(batch.column(1).to_pylist()), strict=True):
+            for k, x in zip(batch.column(0).to_pylist(), codec.encode(batch.column(1)), strict=True):
                 x = x + end
                 n = len(x) // 4
                 cut = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]

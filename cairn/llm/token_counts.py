@@ -18,7 +18,7 @@ def encoded_lengths(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         codec = encoder(path)
         for batch in in_order(batches):
-            ids = codec.encode(batch.column(1).to_pylist())
+            ids = codec.encode(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long")

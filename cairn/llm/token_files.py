@@ -130,7 +130,7 @@ def write_token_files(docs: DataFrame, uri: str, path: str, end_id: int = 1, blo
             doc_ids, ids, size = [], [], 0
 
         for batch in in_order(batches):
-            for k, x in zip(batch.column(0).to_pylist(), codec.encode(batch.column(1).to_pylist()), strict=True):
+            for k, x in zip(batch.column(0).to_pylist(), codec.encode(batch.column(1)), strict=True):
                 doc_ids.append(k), ids.append(x + end)
                 size += len(x) // 4 + 1
                 if size >= file_ids:

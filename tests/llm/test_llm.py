@@ -187,6 +187,35 @@ def test_encoder_equals_the_library_on_odd_white_space(name):
     assert not [t for t, a, b in zip(texts, got, want, strict=True) if np.frombuffer(a, "<u4").tolist() != b]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_learns_words_apart_from_what_follows_them(name):
+    """Punctuation and line feeds beside a word are no new words to encode; a slice of a column has its own texts only."""
+    from tokenizers import Tokenizer
+
+    library, own, rng = Tokenizer.from_file(public_path(name)), Encoder(public_path(name)), np.random.default_rng(23)
+    known = ["".join(rng.choice([*"abcdefgéß"], 9)) for _ in range(100)]
+    marks = ["", ",", ".", "!)", ":", "'s", "7", "-"]
+    texts = ["".join(f"{w}{m}{e}" for w, m, e in zip(rng.choice(known, 400), rng.choice(marks, 400), rng.choice([*"  \n"], 400), strict=True)) + "end" for _ in range(40)]
+    got = own.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert own.used <= 2 * len(known) + 20  # each word with a space before it and without, what follows words, the line feed
+    assert own.encode(pa.array(["before", *texts, None]).slice(1)) == [*got, b""]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_the_library_behind_letters(name):
+    """Letters beyond Latin-1, signs among its letters, marks, digits, apostrophes and special tokens behind a word's first letters."""
+    from tokenizers import Tokenizer
+
+    library, own, rng = Tokenizer.from_file(public_path(name)), Encoder(public_path(name), bound=2000), np.random.default_rng(24)
+    parts = [*"abcXÉéßÿÀ", *"abcéß", *"×÷ªºµœŁ’«»—中\u0301\u0307İ", *"0¹'.,-<>\x00\x1c", "'s", "'re", "<|endoftext|>", "<|startoftext|>", "ﬁ", "😀", *"  \n"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(20_000)]
+    want = [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    for k in range(0, len(texts), 1000):
+        got = own.encode(texts[k : k + 1000])
+        assert not [t for t, a, b in zip(texts[k:], got, want[k:], strict=False) if np.frombuffer(a, "<u4").tolist() != b]
+
+
 def test_token_counts(docs, texts, empty):
     path = public_path("byte_bpe_50k.json")
     n = sorted(len(x) // 4 for x in Encoder(path).encode([*texts, "no id here", texts[3]]))
